@@ -25,8 +25,8 @@ def rejection(kind: str) -> Column:
     if kind == "structured":
         for array, fields in (("entities", ["name", "type"]), ("relationships", ["source", "target", "relation"])):
             for field in fields:
-                broken = F.exists(array, lambda x, f=field: x[f].isNull())
-                checks.append((F.coalesce(broken, F.lit(False)), f"missing {array}.{field}"))
+                missing = F.array_contains(F.transform(F.col(f"{array}.{field}"), F.isnull), F.lit(True))
+                checks.append((F.coalesce(missing, F.lit(False)), f"missing {array}.{field}"))
     case = F
     for test, reason in checks:
         case = case.when(test, F.lit(reason))

@@ -34,7 +34,7 @@ class Resolution:
 
 def place(seq: Column | str = "seq", pos: Column | str = "pos") -> Column:
     """(seq, pos) as one fixed-width number, so that its minimum is a hash aggregate."""
-    wide = F.lit(10**19).cast("decimal(20,0)")
+    wide = F.lit(str(10**19)).cast("decimal(20,0)")
     return (F.col(seq).cast("decimal(19,0)") * wide + F.col(pos).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
