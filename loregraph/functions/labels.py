@@ -150,28 +150,36 @@ def _matches(rule: Rule, subject: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def heuristic_type(name: Column | str, summary: Column | str, rules: Iterable[Rule] = RULES) -> Column:
-    """First matching rule wins; terms match as substrings, without word boundaries."""
-    subjects = {
-        "name": strip(F.lower(_col(name))),
-        "summary": F.lower(F.coalesce(_col(summary), F.lit(""))),
-    }
-    ordered = sorted(rules, key=lambda r: r.priority)
+def heuristic_type(name_key: Column | str, summary_key: Column | str, rules: Iterable[Rule] = RULES) -> Column:
+    """First matching rule wins; terms match as substrings, without word boundaries.
+
+    Takes normalized *columns* (see ``with_rule_keys``): the chain refers to them well over
+    a hundred times, and an expression put in their place would be computed each time.
+    """
+    subjects = {"name": _col(name_key), "summary": _col(summary_key)}
     case = F
-    for rule in ordered:
+    for rule in sorted(rules, key=lambda r: r.priority):
         case = case.when(_matches(rule, subjects[rule.field]), F.lit(rule.result))
     return case.otherwise(F.lit("entity"))
 
 
-def node_type(
-    node_labels: Column | str,
-    labels: Column | str,
-    labels_text: Column | str,
-    name: Column | str,
-    summary: Column | str,
-    rules: Iterable[Rule] = RULES,
-) -> Column:
-    """Domain map first; the rules only see plain entities the map does not know."""
-    base = base_type(node_labels)
-    mapped = visual_type(domain_label(labels, labels_text))
-    return F.coalesce(mapped, F.when(base == "entity", heuristic_type(name, summary, rules)), base)
+def with_rule_keys(df: DataFrame, name: Column | str, summary: Column | str) -> DataFrame:
+    """Add what the rules read: ``name_key`` and ``summary_key``."""
+    return df.withColumns(
+        {"name_key": strip(F.lower(_col(name))), "summary_key": F.lower(F.coalesce(_col(summary), F.lit("")))}
+    )
+
+
+def with_node_type(df: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """Add ``type`` from (node_labels, labels, labels_text, name, summary).
+
+    Domain map first; the rules only see plain entities the map does not know.
+    """
+    bound = with_rule_keys(df.withColumn("labels_text", strip(F.coalesce("labels_text", F.lit("")))), "name", "summary")
+    bound = bound.withColumns(
+        {"_base": base_type("node_labels"), "_mapped": visual_type(domain_label("labels", "labels_text"))}
+    )
+    guessed = F.when(F.col("_base") == "entity", heuristic_type("name_key", "summary_key", rules))
+    return bound.withColumn("type", F.coalesce("_mapped", guessed, "_base")).drop(
+        "_base", "_mapped", "name_key", "summary_key"
+    )

@@ -59,18 +59,6 @@ def sentences(text: Column | str) -> Column:
     return F.transform(F.split(_col(text), SENTENCE_BREAK), strip)
 
 
-def ngrams(words: Column, longest: int = MAX_NGRAM) -> Column:
-    """Every run of 1..longest tokens as struct(start, words, gram)."""
-
-    def starting_at(start: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - start)),
-            lambda n: F.struct(
-                start.alias("start"), n.alias("words"), F.array_join(F.slice(words, start + 1, n), " ").alias("gram")
-            ),
-        )
-
-    return F.when(
-        F.size(words) > 0,
-        F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), starting_at)),
-    )
+def gram(words: Column | str, start: Column | str, size: Column | str) -> Column:
+    """The n-gram of ``size`` tokens from 0-based ``start``."""
+    return F.array_join(F.slice(_col(words), _col(start) + 1, _col(size)), " ")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions import text
-from loregraph.operators.scale import first_wins, hint_if_small, spread
+from loregraph.operators.scale import first_wins, is_small, spread
 from loregraph.session import materialize
 
 EPISODE = ["group_id", "episode_uuid", "seq"]
@@ -18,34 +18,49 @@ def gazetteer(terms: DataFrame) -> DataFrame:
     Without a ``group_id`` column the terms apply to every graph.
     """
     keep = [c for c in ("group_id", "name", "type") if c in terms.columns]
-    keyed = terms.select(*keep, text.token_key("name").alias("gram")).filter("gram <> ''")
+    keyed = terms.select(*keep, text.token_key("name").alias("gram")).filter(
+        (F.col("gram") != "") & (F.size(F.split("gram", " ")) <= text.MAX_NGRAM)
+    )
     if "type" not in keep:
         keyed = keyed.withColumn("type", F.lit("Entity"))
     return first_wins(keyed, [c for c in ("group_id", "gram") if c in keyed.columns], ["name", "type"])
 
 
-def sentence_grams(episodes: DataFrame) -> DataFrame:
-    """Every n-gram of every sentence with its place in the text."""
+def sentence_words(episodes: DataFrame) -> DataFrame:
+    """Sentences with their tokens and, one row per token, where it starts."""
     each = spread(episodes.select(*EPISODE, "content"), "episode_uuid").select(
         *EPISODE, F.posexplode(text.sentences("content")).alias("sent", "sentence")
-    ).filter("sentence <> ''")
-    grams = each.select(
-        *EPISODE, "sent", "sentence", F.explode(text.ngrams(text.tokens("sentence"))).alias("g")
     )
-    return grams.select(*EPISODE, "sent", "sentence", "g.start", "g.words", "g.gram")
+    # Tokens are bound to a column first; each n-gram slices them and must not split again.
+    words = each.filter("sentence <> ''").withColumn("words", text.tokens("sentence"))
+    return words.select("*", F.posexplode("words").alias("start", "token"))
 
 
 def sightings(episodes: DataFrame, names: DataFrame) -> DataFrame:
     """First place of every gazetteer name in every sentence.
 
-    The gazetteer is broadcast only if it is small; a larger one meets the n-grams in a
-    shuffle on the gram, where AQE splits hot grams.
+    A small gazetteer is broadcast twice: its opening words pick the few n-grams worth
+    building, then the n-grams pick the names; the text is not shuffled. With a larger
+    one all n-grams are built and meet it in a shuffle, where AQE splits hot grams.
     """
     on = [c for c in ("group_id", "gram") if c in names.columns]
-    found = sentence_grams(episodes).join(hint_if_small(names), on)
-    place = (F.col("start") * F.lit(8) + F.col("words")).cast("long")
+    words = sentence_words(episodes)
+    fits = F.col("start") + F.col("n") <= F.size("words")
+    small = is_small(names)
+    if small:
+        openings = names.select(
+            *on[:-1], F.split_part("gram", F.lit(" "), F.lit(1)).alias("token"), F.size(F.split("gram", " ")).alias("n")
+        ).distinct()
+        candidates = words.join(F.broadcast(openings), [*on[:-1], "token"]).filter(fits)
+    else:
+        sizes = F.explode(F.sequence(F.lit(1), F.lit(text.MAX_NGRAM))).alias("n")
+        candidates = words.select("*", sizes).filter(fits)
+    grams = candidates.select(
+        *EPISODE, "sent", "sentence", text.gram("words", "start", "n").alias("gram"),
+        (F.col("start") * F.lit(8) + F.col("n")).cast("long").alias("place"),
+    )
     return (
-        found.withColumn("place", place)
+        grams.join(F.broadcast(names) if small else names, on)
         .groupBy(*EPISODE, "sent", "sentence", "gram", "name", "type")
         .agg(F.min("place").alias("place"))
     )
@@ -80,7 +95,8 @@ def relationship_rows(seen: DataFrame) -> DataFrame:
 def extract(episodes: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entity rows, relationship rows) in the shape of structured requests.
 
-    Both come from one written pass over the text, instead of one pass for each later use.
+    Both come from one written pass over the text, instead of one pass for each later use;
+    the gazetteer is written first, so that its size is known when it is joined.
     """
-    seen = materialize(sightings(episodes, gazetteer(terms)))
+    seen = materialize(sightings(episodes, materialize(gazetteer(terms))))
     return entity_rows(seen), relationship_rows(seen)

@@ -43,37 +43,42 @@ def first_places(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy(*KEY).agg(F.min(place()).alias("first_place"), F.min("seq").alias("first_seq"))
 
 
-def wanted_names(occurrences: DataFrame, relations: DataFrame) -> DataFrame:
-    """Distinct names one batch can ask the stored graph for."""
-    return (
-        occurrences.select(*KEY)
-        .union(relations.select("group_id", "source_key"))
-        .union(relations.select("group_id", "target_key"))
-        .distinct()
+def asked_names(occurrences: DataFrame, relations: DataFrame) -> DataFrame:
+    """Every name a batch mentions or refers to, with its first place if it is mentioned."""
+    ends = F.explode(F.array("source_key", "target_key")).alias("name_lower")
+    nowhere = F.lit(None)
+    rows = occurrences.select(*KEY, place().alias("place"), "seq").union(
+        relations.select("group_id", ends, nowhere.cast("decimal(38,0)"), nowhere.cast("long"))
     )
+    return rows.groupBy(*KEY).agg(F.min("place").alias("first_place"), F.min("seq").alias("first_seq"))
 
 
-def stored_names(stored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One stored uuid per wanted name; of stored duplicates the oldest, then the lowest uuid.
+def stored_names(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """One stored uuid per asked name; of stored duplicates the oldest, then the lowest uuid.
 
     The stored side is lower-cased but not trimmed. The semi-join comes first, so only
-    matching rows of a large graph are aggregated and shuffled on.
+    matching rows of a large graph are aggregated, and a small batch leaves the stored
+    rows where they are.
     """
     keyed = stored.select("group_id", F.lower("name").alias("name_lower"), "uuid", "created_at")
     oldest = F.min(F.struct("created_at", "uuid"))["uuid"].alias("stored_uuid")
-    return keyed.join(wanted, KEY, "left_semi").groupBy(*KEY).agg(oldest)
+    return keyed.join(asked.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(oldest)
 
 
-def dictionary(occurrences: DataFrame, relations: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """One row per name: its uuid, where it was first seen and whether it was stored before."""
-    first = first_places(occurrences)
+def dictionary(
+    occurrences: DataFrame, relations: DataFrame, stored: DataFrame | None, staged: bool = False
+) -> DataFrame:
+    """One row per known name: its uuid, where it was first seen and whether it was stored before."""
     if stored is None:
-        first = first.withColumn("stored_uuid", F.lit(None).cast("string"))
+        names = first_places(occurrences).withColumn("stored_uuid", F.lit(None).cast("string"))
     else:
-        known = stored_names(stored, wanted_names(occurrences, relations))
-        first = first.join(known, KEY, "full_outer")
+        asked = asked_names(occurrences, relations)
+        if staged:
+            asked = materialize(asked)
+        names = asked.join(stored_names(stored, asked), KEY, "left")
+        names = names.filter("stored_uuid IS NOT NULL OR first_place IS NOT NULL")
     is_stored = F.col("stored_uuid").isNotNull()
-    return first.select(
+    return names.select(
         *KEY,
         F.coalesce("stored_uuid", keys.entity_id(*KEY)).alias("entity_uuid"),
         is_stored.alias("is_stored"),
@@ -155,7 +160,7 @@ def resolve(
 ) -> Resolution:
     """All frames of an ingest. ``staged`` writes the dictionary once for all of them; its
     size is then known, and it is broadcast only if it is small."""
-    names = dictionary(occurrences, relations, stored)
+    names = dictionary(occurrences, relations, stored, staged)
     if staged:
         names = hint_if_small(materialize(names))
     resolved = resolve_occurrences(occurrences, names)

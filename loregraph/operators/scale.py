@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+TINY_BYTES = 256 << 10
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -52,15 +53,15 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread the rows of a small input over all cores before per-row heavy work.
+    """Hash the rows of a modest input over all cores before per-row heavy work.
 
     A file with a single row group is read by one task however many cores there are.
-    Inputs with enough splits for the cluster are left as they are.
+    Inputs with enough splits for the cluster, and tiny ones, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if scan_bytes(df) >= cores * (16 << 20):
+    if not TINY_BYTES <= scan_bytes(df) < cores * (16 << 20):
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(cores, *(keys or df.columns[:1]))
 
 
 def scan_bytes(df: DataFrame) -> int:

@@ -51,8 +51,7 @@ def typed_nodes(node_rows: DataFrame, rules=labels.RULES) -> DataFrame:
         "node_labels", "labels", props["labels"].alias("labels_text"), props["summary"].alias("summary"),
         nodes.clean_properties("properties").alias("properties"),
     )
-    kind = labels.node_type("node_labels", "labels", "labels_text", "name", "summary", rules)
-    return named.select("group_id", "id", "name", kind.alias("type"), "properties")
+    return labels.with_node_type(named, rules).select("group_id", "id", "name", "type", "properties")
 
 
 def limited_nodes(node_rows: DataFrame, max_nodes: int = 500) -> DataFrame:

@@ -62,12 +62,10 @@ def test_bootstrap_defaults_are_by_key(spark):
     ]
 
 
-def test_ngrams(spark):
-    got = one(spark, ["A b, c!", "", "--"], text.ngrams(text.tokens("v"), 2))
-    assert [(g.start, g.words, g.gram) for g in got[0]] == [
-        (0, 1, "a"), (0, 2, "a b"), (1, 1, "b"), (1, 2, "b c"), (2, 1, "c"),
-    ]
-    assert got[1:] == [None, None]
+def test_tokens_and_grams(spark):
+    assert one(spark, ["A b, c!", "", "--"], text.tokens("v")) == [["a", "b", "c"], [], []]
+    got = values(spark, [(["a", "b", "c"], 1, 2)], "w array<string>, s int, n int", text.gram("w", "s", "n"))
+    assert got == [("b c",)]
 
 
 def test_sentences(spark):
@@ -137,7 +135,8 @@ def test_every_rule_term_hits_its_own_or_an_earlier_rule(spark):
     for rule in labels.RULES:
         for term in rule.terms:
             rows.append((rule.priority, term.title() if rule.field == "name" else "", "" if rule.field == "name" else f"x {term.upper()} y"))
-    got = values(spark, rows, "p int, n string, s string", "p", "n", "s", labels.heuristic_type("n", "s"))
+    df = labels.with_rule_keys(spark.createDataFrame(rows, "p int, n string, s string"), "n", "s")
+    got = [tuple(r) for r in df.select("p", "n", "s", labels.heuristic_type("name_key", "summary_key")).collect()]
 
     def model(name, summary):  # plain reading of the rule table
         subject = {"name": name.lower().strip(), "summary": summary.lower()}
@@ -151,6 +150,11 @@ def test_every_rule_term_hits_its_own_or_an_earlier_rule(spark):
     assert all(kind == model(n, s) and kind != "entity" for _, n, s, kind in got)
 
 
+def node_types(spark, rows):
+    schema = "node_labels array<string>, labels array<string>, labels_text string, name string, summary string"
+    return [r.type for r in labels.with_node_type(spark.createDataFrame(rows, schema)).collect()]
+
+
 @pytest.mark.parametrize(
     ("kind", "name", "summary", "expected"),
     [
@@ -163,22 +167,20 @@ def test_every_rule_term_hits_its_own_or_an_earlier_rule(spark):
     ],
 )
 def test_node_type(spark, kind, name, summary, expected):
-    got = values(spark, [([kind], name, summary)], "l array<string>, n string, s string",
-                 labels.node_type(F.array(F.lit("Entity")), "l", F.lit(None).cast("string"), "n", "s"))
-    assert got == [(expected,)]
+    row = (["Entity"], [kind], None, name, summary)
+    assert node_types(spark, [row]) == [expected]
 
 
 def test_rules_only_see_plain_entities(spark):
-    got = values(spark, [(["Risk"],), (["Community"],)], "l array<string>",
-                 labels.node_type("l", F.lit(None).cast("array<string>"), F.lit(""), F.lit("tls"), F.lit("error")))
-    assert [g[0] for g in got] == ["risk", "community"]
+    rows = [(["Risk"], None, "", "tls", "error"), (["Community"], None, None, "tls", "error")]
+    assert node_types(spark, rows) == ["risk", "community"]
 
 
 def test_rule_table_round_trip(spark):
     back = labels.rules_from_table(labels.rule_table(spark))
     rows = [("Casino Operations", ""), ("a", "the gap"), ("b", "steps to take"), ("fips", "")]
-    df = spark.createDataFrame(rows, "n string, s string")
-    a, b = labels.heuristic_type("n", "s"), labels.heuristic_type("n", "s", back)
+    df = labels.with_rule_keys(spark.createDataFrame(rows, "n string, s string"), "n", "s")
+    a, b = (labels.heuristic_type("name_key", "summary_key", r) for r in (labels.RULES, back))
     assert all(r[0] == r[1] for r in df.select(a, b).collect())
 
 

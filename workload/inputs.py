@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from loregraph import schemas
 from loregraph.functions import keys
+from loregraph.operators.scale import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # The given files hold one row group each, which only one task can read.
+    df = spread(df)
     zoned = [F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name)
              for f in df.schema.fields]
     return df.select(*zoned)

@@ -12,7 +12,7 @@ from loregraph.sources import requests as sources
 from loregraph.sources import store as stores_api
 from workload import inputs, sql, stores
 from workload.inputs import table
-from workload.registry import query
+from workload.registry import QUERIES, query
 
 
 def day(column):
@@ -265,7 +265,8 @@ def _(spark, d):
 def _(spark, d):
     name = F.concat("event_type", F.lit(" "), F.col("user_id").cast("string"))
     summary = F.concat("event_type", F.lit(" "), "props")
-    return table(spark, d, "events").select("event_id", labels.heuristic_type(name, summary).alias("type"))
+    keyed = labels.with_rule_keys(table(spark, d, "events"), name, summary)
+    return keyed.select("event_id", labels.heuristic_type("name_key", "summary_key").alias("type"))
 
 
 @query("P16_property_cleaning", """SELECT event_id, event_type || '|' || props AS kept FROM events""")
@@ -541,7 +542,7 @@ def _(spark, d):
 @query("L6_single_lookup", f"{sql.ORDERS} SELECT g AS group_id, k AS name_lower, uuid AS stored_uuid FROM st WHERE (g, k) IN (SELECT g, k FROM occ UNION SELECT g, lower(sn) FROM rel)")
 def _(spark, d):
     occurrences, relations = _order_parts(spark, d)
-    return resolve.stored_names(inputs.stored_customers(spark, d), resolve.wanted_names(occurrences, relations))
+    return resolve.stored_names(inputs.stored_customers(spark, d), resolve.asked_names(occurrences, relations))
 
 
 @query("U1_local_and_stored_names", f"""{sql.ORDERS} SELECT g AS group_id, k AS name_lower, uuid AS entity_uuid, is_stored FROM names
@@ -651,11 +652,16 @@ def _(spark, d):
         nodes.json_safe(F.array("l_returnflag", "l_linestatus"), nested=True).alias("nested"))
 
 
+def _e6(column):
+    """A score as a whole number of millionths, which both engines state exactly."""
+    return F.round(F.col(column) * 1_000_000).cast("long").alias("score_e6")
+
+
 # --- retrieval and extraction ---------------------------------------------------------------------
-@query("Q1_lexical_top_k", f"WITH {sql.bm25(_Q1_DOCS, _Q1_QUERIES, 10)} SELECT query_id, g AS group_id, id AS doc_id, round(score, 4) AS score, rank::BIGINT AS rank FROM top")
+@query("Q1_lexical_top_k", f"WITH {sql.bm25(_Q1_DOCS, _Q1_QUERIES, 10)} SELECT query_id, g AS group_id, id AS doc_id, round(score * 1000000)::BIGINT AS score_e6, rank::BIGINT AS rank FROM top")
 def _(spark, d):
     got = rank.bm25(_language_docs(spark, d), _language_queries(spark, d), 10)
-    return got.select("query_id", "group_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return got.select("query_id", "group_id", "doc_id", _e6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _COSINE = """vec AS (SELECT q.vec_id AS query_id, q.label::BIGINT AS g, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
@@ -663,11 +669,11 @@ _COSINE = """vec AS (SELECT q.vec_id AS query_id, q.label::BIGINT AS g, e.vec_id
 vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 5)"""
 
 
-@query("Q2_vector_top_k", f"WITH {_COSINE} SELECT query_id, g AS group_id, id AS doc_id, round(score, 4) AS score, rank::BIGINT AS rank FROM vtop")
+@query("Q2_vector_top_k", f"WITH {_COSINE} SELECT query_id, g AS group_id, id AS doc_id, round(score * 1000000)::BIGINT AS score_e6, rank::BIGINT AS rank FROM vtop")
 def _(spark, d):
     vectors = inputs.labelled_vectors(spark, d)
     got = rank.cosine(vectors, vectors.withColumnRenamed("doc_id", "query_id"), 5)
-    return got.select("query_id", "group_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return got.select("query_id", "group_id", "doc_id", _e6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _FUSE_DOCS = "SELECT label::BIGINT AS g, doc_id AS id, text AS body FROM documents JOIN embeddings ON doc_id = vec_id"
@@ -677,7 +683,7 @@ _FUSE_QUERIES = "SELECT vec_id AS query_id, label::BIGINT AS g, text AS body FRO
 @query("Q3_fusion", f"""WITH {sql.bm25(_FUSE_DOCS, _FUSE_QUERIES, 20)}, {_COSINE.replace('rank <= 5', 'rank <= 20').replace('q.label = e.label', 'q.label = e.label WHERE e.vec_id IN (SELECT doc_id FROM documents)')},
 both_lists AS (SELECT query_id, g, id, rank FROM top UNION ALL SELECT query_id, g, id, rank FROM vtop WHERE query_id IN (SELECT item_id FROM benchmark)),
 fused AS (SELECT query_id, g, id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM both_lists GROUP BY ALL)
-SELECT query_id, g AS group_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id)::BIGINT AS rank FROM fused
+SELECT query_id, g AS group_id, id AS doc_id, round(score * 1000000)::BIGINT AS score_e6, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id)::BIGINT AS rank FROM fused
 QUALIFY row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) <= 10""")
 def _(spark, d):
     vectors = inputs.labelled_vectors(spark, d)
@@ -687,7 +693,7 @@ def _(spark, d):
     known = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
     lists = [rank.bm25(docs, asked, 20), rank.cosine(known, asked, 20)]
     got = rank.fuse(lists, 10)
-    return got.select("query_id", "group_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return got.select("query_id", "group_id", "doc_id", _e6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("Q4_search_context", f"""{sql.SEARCH} SELECT query_id, rank::BIGINT AS rank, subject, predicate, object, md5(fact) AS fact_md5 FROM hits WHERE scope = 'client'""")
