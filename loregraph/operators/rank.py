@@ -37,7 +37,9 @@ def matched_terms(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """
     marked = terms.select("group_id", F.explode(F.array("term", F.lit(DOCUMENT_MARK))).alias("term"))
     wanted = marked.distinct()
-    cut = spread(docs.select(*DOC, "text"), *DOC).select(*DOC, text.tokens("text").alias("tokens"))
+    # Not spread by the key of the repartition below, which would then be dropped, and with it
+    # the one result of this pass that statistics and scores share.
+    cut = spread(docs.select(*DOC, "text"), "doc_id").select(*DOC, text.tokens("text").alias("tokens"))
     each = cut.select(
         *DOC, F.size("tokens").alias("dl"),
         F.explode(F.concat(F.array(F.lit(DOCUMENT_MARK)), F.col("tokens"))).alias("term"),

@@ -52,7 +52,7 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash the rows of a modest input over all cores before per-row heavy work.
 
     A file with a single row group is read by one task however many cores there are.
@@ -61,7 +61,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if not TINY_BYTES <= scan_bytes(df) < cores * (16 << 20):
         return df
-    return df.repartition(cores, *(keys or df.columns[:1]))
+    return df.repartition(cores, key)
 
 
 def scan_bytes(df: DataFrame) -> int:

@@ -9,9 +9,12 @@ from loregraph.operators import extract, requests, resolve
 
 
 def ingest_structured(
-    structured: DataFrame, stored: DataFrame | None = None, now: Column | None = None, staged: bool = False
+    structured: DataFrame, stored: DataFrame | None = None, now: Column | None = None, staged: bool = True
 ) -> resolve.Resolution:
-    """Resolve valid structured requests against ``stored`` entities of the same graphs."""
+    """Resolve valid structured requests against ``stored`` entities of the same graphs.
+
+    ``staged`` runs jobs right away to write the name dictionary, which all frames share.
+    """
     valid, _ = requests.validate(structured, "structured")
     episodes, entities, relationships = requests.structured_rows(valid, now)
     return ingest_rows(episodes, entities, relationships, stored, staged)
@@ -19,7 +22,7 @@ def ingest_structured(
 
 def ingest_rows(
     episodes: DataFrame, entities: DataFrame, relationships: DataFrame,
-    stored: DataFrame | None = None, staged: bool = False,
+    stored: DataFrame | None = None, staged: bool = True,
 ) -> resolve.Resolution:
     """The same for rows that are already flat, as a large load should be."""
     return resolve.resolve(

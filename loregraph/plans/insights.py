@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import keys, redact, text
 from loregraph.operators import resolve
-from loregraph.operators.scale import spread
 from loregraph.plans import ingest
 
 DRAFT, APPROVED, REJECTED = "draft", "approved", "rejected"
@@ -25,7 +24,7 @@ def draft_insights(findings: DataFrame, placeholder: str = redact.CLIENT_PLACEHO
     def given(column: str) -> Column:
         return F.coalesce(F.col(column), F.lit("")) if column in findings.columns else F.lit("")
 
-    rows = spread(findings).select(
+    rows = findings.select(
         *[c for c in findings.columns if c not in fields],
         given("title").alias("original_title"), given("content").alias("original_content"),
         given("type").alias("finding_type"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,14 +63,22 @@ class GraphStore:
 
     # --- writing ---------------------------------------------------------
     def append(self, result: Resolution, batch_id: str | None = None, now: Column | None = None) -> str:
-        """Write one ingest. Episodes go last: their presence means the batch is complete."""
+        """Write one ingest. Episodes go last: their presence means the batch is complete.
+
+        The other sinks do not depend on each other and are written side by side, so that
+        one's last tasks leave no executor idle.
+        """
         batch_id = batch_id or f"b{uuid.uuid4().hex}"
         now = F.current_timestamp() if now is None else now
         self.register(result.episodes.select("group_id"), now)
         none = F.lit(None).cast(schemas.PROPERTIES)
-        self._write("entities", result.entities.withColumn("properties", none), batch_id, now)
-        self._write("mentions", result.mentions, batch_id, now)
-        self._write("facts", result.facts, batch_id, now)
+        sinks = {
+            "entities": result.entities.withColumn("properties", none), "mentions": result.mentions, "facts": result.facts,
+        }
+        with ThreadPoolExecutor(len(sinks)) as pool:
+            jobs = [pool.submit(self._write, table, rows, batch_id, now) for table, rows in sinks.items()]
+            for job in jobs:
+                job.result()
         episodes = result.episodes.withColumn("source", F.lit("text")).withColumnsRenamed(
             {"episode_uuid": "uuid", "seq": "ingest_seq"}
         )

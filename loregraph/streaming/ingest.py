@@ -20,7 +20,7 @@ def ingest_batch(store: GraphStore, requests: DataFrame, batch_id: str, now: Col
     now = F.current_timestamp() if now is None else now
     groups = requests.select(keys.client_graph("client_slug").alias("group_id"))
     stored = store.entities_for(groups, batch_id)
-    store.append(ingest_structured(requests, stored, now, staged=True), batch_id, now)
+    store.append(ingest_structured(requests, stored, now), batch_id, now)
 
 
 def stream_structured(

@@ -10,13 +10,22 @@ from loregraph.functions import keys
 from loregraph.operators.scale import spread
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # The given files hold one row group each, which only one task can read.
-    df = spread(df)
-    zoned = [F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name)
-             for f in df.schema.fields]
-    return df.select(*zoned)
+    """One of the given tables; its files are listed and its schema read once per session."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _TABLES:
+        df = spark.read.parquet(key[1])
+        # The given files hold one row group each, which only one task can read.
+        df = spread(df, df.columns[0])
+        zoned = [
+            F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name)
+            for f in df.schema.fields
+        ]
+        _TABLES[key] = df.select(*zoned)
+    return _TABLES[key]
 
 
 def _entity(name, kind, description):

@@ -578,7 +578,7 @@ def _finding_text(spark, d):
 
 def _redacted(column):
     def run(spark, d):
-        return scale.spread(_finding_text(spark, d)).select("doc_id", F.md5(column()).alias("content_md5"))
+        return scale.spread(_finding_text(spark, d), "doc_id").select("doc_id", F.md5(column()).alias("content_md5"))
 
     return run
 

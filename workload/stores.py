@@ -26,7 +26,7 @@ def order_store(spark: SparkSession, sf_dir: str) -> GraphStore:
     if key not in _BUILT:
         store = GraphStore(spark, new_folder(spark, "orders"))
         requests = inputs.order_requests(spark, sf_dir)
-        store.append(ingest_structured(requests, None, fixed_now(), staged=True), "all", fixed_now())
+        store.append(ingest_structured(requests, None, fixed_now()), "all", fixed_now())
         _BUILT[key] = store
     return _BUILT[key]
 
@@ -44,7 +44,7 @@ def administered_store(spark: SparkSession, sf_dir: str) -> GraphStore:
     """Order graphs after an init of the region graphs, a reset and a delete."""
     store = GraphStore(spark, new_folder(spark, "admin"))
     requests = inputs.order_requests(spark, sf_dir)
-    store.append(ingest_structured(requests, None, fixed_now(), staged=True), "all", fixed_now())
+    store.append(ingest_structured(requests, None, fixed_now()), "all", fixed_now())
     store.init_graphs(inputs.table(spark, sf_dir, "region").select(F.col("r_name").alias("client_slug")))
     store.init_graphs(slugs(spark, sf_dir))
     store.reset_graphs(slugs(spark, sf_dir, "MACHINERY"))
