@@ -26,44 +26,54 @@ def gazetteer(terms: DataFrame) -> DataFrame:
     return first_wins(keyed, [c for c in ("group_id", "gram") if c in keyed.columns], ["name", "type"])
 
 
-def sentence_words(episodes: DataFrame) -> DataFrame:
-    """Sentences with their tokens and, one row per token, where it starts."""
+def sentence_rows(episodes: DataFrame) -> DataFrame:
+    """One row per non-empty sentence, numbered within its text."""
     each = spread(episodes.select(*EPISODE, "content"), "episode_uuid").select(
         *EPISODE, F.posexplode(text.sentences("content")).alias("sent", "sentence")
     )
+    return each.filter("sentence <> ''")
+
+
+def sentence_words(episodes: DataFrame) -> DataFrame:
+    """Sentences with their tokens and, one row per token, where it starts."""
     # Tokens are bound to a column first; each n-gram slices them and must not split again.
-    words = each.filter("sentence <> ''").withColumn("words", text.tokens("sentence"))
+    words = sentence_rows(episodes).withColumn("words", text.tokens("sentence"))
     return words.select("*", F.posexplode("words").alias("start", "token"))
 
 
 def sightings(episodes: DataFrame, names: DataFrame) -> DataFrame:
-    """First place of every gazetteer name in every sentence.
-
-    A small gazetteer is broadcast twice: its opening words pick the few n-grams worth
-    building, then the n-grams pick the names; the text is not shuffled. With a larger
-    one all n-grams are built and meet it in a shuffle, where AQE splits hot grams.
-    """
+    """First place of every gazetteer name in every sentence."""
     on = [c for c in ("group_id", "gram") if c in names.columns]
-    words = sentence_words(episodes)
-    fits = F.col("start") + F.col("n") <= F.size("words")
-    small = is_small(names)
-    if small:
-        openings = names.select(
-            *on[:-1], F.split_part("gram", F.lit(" "), F.lit(1)).alias("token"), F.size(F.split("gram", " ")).alias("n")
-        ).distinct()
-        candidates = words.join(F.broadcast(openings), [*on[:-1], "token"]).filter(fits)
-    else:
-        sizes = F.explode(F.sequence(F.lit(1), F.lit(text.MAX_NGRAM))).alias("n")
-        candidates = words.select("*", sizes).filter(fits)
-    grams = candidates.select(
-        *EPISODE, "sent", "sentence", text.gram("words", "start", "n").alias("gram"),
+    find = _find_small if is_small(names) else _find_large
+    return find(episodes, names, on)
+
+
+def _grams(candidates: DataFrame, *keep: str) -> DataFrame:
+    """Candidates (words, start, n) as built n-grams with their place."""
+    return candidates.filter(F.col("start") + F.col("n") <= F.size("words")).select(
+        *EPISODE, "sent", *keep, text.gram("words", "start", "n").alias("gram"),
         (F.col("start") * F.lit(8) + F.col("n")).cast("long").alias("place"),
     )
-    return (
-        grams.join(F.broadcast(names) if small else names, on)
-        .groupBy(*EPISODE, "sent", "sentence", "gram", "name", "type")
-        .agg(F.min("place").alias("place"))
-    )
+
+
+def _find_small(episodes: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """A gazetteer shown to be small is broadcast twice: its opening words pick the few
+    n-grams worth building, then the n-grams pick the names. Only matches are shuffled."""
+    openings = names.select(
+        *on[:-1], F.split_part("gram", F.lit(" "), F.lit(1)).alias("token"), F.size(F.split("gram", " ")).alias("n")
+    ).distinct()
+    candidates = sentence_words(episodes).join(F.broadcast(openings), [*on[:-1], "token"])
+    found = _grams(candidates, "sentence").join(F.broadcast(names), on)
+    return found.groupBy(*EPISODE, "sent", "sentence", "gram", "name", "type").agg(F.min("place").alias("place"))
+
+
+def _find_large(episodes: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """A larger gazetteer meets all n-grams in a shuffle, where AQE splits hot grams. The
+    n-grams travel without their sentence, which joins the matches once at the end."""
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(text.MAX_NGRAM))).alias("n")
+    thin = _grams(sentence_words(episodes).select("*", sizes))
+    seen = thin.join(names, on).groupBy(*EPISODE, "sent", "gram", "name", "type").agg(F.min("place").alias("place"))
+    return seen.join(sentence_rows(episodes), [*EPISODE, "sent"])
 
 
 def entity_rows(seen: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions import text
-from loregraph.operators.scale import is_small, spread, top_n
+from loregraph.operators.scale import is_small, of_groups, spread, top_n
 
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
@@ -56,6 +56,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DIGI
     """
     terms = query_terms(queries)
     small = is_small(terms)
+    docs = of_groups(docs, queries)
     tf = matched_terms(docs, terms, small).groupBy(*DOC, "dl", "term").agg(F.count("*").alias("tf"))
     by_term = tf.groupBy("group_id", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("total_dl"))
     is_mark = F.col("term") == DOCUMENT_MARK
@@ -87,6 +88,7 @@ def cosine(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DI
     of bounded size; more queries mean more blocks.
     """
     best = None
+    docs = of_groups(docs, queries)
     rows = queries.select("query_id", "group_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator()
     for block in _blocks(rows, QUERY_BLOCK):
         part = _score_block(docs, block, k, decimals)

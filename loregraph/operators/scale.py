@@ -9,6 +9,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 TINY_BYTES = 256 << 10
+MANY_GROUPS = 1000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -27,6 +28,19 @@ def hint_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def of_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``group_id`` is among those of ``groups``.
+
+    Up to a thousand groups become a filter that prunes partitions before the scan; more
+    of them stay distributed and meet ``df`` in a semi-join.
+    """
+    wanted = groups.select("group_id").distinct()
+    few = [row.group_id for row in wanted.limit(MANY_GROUPS + 1).collect()]
+    if len(few) <= MANY_GROUPS:
+        return df.filter(F.col("group_id").isin(few))
+    return df.join(wanted, "group_id", "left_semi")
+
+
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str, salt_on: list[str]) -> DataFrame:
     """First ``n`` rows of every group with their 1-based ``rank``.
 

@@ -39,7 +39,8 @@ def fact_edges(facts: DataFrame) -> DataFrame:
 
 
 def not_episodic(node_rows: DataFrame) -> DataFrame:
-    return node_rows.filter(~F.array_contains("node_labels", EPISODIC))
+    """A node without labels is not episodic either."""
+    return node_rows.filter(~F.coalesce(F.array_contains("node_labels", EPISODIC), F.lit(False)))
 
 
 def typed_nodes(node_rows: DataFrame, rules=labels.RULES) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import domains, keys
 from loregraph.operators import rank, requests
-from loregraph.operators.scale import hint_if_small
+from loregraph.operators.scale import hint_if_small, of_groups
 from loregraph.session import materialize
 
 MAX_RESULTS = 50
@@ -61,8 +61,7 @@ def search_hits(
     kept = found.join(scoped.drop("text"), ["query_id", "group_id"]).filter("rank <= keep")
     # A handful of rows per query; staged, so that its size is known before it meets the facts.
     hits = materialize(kept.select("query_id", "scope", "group_id", F.col("doc_id").alias("uuid"), "rank"))
-    hits = hint_if_small(hits)
-    return fact_result(facts).join(hits, ["group_id", "uuid"])
+    return fact_result(of_groups(facts, hits)).join(hint_if_small(hits), ["group_id", "uuid"])
 
 
 def search_context(

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from loregraph import schemas
 from loregraph.functions import domains, keys
 from loregraph.operators.resolve import Resolution
-
-MANY_GRAPHS = 1000
+from loregraph.operators.scale import of_groups
 
 
 class GraphStore:
@@ -33,24 +32,17 @@ class GraphStore:
         schema = schemas.GRAPHS if name == "graphs" else schemas.TABLES[name]
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def scoped(self, name: str, groups: DataFrame) -> DataFrame:
-        """Rows of the given graphs; up to a thousand graphs prune partitions before the scan."""
-        wanted = groups.select("group_id").distinct()
-        few = [r.group_id for r in wanted.limit(MANY_GRAPHS + 1).collect()]
-        if len(few) <= MANY_GRAPHS:
-            return self.table(name).filter(F.col("group_id").isin(few))
-        return self.table(name).join(wanted, "group_id", "left_semi")
-
     def entities_for(self, groups: DataFrame, batch_id: str | None = None) -> DataFrame:
         """Entities a batch resolves against: those of its graphs written by other batches."""
-        found = self.scoped("entities", groups)
+        found = of_groups(self.table("entities"), groups)
         return found if batch_id is None else found.filter(F.col("batch_id") != batch_id)
 
     def list_graphs(self) -> DataFrame:
-        return self.table("graphs").select("group_id", "kind")
+        # Two batches may list a new graph at the same time.
+        return self.table("graphs").select("group_id", "kind").distinct()
 
     def graph_count(self) -> int:
-        return self.table("graphs").count()
+        return self.list_graphs().count()
 
     def graph_sizes(self) -> DataFrame:
         """Every listed graph with its row counts, zero for an empty one."""
