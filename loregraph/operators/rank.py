@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions import text
 from loregraph.operators.scale import is_small, of_groups, spread, top_n
+from loregraph.session import materialize
 
 K1, B = 1.2, 0.75
 RRF_OFFSET = 60
@@ -85,16 +87,21 @@ def cosine(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DI
     ``docs`` has (group_id, doc_id, embedding), ``queries`` (query_id, group_id, embedding).
     Every task multiplies its Arrow batches with the query matrix and keeps its own best
     ``k`` per query, so neither pairs nor documents are shuffled. Queries travel in blocks
-    of bounded size; more queries mean more blocks.
+    of bounded size, one at a time; more queries mean more passes over the vectors.
     """
-    best = None
     docs = of_groups(docs, queries)
     rows = queries.select("query_id", "group_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator()
-    for block in _blocks(rows, QUERY_BLOCK):
-        part = _score_block(docs, block, k, decimals)
+    blocks = _blocks(rows, QUERY_BLOCK)
+    block, best = next(blocks, []), None
+    while block is not None:
+        following = next(blocks, None)
+        part, shared = _score_block(docs, block, k, decimals)
+        if best is not None or following is not None:
+            # One of several blocks: finish it, so that only one is ever held.
+            part = materialize(part)
+            shared.destroy()
         best = part if best is None else best.union(part)
-    if best is None:
-        best = _score_block(docs.limit(0), [], k, decimals)
+        block = following
     return top_n(best, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank", ["doc_id"])
 
 
@@ -119,8 +126,8 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _score_block(docs: DataFrame, block: list, k: int, decimals: int) -> DataFrame:
-    """Best ``k`` per query of ``block`` within every task."""
+def _score_block(docs: DataFrame, block: list, k: int, decimals: int) -> tuple[DataFrame, Broadcast]:
+    """Best ``k`` per query of ``block`` within every task, and the broadcast they are made with."""
     by_group: dict = {}
     for row in block:
         by_group.setdefault(row.group_id, ([], []))
@@ -164,7 +171,8 @@ def _score_block(docs: DataFrame, block: list, k: int, decimals: int) -> DataFra
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in DOC}
     schema = f"query_id bigint, group_id {kinds['group_id']}, doc_id {kinds['doc_id']}, score double"
-    return docs.select(*DOC, "embedding").filter("embedding IS NOT NULL").mapInArrow(best_of_task, schema)
+    given = docs.select(*DOC, "embedding").filter("embedding IS NOT NULL")
+    return given.mapInArrow(best_of_task, schema), shared
 
 
 def fuse(lists: list[DataFrame], k: int, decimals: int = 10) -> DataFrame:

@@ -12,7 +12,8 @@ from loregraph.sources import requests as sources
 from loregraph.sources import store as stores_api
 from workload import inputs, sql, stores
 from workload.inputs import table
-from workload.registry import QUERIES, query
+from workload.registry import QUERIES, query  # noqa: F401 - re-exported
+from workload.stores import fixed_now
 
 
 def day(column):
@@ -334,10 +335,6 @@ def _(spark, d):
 
 
 # --- joins -------------------------------------------------------------------------
-def fixed_now():
-    return stores.fixed_now()
-
-
 def _orders(spark, d):
     return ingest.ingest_structured(
         inputs.order_requests(spark, d), inputs.stored_customers(spark, d), fixed_now())
@@ -518,7 +515,7 @@ def _(spark, d):
     return view.limited_edges(edges, 200).select("group_id", "edge_uuid")
 
 
-def _hits(scope, cut=None):
+def _hits(scope):
     def run(spark, d):
         valid, _ = requests.validate(inputs.search_requests(spark, d), "search")
         hits = search.search_hits(valid, inputs.conversation_facts(spark, d)).filter(F.col("scope") == scope)
