@@ -78,7 +78,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DIGI
     part = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
     # tf is partitioned by document already: this sum and the first cut of top_n stay local.
     scores = tf.join(weights, ["group_id", "term"]).groupBy(*HIT).agg(F.round(F.sum(part), decimals).alias("score"))
-    return top_n(scores, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank", ["doc_id"])
+    return top_n(scores, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")
 
 
 def cosine(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DIGITS) -> DataFrame:
@@ -102,7 +102,7 @@ def cosine(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DI
             shared.destroy()
         best = part if best is None else best.union(part)
         block = following
-    return top_n(best, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank", ["doc_id"])
+    return top_n(best, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")
 
 
 def _blocks(rows: Iterator, size: int) -> Iterator[list]:
@@ -182,4 +182,4 @@ def fuse(lists: list[DataFrame], k: int, decimals: int = 10) -> DataFrame:
         ranked = ranked.unionByName(other.select(*HIT, "rank"))
     score = F.round(F.sum(F.lit(1.0) / (F.lit(RRF_OFFSET) + F.col("rank"))), decimals).alias("score")
     fused = ranked.groupBy(*HIT).agg(score)
-    return top_n(fused, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank", ["doc_id"])
+    return top_n(fused, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
+SLICES = 32
 TINY_BYTES = 256 << 10
 MANY_GROUPS = 1000
 
@@ -41,20 +41,21 @@ def of_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
     return df.join(wanted, "group_id", "left_semi")
 
 
-def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str, salt_on: list[str]) -> DataFrame:
-    """First ``n`` rows of every group with their 1-based ``rank``.
+def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str) -> DataFrame:
+    """First ``n`` rows of every group with their 1-based ``rank``; ``order`` must be total.
 
-    Each group is first cut to ``n`` within salted slices, so a group holding a third of
-    all rows is ranked by many tasks; the last step sees at most ``n`` rows per slice.
+    Every task cuts its rows to ``n`` per group before the shuffle. What is left of a group
+    is then ranked in slices, by many tasks even if it holds a third of all rows, and only
+    ``n`` rows per slice meet in the end. A slice is made of whole input partitions, so
+    slicing costs the first cut nothing; the result does not depend on the slices.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_on]), F.lit(SALTS))
-    sliced = Window.partitionBy(*group, "_salt").orderBy(*order)
+    sliced = Window.partitionBy(*group, "_slice").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
     return (
-        df.withColumn("_salt", salt)
+        df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
         .withColumn(rank, F.row_number().over(sliced)).filter(F.col(rank) <= n)
         .withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n)
-        .drop("_salt")
+        .drop("_slice")
     )
 
 

@@ -64,7 +64,7 @@ def limited_nodes(node_rows: DataFrame, max_nodes: int = 500) -> DataFrame:
     ranked = node_rows.withColumn("id", nodes.node_id("properties", "native_id")).withColumn(
         "name", nodes.node_name("properties", "native_id")
     )
-    cut = top_n(not_episodic(ranked), ["group_id"], [F.col(c) for c in order], max_nodes, "_rank", order)
+    cut = top_n(not_episodic(ranked), ["group_id"], [F.col(c) for c in order], max_nodes, "_rank")
     unique = first_wins(cut, ["group_id", "id"], ["_rank"])
     return typed_nodes(unique.drop("_rank", "name", "id"))
 
@@ -103,7 +103,7 @@ def within(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def limited_edges(edges: DataFrame, max_nodes: int = 500) -> DataFrame:
     """First 2 x ``max_nodes`` edges per graph by edge uuid."""
-    return top_n(edges, ["group_id"], [F.col("edge_uuid")], 2 * max_nodes, "_rank", ["edge_uuid"]).drop("_rank")
+    return top_n(edges, ["group_id"], [F.col("edge_uuid")], 2 * max_nodes, "_rank").drop("_rank")
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:

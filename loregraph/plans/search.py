@@ -45,10 +45,11 @@ def ranked_facts(
 ) -> DataFrame:
     """(query_id, group_id, doc_id, rank): lexical, or fused with vectors where both are given."""
     docs = facts.select("group_id", F.col("uuid").alias("doc_id"), F.col("fact").alias("text"))
-    lists = [rank.bm25(docs, scoped.select("query_id", "group_id", "text"), MAX_RESULTS)]
-    if fact_vectors is not None and query_vectors is not None:
-        asked = scoped.select("query_id", "group_id").join(query_vectors, "query_id")
-        lists.append(rank.cosine(fact_vectors, asked, MAX_RESULTS))
+    asked = scoped.select("query_id", "group_id", "text")
+    if fact_vectors is None or query_vectors is None:
+        return rank.bm25(docs, asked, FACTS_RETURNED)
+    vectors = scoped.select("query_id", "group_id").join(query_vectors, "query_id")
+    lists = [rank.bm25(docs, asked, MAX_RESULTS), rank.cosine(fact_vectors, vectors, MAX_RESULTS)]
     return rank.fuse(lists, FACTS_RETURNED)
 
 

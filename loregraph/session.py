@@ -15,6 +15,8 @@ SETTINGS = {
     # A hot name or tenant shows up as one big join partition; let AQE split it.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Top-n per group is cut before its shuffle up to this n.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

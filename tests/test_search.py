@@ -138,7 +138,7 @@ def test_context_with_vectors(spark):
 def test_top_n_of_one_hot_group(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 50 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"), "id", (F.col("id") * 7919 % 5003).alias("v"))
-    got = scale.top_n(rows, ["g"], [F.desc("v"), F.asc("id")], 7, "rank", ["id"]).collect()
+    got = scale.top_n(rows, ["g"], [F.desc("v"), F.asc("id")], 7, "rank").collect()
     values = {"hot": [], "cold": []}
     for i in range(5000):
         values["cold" if i % 50 == 0 else "hot"].append((-(i * 7919 % 5003), i))

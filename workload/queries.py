@@ -499,7 +499,7 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     picked = rows.select("c_mktsegment", "o_orderkey", "o_totalprice")
-    top = scale.top_n(picked, ["c_mktsegment"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 100, "rank", ["o_orderkey"])
+    top = scale.top_n(picked, ["c_mktsegment"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 100, "rank")
     return top.select("c_mktsegment", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
