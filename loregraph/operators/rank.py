@@ -121,22 +121,23 @@ def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:
     return kinds[docs.schema[column].dataType.simpleString()]
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
 def _score_block(docs: DataFrame, block: list, k: int, decimals: int) -> tuple[DataFrame, Broadcast]:
     """Best ``k`` per query of ``block`` within every task, and the broadcast they are made with."""
+
+    # Defined in here, so that tasks need numpy and Arrow but not this package.
+    def unit_rows(matrix):
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
     by_group: dict = {}
     for row in block:
         by_group.setdefault(row.group_id, ([], []))
         by_group[row.group_id][0].append(row.query_id)
         by_group[row.group_id][1].append(row.embedding)
-    asked = {g: (np.array(ids), _unit_rows(np.array(vecs, dtype=np.float64))) for g, (ids, vecs) in by_group.items()}
+    asked = {g: (np.array(ids), unit_rows(np.array(vecs, dtype=np.float64))) for g, (ids, vecs) in by_group.items()}
     shared = docs.sparkSession.sparkContext.broadcast(asked)
     group_type, id_type = _arrow_type(docs, "group_id"), _arrow_type(docs, "doc_id")
-    unit_rows, step_cells = _unit_rows, SCORE_CELLS
+    step_cells = SCORE_CELLS
 
     def best_of_task(batches):
         queries, kept = shared.value, {}
