@@ -35,3 +35,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path(TOKENIZER)
     return encode_documents(read_table(spark, sf_dir, "documents"), str(path), public_tokenizers.PATTERN)
+
+
+@query("op1_lz_fingerprint")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.lz_fingerprint import fingerprint_documents
+
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.quality_neighbours import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op6_language_gru")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.language_gru import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
