@@ -56,3 +56,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.language_gru import identify
 
     return identify(read_table(spark, sf_dir, "documents"))
+
+
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, CAST((i // 8) * 10 + 1 AS BIGINT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) + 1, 1)), '')"""
+
+
+@query("op4_warc_shards", f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+     k AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS keep FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM k""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.warc_shards import read_archive, write_archive
+    from loregraph.session import new_folder
+
+    folder = new_folder(spark, "warc")
+    write_archive(read_table(spark, sf_dir, "pages"), folder)
+    return read_archive(spark, folder, with_payload=False).drop("url", "payload")

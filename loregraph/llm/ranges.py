@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def range_of(rows: DataFrame, key: str, parts: int) -> DataFrame:
+def range_of(rows: DataFrame, key: str, parts: int, bounds_of: DataFrame | None = None) -> DataFrame:
     """Add ``bucket int``: the range of the numeric column ``key`` among at most ``parts`` of like size.
 
-    Bounds are quantiles of all rows within 1/(4 parts); a null key is in the first range."""
-    cuts = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    Bounds are quantiles of all rows (of ``bounds_of``, if given) within 1/(4 parts); a null key is
+    in the first range."""
+    cuts = (rows if bounds_of is None else bounds_of).approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
     number = rows.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
     found = Bucketizer(splits=bounds, inputCol="_key", outputCol="_bucket").transform(number)
