@@ -76,3 +76,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     write_archive(read_table(spark, sf_dir, "pages"), folder)
     return read_archive(spark, folder, with_payload=False).drop("url", "payload")
+
+
+@query("op8_ngram_join", r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+c AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM s),
+u AS (SELECT doc_id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+r(x, y) AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT c.doc_id, c.class_id, coalesce(l.n_links, 0) AS n_links, least(c.doc_id, coalesce(g.low, c.doc_id)) AS group_id
+FROM c LEFT JOIN (SELECT x, count(*) AS n_links FROM p GROUP BY x) l ON l.x = c.doc_id
+LEFT JOIN (SELECT x, min(y) AS low FROM r GROUP BY x) g ON g.x = c.doc_id""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.ngram_join import ngram_join
+
+    return ngram_join(read_table(spark, sf_dir, "documents"))
