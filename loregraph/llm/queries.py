@@ -95,3 +95,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.ngram_join import ngram_join
 
     return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_license_diagonals")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.license_diagonals import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
