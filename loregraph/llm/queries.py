@@ -102,3 +102,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.license_diagonals import scan_licenses
 
     return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_spaced_seeds")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.spaced_seeds import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("h")
