@@ -109,3 +109,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.spaced_seeds import contaminated
 
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("h")
+
+
+@query("op7_secret_tests")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.secret_tests import scan_secrets
+
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
