@@ -40,8 +40,9 @@ def same(names: list[str], left: str, right: str) -> Column:
     return out
 
 
-def pattern_matches(texts: DataFrame, patterns: dict[str, tuple[str, int]]) -> DataFrame:
-    """Leftmost non-overlapping matches of each pattern: ``doc_id, h, kind, start, end, found``.
+def pattern_matches(texts: DataFrame, patterns: dict[str, tuple[str, int]], context: int = 0) -> DataFrame:
+    """Leftmost non-overlapping matches of each pattern: ``doc_id, h, kind, start, end, found, before``,
+    the last being up to ``context`` characters ahead of a match, back to the match before it.
 
     ``patterns``: kind to (pattern, group whose text is ``found``). Starts and ends count code points,
     the end exclusive: they are running sums of the lengths of the matches and of the pieces between
@@ -50,22 +51,27 @@ def pattern_matches(texts: DataFrame, patterns: dict[str, tuple[str, int]]) -> D
     for i, (pattern, _) in enumerate(patterns.values()):
         rows = rows.withColumn(f"_m{i}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     kinds = []
+
+    def between(piece: Column) -> Column:
+        return F.struct(F.length(piece).alias("size"), (F.right(piece, F.lit(context)) if context else F.lit("")).alias("before"))
+
     for i, (kind, (pattern, group)) in enumerate(patterns.items()):
         some = F.size(f"_m{i}") > 0
         found = F.col(f"_m{i}") if group == 0 else F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
         kinds.append(F.when(some, F.struct(
             F.lit(kind).alias("kind"),
-            F.transform(F.split("text", pattern, -1), lambda p: F.length(p)).alias("gap"),
+            F.transform(F.split("text", pattern, -1), between).alias("gap"),
             F.transform(F.col(f"_m{i}"), lambda m: F.length(m)).alias("size"), found.alias("found"))))
     each = rows.select("doc_id", "h", F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("k"))
     each = each.select("doc_id", "h", F.col("k.kind").alias("kind"), F.posexplode(F.arrays_zip("k.gap", "k.size", "k.found")).alias("at", "m"))
     each = each.filter(F.col("m.size").isNotNull())   # the piece after the last match
-    each = each.select("doc_id", "h", "kind", "at", F.col("m.gap").alias("gap"), F.col("m.size").alias("size"), F.col("m.found").alias("found"))
+    each = each.select("doc_id", "h", "kind", "at", F.col("m.gap.size").alias("gap"), F.col("m.size").alias("size"),
+                       F.col("m.found").alias("found"), F.col("m.gap.before").alias("before"))
     each = each.dropDuplicates(["doc_id", "h", "kind", "at"])   # repeated rows
     upto = Window.partitionBy("doc_id", "h", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
     each = each.withColumn("end", end)
-    return each.select("doc_id", "h", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "found")
+    return each.select("doc_id", "h", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "found", "before")
 
 
 def joined_spans(spans: Column) -> Column:

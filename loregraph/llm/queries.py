@@ -116,3 +116,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.secret_tests import scan_secrets
 
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii_votes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.pii_votes import scan_pii
+
+    return scan_pii(read_table(spark, sf_dir, "documents"))
