@@ -48,7 +48,7 @@ FACTORS, SHIFTS = _factors[:HASHES] | np.uint32(1), _factors[HASHES:]
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * MIX)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-SIGNATURES = "doc_id long, k1 long, k2 long, bands array<long>"
+SIGNATURES = "doc_id long, h long, k1 long, k2 long, bands array<long>"
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Set key and band keys of every whole text; null keys for a text without words."""
+    """Hash, set key and band keys of every whole text; null keys for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_groups(batches):
@@ -177,11 +177,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for i, row in zip(np.flatnonzero(full), band.view(np.int64)):
                     bands[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(keys[:, 0], pa.int64(), mask=~full),
+                [batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(keys[:, 0], pa.int64(), mask=~full),
                  pa.array(keys[:, 1], pa.int64(), mask=~full), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "k1", "k2", "bands"])
+                names=["doc_id", "h", "k1", "k2", "bands"])
 
-    return texts_of(docs).mapInArrow(sign, SIGNATURES)
+    return texts_of(docs).withColumn("h", F.xxhash64("text")).mapInArrow(sign, SIGNATURES)
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -237,11 +237,9 @@ def _cells(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(walk, "k1 long, k2 long, n_links long, root long")
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, group_id`` of every document.
-
-    ``class_id``: smallest doc_id with the same shingle set; ``n_links``: other documents of
-    similarity 0.8 or more; ``group_id``: smallest doc_id it is connected to by links."""
+def joined_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, class_id, n_links, group_id, component`` of every document; ``h`` is the hash of
+    its text, ``component`` null where nothing is linked to it."""
     signed = materialize(signatures(docs))
     keyed = signed.filter(F.col("k1").isNotNull())
     classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("bands").alias("bands"))
@@ -272,8 +270,33 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     named = named.select("k1", "k2", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "k1").alias("component"))
     linked = classes.drop("bands").join(named, ["k1", "k2"])
     smallest = linked.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    linked = materialize(linked.join(smallest, "component").select("k1", "k2", "class_id", "members", "links", "group_id"))
-    rows = signed.select("doc_id", "k1", "k2").join(linked, ["k1", "k2"], "left")
+    linked = materialize(linked.join(smallest, "component").select("k1", "k2", "class_id", "members", "links", "group_id", "component"))
+    rows = signed.select("doc_id", "h", "k1", "k2").join(linked, ["k1", "k2"], "left")
+    n_links = F.coalesce("members", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))
     return rows.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-        (F.coalesce("members", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "doc_id").alias("group_id"))
+        "doc_id", "h", F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"),
+        F.coalesce("group_id", "doc_id").alias("group_id"), F.when(n_links > 0, F.col("component")).alias("component"))
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links, group_id`` of every document.
+
+    ``class_id``: smallest doc_id with the same shingle set; ``n_links``: other documents of
+    similarity 0.8 or more; ``group_id``: smallest doc_id it is connected to by links."""
+    return joined_rows(docs).drop("h", "component")
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the one with the smallest doc_id, of
+    several with the smallest hash of their text, of repeated rows any one."""
+    rows = materialize(joined_rows(docs).filter("component IS NOT NULL").select("doc_id", "h", "component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    firsts = rows.groupBy("component").agg(first).select("component", "first.doc_id", "first.h")
+    each = rows.groupBy("doc_id", "h", "component").agg(F.count("*").alias("n")).alias("e").join(firsts.alias("f"), "component")
+    stays = F.col("e.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("e.h") == F.col("f.h"))
+    each = materialize(each.select(F.col("e.doc_id").alias("_id"), F.col("e.h").alias("_h"), stays.alias("stays"), "n"))
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h"))
+    left = keyed.join(hint_if_small(each.filter("NOT stays OR n > 1").select("_id", "_h")), same, "left_anti")
+    repeated = keyed.join(hint_if_small(each.filter("stays AND n > 1").select("_id", "_h")), same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    return left.unionByName(repeated).drop("_key")

@@ -185,3 +185,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     rows = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out("doc_id", 5, 0))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose predicted label is 1."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = batch.column(text).fill_null("")
+            own = pa.RecordBatch.from_arrays([filled], names=["text"])
+            good = [model.value.score(some) >= THRESHOLD for _, some in _small_groups(iter([own]))]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -6,6 +6,7 @@ The operators are imported where they are used, so that a task only loads the on
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -123,3 +124,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loregraph.llm.pii_votes import scan_pii
 
     return scan_pii(read_table(spark, sf_dir, "documents"))
+
+
+if find_spec("corpus_pipeline") is not None:
+
+    @query("pipeline")
+    def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import corpus_pipeline
+
+        return corpus_pipeline.run(spark, sf_dir)

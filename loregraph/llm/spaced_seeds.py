@@ -119,3 +119,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
     return best.select(
         "doc_id", "h", "item_id", "item_words", (-F.col("b.begin")).alias("first_word"), F.col("b.end").alias("end_word"),
         F.col("b.n_equal").alias("n_equal"), (F.col("b.n_equal") / F.col("item_words")).alias("coverage"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a passage of a benchmark item."""
+    found = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h"))
+    return keyed.join(hint_if_small(found), own, "left_anti").drop("_key")
