@@ -6,13 +6,22 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PER_RANGE = 64
+
 
 def range_of(rows: DataFrame, key: str, parts: int, bounds_of: DataFrame | None = None) -> DataFrame:
     """Add ``bucket int``: the range of the numeric column ``key`` among at most ``parts`` of like size.
 
-    Bounds are quantiles of all rows (of ``bounds_of``, if given) within 1/(4 parts); a null key is
-    in the first range."""
-    cuts = (rows if bounds_of is None else bounds_of).approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    Bounds are quantiles of about ``PER_RANGE * parts`` distinct keys, chosen by a hash of the key, of all rows
+    (of ``bounds_of``, if given), so they are the same however the rows are partitioned. They only
+    decide which task gets a row. A null key is in the first range."""
+    keys = (rows if bounds_of is None else bounds_of).select(F.col(key).alias("k")).filter(F.col(key).isNotNull())
+    share = min(1.0, PER_RANGE * parts / max(1, keys.count()))
+    chosen = keys.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else keys
+    chosen = sorted(float(r.k) for r in chosen.distinct().collect())
+    cuts = [chosen[len(chosen) * i // parts] for i in range(1, parts)] if chosen else []
+    if not cuts:
+        return rows.withColumn("bucket", F.lit(0))
     bounds = [float("-inf"), *sorted(set(cuts)), float("inf")]
     number = rows.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
     found = Bucketizer(splits=bounds, inputCol="_key", outputCol="_bucket").transform(number)
