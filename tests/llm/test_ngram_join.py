@@ -15,7 +15,7 @@ def plain_shingles(text):
     return frozenset(" ".join(words[i:i + n]) for i in range(len(words) - n + 1))
 
 
-def plain_join(rows):
+def plain_rows(rows):
     """Every pair of rows compared."""
     sets = [plain_shingles(t) for _, t in rows]
     links, root = [0] * len(rows), list(range(len(rows)))
@@ -30,7 +30,11 @@ def plain_join(rows):
     for i, (d, _) in enumerate(rows):
         klass = least([e for (e, _), s in zip(rows, sets) if s == sets[i]]) if sets[i] else d
         out.append((d, klass, links[i], least([e for (e, _), r in zip(rows, root) if r == root[i]])))
-    return sorted(map(str, out))
+    return out
+
+
+def plain_join(rows):
+    return sorted(map(str, plain_rows(rows)))
 
 
 def got(df):
