@@ -28,7 +28,8 @@ def _literal_pattern(name: Column) -> Column:
 def redact_name(text: Column | str, name: Column | str, placeholder: str) -> Column:
     """Replace every case-insensitive occurrence of ``name``; a missing name changes nothing."""
     text, name = _col(text), _col(name)
-    replaced = F.regexp_replace(text, _literal_pattern(name), F.lit(placeholder))
+    literal = placeholder.replace("\\", "\\\\").replace("$", "\\$")  # no group references
+    replaced = F.regexp_replace(text, _literal_pattern(name), F.lit(literal))
     return F.when(F.coalesce(name, F.lit("")) != "", replaced).otherwise(text)
 
 

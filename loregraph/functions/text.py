@@ -9,7 +9,6 @@ from loregraph.functions.keys import _col, strip
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE_BREAK = r"[.!?\n]+"
-MAX_NGRAM = 5
 
 
 def episode_name(kind: Column | str, source_type: Column | str, source_id: Column | str) -> Column:
@@ -59,6 +58,13 @@ def sentences(text: Column | str) -> Column:
     return F.transform(F.split(_col(text), SENTENCE_BREAK), strip)
 
 
-def gram(words: Column | str, start: Column | str, size: Column | str) -> Column:
-    """The n-gram of ``size`` tokens from 0-based ``start``."""
-    return F.array_join(F.slice(_col(words), _col(start) + 1, _col(size)), " ")
+def grams(words: Column | str, size: int) -> Column:
+    """All n-grams of ``size`` tokens as an array of (start, n, gram), start from 0."""
+    words = _col(words)
+
+    def one(start: Column) -> Column:
+        gram = F.get(words, start) if size == 1 else F.array_join(F.slice(words, start + 1, F.lit(size)), " ")
+        return F.struct(start.alias("start"), F.lit(size).alias("n"), gram.alias("gram"))
+
+    every = F.transform(F.sequence(F.lit(0), F.size(words) - size), one)
+    return F.when(F.size(words) >= size, every).otherwise(F.array().cast("array<struct<start:int,n:int,gram:string>>"))

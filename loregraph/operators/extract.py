@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions import text
-from loregraph.operators.scale import first_wins, is_small, spread
+from loregraph.operators.scale import first_wins, hint_if_small, of_groups, spread
 from loregraph.session import materialize
 
 EPISODE = ["group_id", "episode_uuid", "seq"]
+# A position is a sentence, the token it starts at and its number of tokens in one number:
+# 24, 27 and 12 bits. Longer names are refused, more sentences or tokens fail instead of wrapping.
+MAX_NAME_TOKENS = (1 << 12) - 1
+MAX_STARTS = 1 << 27
 
 
 def gazetteer(terms: DataFrame) -> DataFrame:
@@ -18,14 +22,17 @@ def gazetteer(terms: DataFrame) -> DataFrame:
     Without a ``group_id`` column the terms apply to every graph.
     """
     keep = [c for c in ("group_id", "name", "type") if c in terms.columns]
-    keyed = terms.select(*keep, text.token_key("name").alias("gram")).filter(
-        (F.col("gram") != "") & (F.size(F.split("gram", " ")) <= text.MAX_NGRAM)
-    )
+    keyed = terms.select(*keep, text.token_key("name").alias("gram")).filter("gram <> ''")
     if "type" not in keep:
         keyed = keyed.withColumn("type", F.lit("Entity"))
     return first_wins(keyed, [c for c in ("group_id", "gram") if c in keyed.columns], ["name", "type"])
 
 
+def graph_names(stored: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Names already in the graphs of ``episodes``, as gazetteer terms of their own graph."""
+    return of_groups(stored.select("group_id", "name"), episodes).filter("name IS NOT NULL").distinct()
+
+
 def sentence_rows(episodes: DataFrame) -> DataFrame:
     """One row per non-empty sentence, numbered within its text."""
     each = spread(episodes.select(*EPISODE, "content"), "episode_uuid").select(
@@ -34,79 +41,70 @@ def sentence_rows(episodes: DataFrame) -> DataFrame:
     return each.filter("sentence <> ''")
 
 
-def sentence_words(episodes: DataFrame) -> DataFrame:
-    """Sentences with their tokens and, one row per token, where it starts."""
-    # Tokens are bound to a column first; each n-gram slices them and must not split again.
-    words = sentence_rows(episodes).withColumn("words", text.tokens("sentence"))
-    return words.select("*", F.posexplode("words").alias("start", "token"))
-
-
 def sightings(episodes: DataFrame, names: DataFrame) -> DataFrame:
-    """First place of every gazetteer name in every sentence."""
-    on = [c for c in ("group_id", "gram") if c in names.columns]
-    find = _find_small if is_small(names) else _find_large
-    return find(episodes, names, on)
+    """First place of every gazetteer name in every sentence.
 
-
-def _grams(candidates: DataFrame, *keep: str) -> DataFrame:
-    """Candidates (words, start, n) as built n-grams with their place."""
-    return candidates.filter(F.col("start") + F.col("n") <= F.size("words")).select(
-        *EPISODE, "sent", *keep, text.gram("words", "start", "n").alias("gram"),
-        (F.col("start") * F.lit(8) + F.col("n")).cast("long").alias("place"),
-    )
-
-
-def _find_small(episodes: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """A gazetteer shown to be small is broadcast twice: its opening words pick the few
-    n-grams worth building, then the n-grams pick the names. Only matches are shuffled."""
-    openings = names.select(
-        *on[:-1], F.split_part("gram", F.lit(" "), F.lit(1)).alias("token"), F.size(F.split("gram", " ")).alias("n")
-    ).distinct()
-    candidates = sentence_words(episodes).join(F.broadcast(openings), [*on[:-1], "token"])
-    found = _grams(candidates, "sentence").join(F.broadcast(names), on)
-    return found.groupBy(*EPISODE, "sent", "sentence", "gram", "name", "type").agg(F.min("place").alias("place"))
+    The n-grams of the lengths that occur in the gazetteer are built within a sentence's row, so
+    what is exploded and shuffled is an n-gram with its place, never the sentence or its words, and
+    the work is linear in a sentence. A gazetteer shown to be small is broadcast; a larger one
+    meets the n-grams in a shuffle.
+    """
+    on = [c for c in ("group_id", "gram") if c in names.columns]
+    sizes = sorted(r.n for r in names.select(F.size(F.split("gram", " ")).alias("n")).distinct().collect())
+    if sizes and sizes[-1] > MAX_NAME_TOKENS:
+        raise ValueError(f"a gazetteer name has {sizes[-1]} tokens; {MAX_NAME_TOKENS} are possible")
+    words = sentence_rows(episodes).select(*EPISODE, "sent", text.tokens("sentence").alias("words"))
+    found = [text.grams("words", n) for n in sizes] or [F.array().cast("array<struct<start:int,n:int,gram:string>>")]
+    thin = words.select(*EPISODE, "sent", F.explode(F.concat(*found)).alias("g"))
+    place = F.when(F.col("g.start") < MAX_STARTS, F.col("g.start").cast("long") * F.lit(MAX_NAME_TOKENS + 1) + F.col("g.n"))
+    thin = thin.select(*EPISODE, "sent", F.col("g.gram").alias("gram"), F.coalesce(place, F.raise_error(F.lit("a sentence is too long"))).alias("place"))
+    seen = thin.join(hint_if_small(names), on)
+    return seen.groupBy(*EPISODE, "sent", "gram", "name", "type").agg(F.min("place").alias("place"))
 
 
-def _find_large(episodes: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """A larger gazetteer meets all n-grams in a shuffle, where AQE splits hot grams. The
-    n-grams travel without their sentence, which joins the matches once at the end."""
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(text.MAX_NGRAM))).alias("n")
-    thin = _grams(sentence_words(episodes).select("*", sizes))
-    seen = thin.join(names, on).groupBy(*EPISODE, "sent", "gram", "name", "type").agg(F.min("place").alias("place"))
-    return seen.join(sentence_rows(episodes), [*EPISODE, "sent"])
+def position() -> Column:
+    """Sentence and place as one number, in the order of the text."""
+    return F.col("sent").cast("long") * F.lit((MAX_NAME_TOKENS + 1) * MAX_STARTS) + F.col("place")
 
 
 def entity_rows(seen: DataFrame) -> DataFrame:
     """One entity row per episode and name, at its first place in the text."""
-    pos = F.min(F.col("sent").cast("long") * F.lit(1 << 31) + F.col("place")).alias("pos")
+    pos = F.min(position()).alias("pos")
     return seen.groupBy(*EPISODE, "gram", "name", "type").agg(pos).select(
         *EPISODE, "pos", "name", "type", F.lit("").alias("description")
     )
 
 
-def relationship_rows(seen: DataFrame) -> DataFrame:
+def relationship_rows(seen: DataFrame, sentences: DataFrame) -> DataFrame:
     """Each name linked to the next one in its sentence; the fact is the sentence.
 
     Neighbours rather than all pairs: the number of facts grows with the text, not with
-    its square. A window never holds more than the names of one sentence of one text.
+    its square. A window never holds more than the names of one sentence of one text. The
+    sentences join once, at the end.
     """
     inside = Window.partitionBy(*EPISODE, "sent").orderBy("place", "gram")
-    return (
-        seen.withColumn("target", F.lead("name").over(inside))
-        .filter("target IS NOT NULL")
-        .select(
-            *EPISODE, (F.col("sent").cast("long") * F.lit(1 << 31) + F.col("place")).alias("pos"),
-            F.col("name").alias("source"), "target", F.lit("relates_to").alias("relation"),
-            F.col("sentence").alias("fact"),
-        )
+    linked = seen.withColumn("target", F.lead("name").over(inside)).filter("target IS NOT NULL")
+    return linked.join(sentences, [*EPISODE, "sent"]).select(
+        *EPISODE, position().alias("pos"), F.col("name").alias("source"), "target", F.lit("relates_to").alias("relation"),
+        F.col("sentence").alias("fact"),
     )
 
 
-def extract(episodes: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extract(episodes: DataFrame, terms: DataFrame | None, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(entity rows, relationship rows) in the shape of structured requests.
 
-    Both come from one written pass over the text, instead of one pass for each later use;
-    the gazetteer is written first, so that its size is known when it is joined.
+    Names come from ``terms`` and from the graphs (``stored`` entities); where both have one, the
+    term's spelling and type are taken. What was seen is written once, instead of a pass over the
+    text for each later use; the gazetteers are written first, so that their sizes are known.
     """
-    seen = materialize(sightings(episodes, materialize(gazetteer(terms))))
-    return entity_rows(seen), relationship_rows(seen)
+    found = []
+    if terms is not None:
+        found.append(sightings(episodes, materialize(gazetteer(terms))).withColumn("source", F.lit(0)))
+    if stored is not None:
+        found.append(sightings(episodes, materialize(gazetteer(graph_names(stored, episodes)))).withColumn("source", F.lit(1)))
+    if len(found) == 2:
+        seen = first_wins(found[0].unionByName(found[1]), [*EPISODE, "sent", "gram"], ["source", "name", "type"])
+    else:
+        seen = found[0]
+    seen = materialize(seen.drop("source"))
+    return entity_rows(seen), relationship_rows(seen, sentence_rows(episodes))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from loregraph.functions import defaults, domains, keys, text
 
 REQUIRED = {
-    "episode": ["client_slug", "engagement_id", "episode_type", "content", "source_id", "source_type"],
-    "bootstrap": ["client_slug", "engagement_id", "documents"],
-    "structured": ["client_slug", "episode_name"],
+    "episode": ["client_slug", "engagement_id", "episode_type", "content", "source_id", "source_type", "ingest_seq"],
+    "bootstrap": ["client_slug", "engagement_id", "documents", "ingest_seq"],
+    "structured": ["client_slug", "episode_name", "ingest_seq"],
     "search": ["client_slug", "engagement_id", "query"],
 }
 
@@ -92,20 +92,24 @@ def episode_rows(requests: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def bootstrap_rows(requests: DataFrame, now: Column | None = None) -> DataFrame:
-    """One episode per document, in array order; ``seq`` is the request's and ``pos`` the document's."""
+    """One episode per document, in array order.
+
+    ``seq`` orders the documents of the batch, request after request: the request's number times
+    the longest request's length, plus the document's place. Ids are made from the two numbers
+    themselves, and a product beyond 64 bits fails instead of wrapping.
+    """
     now = F.current_timestamp() if now is None else now
+    longest = requests.agg(F.max(F.size("documents"))).first()[0] or 1
     each = requests.select(
         keys.client_graph("client_slug").alias("group_id"), F.col("ingest_seq").alias("request_seq"),
         F.posexplode("documents").alias("doc_pos", "doc"),
     )
     named = each.select(
         "group_id", "request_seq", F.col("doc_pos").cast("long"), F.col("doc")["name"].alias("document"),
-        # Documents of one request follow each other before the next request; 2^31 is the
-        # longest array there is, and a request number too large for it fails, not wraps.
-        (F.col("request_seq") * F.lit(1 << 31) + F.col("doc_pos")).alias("seq"),
+        (F.col("request_seq") * F.lit(int(longest)).cast("long") + F.col("doc_pos")).alias("seq"),
         text.bootstrap_name("doc").alias("name"), F.coalesce(F.col("doc")["content"], F.lit("")).alias("content"),
         text.bootstrap_description("doc").alias("source_description"),
         F.coalesce(F.nullif(F.col("doc")["timestamp"], F.lit("")).cast("timestamp"), now).alias("valid_at"),
         now.alias("created_at"),
     )
-    return named.withColumn("episode_uuid", keys.episode_id("group_id", "seq", "name"))
+    return named.withColumn("episode_uuid", keys.episode_id("group_id", F.concat_ws("/", "request_seq", "doc_pos"), "name"))

@@ -31,22 +31,26 @@ def ingest_rows(
 
 
 def ingest_text(
-    episodes: DataFrame, gazetteer: DataFrame, stored: DataFrame | None = None, staged: bool = True
+    episodes: DataFrame, gazetteer: DataFrame | None, stored: DataFrame | None = None, staged: bool = True
 ) -> resolve.Resolution:
-    """Extract known names from episode texts, then resolve them like structured rows."""
-    entities, relationships = extract.extract(episodes, gazetteer)
+    """Extract known names from episode texts, then resolve them like structured rows.
+
+    Known are the gazetteer's names and those already in the graphs of the episodes; either
+    may be missing.
+    """
+    entities, relationships = extract.extract(episodes, gazetteer, stored)
     return ingest_rows(episodes, entities, relationships, stored, staged)
 
 
 def ingest_episodes(
-    episode_requests: DataFrame, gazetteer: DataFrame, stored: DataFrame | None = None, now: Column | None = None
+    episode_requests: DataFrame, gazetteer: DataFrame | None, stored: DataFrame | None = None, now: Column | None = None
 ) -> resolve.Resolution:
     valid, _ = requests.validate(episode_requests, "episode")
     return ingest_text(requests.episode_rows(valid, now), gazetteer, stored)
 
 
 def bootstrap(
-    bootstrap_requests: DataFrame, gazetteer: DataFrame, stored: DataFrame | None = None, now: Column | None = None
+    bootstrap_requests: DataFrame, gazetteer: DataFrame | None, stored: DataFrame | None = None, now: Column | None = None
 ) -> tuple[resolve.Resolution, DataFrame]:
     """Ingest all documents; also report the processed documents per request."""
     valid, _ = requests.validate(bootstrap_requests, "bootstrap")

@@ -44,11 +44,13 @@ def draft_insights(findings: DataFrame, placeholder: str = redact.CLIENT_PLACEHO
 
 
 def review(drafts: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
-    """Set the status of drafts from (key, approved) decisions; undecided ones stay drafts."""
+    """Set the status of drafts from (key, approved) decisions; undecided ones stay drafts.
+
+    Of several decisions on one draft a rejection counts."""
     verdict = (
         F.when(F.col("approved"), F.lit(APPROVED)).when(~F.col("approved"), F.lit(REJECTED)).otherwise(F.lit(DRAFT))
     )
-    joined = drafts.drop("status").join(decisions.select(key, "approved"), key, "left")
+    joined = drafts.drop("status").join(decisions.groupBy(key).agg(F.min("approved").alias("approved")), key, "left")
     return joined.withColumn("status", verdict).drop("approved")
 
 
@@ -67,6 +69,6 @@ def promotion_episodes(drafts: DataFrame, now: Column | None = None) -> DataFram
 
 
 def promote(
-    drafts: DataFrame, gazetteer: DataFrame, stored: DataFrame | None = None, now: Column | None = None
+    drafts: DataFrame, gazetteer: DataFrame | None, stored: DataFrame | None = None, now: Column | None = None
 ) -> resolve.Resolution:
     return ingest.ingest_text(promotion_episodes(drafts, now), gazetteer, stored)

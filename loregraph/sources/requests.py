@@ -59,6 +59,6 @@ def entity_types(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path is None:
         return spark.createDataFrame(domains.ENTITY_TYPES, schema)
     try:
-        return spark.createDataFrame(spark.read.schema(schema).json(path).filter("name IS NOT NULL").take(10_000), schema)
+        return spark.read.schema(schema).json(path).filter("name IS NOT NULL")
     except Exception:  # noqa: BLE001 - any failure means an empty taxonomy
         return spark.createDataFrame([], schema)

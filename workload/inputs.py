@@ -126,13 +126,16 @@ def line_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return episodes, entities, relationships
 
 
-def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as text episode requests; short ones carry an episode type nobody knows."""
+def document_requests(spark: SparkSession, sf_dir: str, short_notes: bool = False) -> DataFrame:
+    """Documents as text episode requests; with ``short_notes``, short ones carry a type nobody knows."""
+    kind = F.lit("document_analysis")
+    if short_notes:
+        kind = F.when(F.col("n_chars") < 300, F.lit("note")).otherwise(kind)
     docs = table(spark, sf_dir, "documents")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return docs.select(
         F.concat(F.lit("Lang-"), F.col("lang")).alias("client_slug"), F.col("source").alias("engagement_id"),
-        F.when(F.col("n_chars") < 300, F.lit("note")).otherwise(F.lit("document_analysis")).alias("episode_type"),
+        kind.alias("episode_type"),
         F.col("text").alias("content"), F.col("doc_id").cast("string").alias("source_id"),
         F.lit("document").alias("source_type"),
         F.when(
@@ -159,18 +162,27 @@ def bootstrap_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gazetteer terms: the opening three words of every benchmark sentence."""
+    """Gazetteer terms: the opening three and the opening twelve words of every benchmark sentence."""
     sentence = F.explode(F.split("text", r"[.!?\n]+")).alias("s")
-    words = F.slice(F.array_remove(F.split(F.trim("s"), " "), ""), 1, 3)
+    words = F.array_remove(F.split(F.trim("s"), " "), "")
+    openings = F.explode(F.array(*[F.array_join(F.slice(words, 1, n), " ") for n in (3, 12)])).alias("name")
     return (
-        table(spark, sf_dir, "benchmark").select(sentence)
-        .select(F.array_join(words, " ").alias("name")).filter("name <> ''").distinct()
+        table(spark, sf_dir, "benchmark").select(sentence).select(openings).filter("name <> ''").distinct()
         .withColumn("type", F.lit("Finding"))
     )
 
 
+def known_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names as entities stored in the graph of every language, without any gazetteer."""
+    graphs = table(spark, sf_dir, "documents").select(keys.client_graph(F.concat(F.lit("Lang-"), "lang")).alias("group_id")).distinct()
+    groups = F.array(*[F.lit(r.group_id) for r in graphs.collect()])
+    at = F.lit("2020-01-01 00:00:00").cast("timestamp").alias("created_at")
+    return benchmark_terms(spark, sf_dir).select(
+        F.explode(groups).alias("group_id"), F.concat(F.lit("known-"), F.md5("name")).alias("uuid"), "name", at)
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as findings, with the amount and date of the order of the same number appended."""
+    """Documents as findings, with the amount and date of the order of the same number, if any, appended."""
     docs = table(spark, sf_dir, "documents")
     orders = table(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "M/d/yyyy")
@@ -178,7 +190,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" paid $"), F.format_number("o_totalprice", 2), F.lit(" on "), day,
         F.lit(" call 555-010-"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"),
     )
-    return docs.join(orders, F.col("doc_id") == F.col("o_orderkey")).select(
+    day, tail = F.coalesce(day, F.lit("no day")), F.coalesce(tail, F.lit(""))
+    return docs.join(orders, F.col("doc_id") == F.col("o_orderkey"), "left").select(
         "doc_id", F.concat(F.lit("Finding on "), day, F.lit(" in "), F.col("lang")).alias("title"),
         F.concat(F.col("text"), tail).alias("content"), F.col("source").alias("type"),
         F.lit("Tion").alias("client_name"), F.array(F.lit("The ON"), F.lit("lich")).alias("known_names"),

@@ -27,7 +27,7 @@ def day(column):
  strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S') AS at FROM documents""")
 def _(spark, d):
     path = new_folder(spark, "episodes-json")
-    inputs.document_requests(spark, d).write.json(path)
+    inputs.document_requests(spark, d, short_notes=True).write.json(path)
     got = sources.read_requests(spark, "episode", path)
     return got.select(
         "client_slug", "source_id", "episode_type", F.md5("content").alias("content_md5"),
@@ -85,14 +85,21 @@ def _(spark, d):
  n_chars >= 300 AS known, count(*) AS n FROM documents GROUP BY ALL""")
 def _(spark, d):
     known = sources.episode_types(spark).withColumn("known", F.lit(True))
-    rows = inputs.document_requests(spark, d).groupBy("episode_type").agg(F.count("*").alias("n"))
+    rows = inputs.document_requests(spark, d, short_notes=True).groupBy("episode_type").agg(F.count("*").alias("n"))
     return rows.join(F.broadcast(known), "episode_type", "left").select(
         "episode_type", F.coalesce("known", F.lit(False)).alias("known"), "n")
 
 
-_FINDINGS = """SELECT d.doc_id, 'Finding on ' || strftime(o_orderdate, '%-m/%-d/%Y') || ' in ' || lang AS title,
- d.text || ' paid $' || format('{:,.2f}', o_totalprice) || ' on ' || strftime(o_orderdate, '%-m/%-d/%Y') || ' call 555-010-'
- || lpad((d.doc_id % 10000)::VARCHAR, 4, '0') AS content, source AS type FROM documents d JOIN orders ON doc_id = o_orderkey"""
+@query("S8_entity_types", "SELECT DISTINCT p_type AS name, p_brand AS description FROM part")
+def _(spark, d):
+    path = new_folder(spark, "taxonomy")
+    table(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_brand").alias("description")).distinct().write.json(path)
+    return sources.entity_types(spark, path)
+
+
+_FINDINGS = """SELECT d.doc_id, 'Finding on ' || coalesce(strftime(o_orderdate, '%-m/%-d/%Y'), 'no day') || ' in ' || lang AS title,
+ d.text || coalesce(' paid $' || format('{:,.2f}', o_totalprice) || ' on ' || strftime(o_orderdate, '%-m/%-d/%Y') || ' call 555-010-'
+ || lpad((d.doc_id % 10000)::VARCHAR, 4, '0'), '') AS content, source AS type FROM documents d LEFT JOIN orders ON doc_id = o_orderkey"""
 _DRAFTS = f"""SELECT doc_id, title AS original_title, md5(content) AS original_md5, {sql.redact('title')} AS draft_title,
  md5({sql.redact('content')}) AS draft_md5, type AS finding_type, 'draft' AS status FROM ({_FINDINGS})"""
 
@@ -204,15 +211,33 @@ def _(spark, d):
 
 
 @query("P8_validation", """SELECT 'episode' AS kind, doc_id AS id, CASE WHEN n_chars < 300 THEN 'unknown episode_type' ELSE '' END AS reason FROM documents
- UNION ALL SELECT 'search', item_id, CASE WHEN length(text) % 53 BETWEEN 1 AND 50 THEN '' ELSE 'max_results not in 1..50' END FROM benchmark""")
-def _(spark, d):
+ UNION ALL SELECT 'search', item_id, CASE WHEN length(text) % 53 BETWEEN 1 AND 50 THEN '' ELSE 'max_results not in 1..50' END FROM benchmark
+ UNION ALL SELECT 'bootstrap', doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing engagement_id' WHEN doc_id % 3 = 0 THEN 'missing documents'
+  WHEN doc_id % 2 = 0 THEN 'missing ingest_seq' ELSE '' END FROM documents
+ UNION ALL SELECT 'structured', o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'missing client_slug' WHEN o_orderkey % 11 = 0 THEN 'missing episode_name'
+  WHEN o_orderkey % 7 = 0 THEN 'missing ingest_seq' WHEN o_orderkey % 5 = 0 THEN 'missing entities.name' WHEN o_orderkey % 3 = 0 THEN 'missing entities.type'
+  WHEN o_orderkey % 2 = 0 THEN 'missing relationships.target' ELSE '' END FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _(spark, d):
+    def unless(column, divisor, key):
+        return F.when(F.col(key) % divisor != 0, F.col(column))
+
+    def member(array, field, divisor):
+        return F.transform(array, lambda x: x.withField(field, F.when(F.col("id") % divisor != 0, x[field])))
+
+    boot = inputs.bootstrap_requests(spark, d).withColumn("id", F.col("ingest_seq")).withColumns({
+        "engagement_id": unless("engagement_id", 5, "id"), "documents": unless("documents", 3, "id"), "ingest_seq": unless("ingest_seq", 2, "id")})
+    orders = inputs.order_requests(spark, d).withColumn("id", F.col("ingest_seq")).withColumns({
+        "client_slug": unless("client_slug", 13, "id"), "episode_name": unless("episode_name", 11, "id"), "ingest_seq": unless("ingest_seq", 7, "id"),
+        "entities": member("entities", "name", 5)}).withColumns({
+        "entities": member("entities", "type", 3), "relationships": member("relationships", "target", 2)})
+
     def both(df, kind, key):
         good, bad = requests.validate(df, kind)
         head = [F.lit(kind).alias("kind"), F.col(key).alias("id")]
         return good.select(*head, F.lit("").alias("reason")).union(bad.select(*head, "reason"))
 
-    return both(inputs.document_requests(spark, d), "episode", "ingest_seq").union(
-        both(inputs.search_requests(spark, d), "search", "query_id"))
+    return both(inputs.document_requests(spark, d, short_notes=True), "episode", "ingest_seq").union(
+        both(inputs.search_requests(spark, d), "search", "query_id")).union(both(boot, "bootstrap", "id")).union(both(orders, "structured", "id"))
 
 
 _NODES = f"WITH {sql.REGION_GRAPH} "
@@ -390,7 +415,7 @@ def _(spark, d):
 
 
 _Q1_DOCS = "SELECT lang AS g, doc_id AS id, text AS body FROM documents"
-_Q1_QUERIES = "SELECT item_id AS query_id, unnest(['de', 'en', 'es', 'fr']) AS g, text AS body FROM benchmark"
+_Q1_QUERIES = "SELECT item_id AS query_id, lang AS g, text AS body FROM benchmark, (SELECT DISTINCT lang FROM documents)"
 
 
 def _language_docs(spark, d):
@@ -398,7 +423,8 @@ def _language_docs(spark, d):
 
 
 def _language_queries(spark, d):
-    every = F.explode(F.array(*map(F.lit, ["de", "en", "es", "fr"]))).alias("group_id")
+    languages = sorted(r.lang for r in table(spark, d, "documents").select("lang").distinct().collect() if r.lang is not None)
+    every = F.explode(F.array(*map(F.lit, languages))).alias("group_id")
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), every, "text")
 
 
@@ -707,6 +733,13 @@ def _(spark, d):
                             F.col("episodes")[0].alias("episode"))
 
 
+@query("Q5_graph_names", f"WITH {sql.extraction(sql.DOCUMENT_EPISODES, sql.KNOWN_TERMS)} {sql.MENTIONS}")
+def _(spark, d):
+    """Text whose only gazetteer is what the graphs hold."""
+    got = ingest.ingest_episodes(inputs.document_requests(spark, d), None, inputs.known_terms(spark, d), fixed_now())
+    return got.mentions
+
+
 @query("Q6_bootstrap", f"{_BOOT} {sql.EXTRACTION_COUNTS}")
 def _(spark, d):
     got, _ = ingest.bootstrap(inputs.bootstrap_requests(spark, d), inputs.benchmark_terms(spark, d), now=fixed_now())
@@ -727,7 +760,7 @@ def _(spark, d):
 
 
 @query("Q7_review_status", f"""SELECT d.doc_id, CASE quality WHEN 1 THEN 'approved' WHEN 0 THEN 'rejected' ELSE 'draft' END AS status
- FROM documents d JOIN orders ON d.doc_id = o_orderkey LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def _(spark, d):
     return _reviewed(spark, d).select("doc_id", "status")
 

@@ -20,6 +20,7 @@ def tokens(x: str) -> str:
     return f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
+# The patterns that are redacted.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"\b(\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 AMOUNT = r"\$[\d,]+(?:\.\d{2})?"
@@ -116,17 +117,16 @@ FACTS = f"""SELECT g AS group_id, {stable_id("'fact'", 'ep', 'pos')} AS uuid, sr
  'RELATES_TO' AS rel_type, name, fact, ep AS episode FROM lnk WHERE src IS NOT NULL AND tgt IS NOT NULL"""
 
 # --- text episodes -----------------------------------------------------------
-GAZETTEER = f"""terms AS (SELECT DISTINCT array_to_string(list_filter(string_split(trim(s), ' '), lambda w: w <> '')[1:3], ' ') AS name
-        FROM (SELECT unnest(string_split_regex(text, '[.!?\\n]+')) AS s FROM benchmark)),
+GAZETTEER = f"""terms AS (SELECT DISTINCT array_to_string(list_filter(string_split(trim(s), ' '), lambda w: w <> '')[1:n], ' ') AS name
+        FROM (SELECT unnest(string_split_regex(text, '[.!?\\n]+')) AS s FROM benchmark), (SELECT unnest([3, 12]) AS n)),
 gaz AS (SELECT gram, min(name) AS name FROM (SELECT name, array_to_string({tokens('name')}, ' ') AS gram FROM terms WHERE name <> '')
         WHERE gram <> '' GROUP BY gram)"""
 
 
-def extraction(episodes: str) -> str:
+def extraction(episodes: str, stored: str | None = None) -> str:
     """CTEs down to seen (first place of each name per sentence) and the resolved frames, over (g, ep, seq, content)."""
-    grams = "list_filter(range(1, 6), lambda n: i + n <= len(toks))"
-    entities = "SELECT g, ep, seq, min(sent * 2147483648 + place) AS pos, name AS nm, 'Finding' AS ty, '' AS de FROM seen GROUP BY g, ep, seq, gram, name"
-    relations = """SELECT g, ep, seq, sent * 2147483648 + place AS pos, name AS sn, tn, 'relates_to' AS rn, sentence AS fact FROM
+    entities = "SELECT g, ep, seq, min(sent * 549755813888 + place) AS pos, name AS nm, 'Finding' AS ty, '' AS de FROM seen GROUP BY g, ep, seq, gram, name"
+    relations = """SELECT g, ep, seq, sent * 549755813888 + place AS pos, name AS sn, tn, 'relates_to' AS rn, sentence AS fact FROM
         (SELECT *, lead(name) OVER (PARTITION BY g, ep, seq, sent ORDER BY place, gram) AS tn FROM seen) WHERE tn IS NOT NULL"""
     return f"""req AS ({episodes}),
 {GAZETTEER},
@@ -134,26 +134,28 @@ sen AS (SELECT g, ep, seq, generate_subscripts(parts, 1) - 1 AS sent, unnest(par
         FROM (SELECT *, string_split_regex(content, '[.!?\\n]+') AS parts FROM req)),
 tok AS (SELECT g, ep, seq, sent, {strip('raw')} AS sentence, {tokens('raw')} AS toks FROM sen),
 pla AS (SELECT *, unnest(range(0, len(toks))) AS i FROM tok WHERE len(toks) > 0),
-grm AS (SELECT *, unnest({grams}) AS n FROM pla),
-seen AS (SELECT g, ep, seq, sent, sentence, gaz.gram, gaz.name, min(i * 8 + n) AS place
+grm AS (SELECT pla.*, n FROM pla JOIN (SELECT DISTINCT len(string_split(gram, ' ')) AS n FROM gaz) ON i + n <= len(toks)),
+seen AS (SELECT g, ep, seq, sent, sentence, gaz.gram, gaz.name, min(i * 4096 + n) AS place
          FROM grm JOIN gaz ON gaz.gram = array_to_string(toks[i + 1:i + n], ' ') GROUP BY ALL),
-{resolution(entities, relations)}"""
+{resolution(entities, relations, stored)}"""
 
 
 _DOC_NAME = "'document_analysis: document/' || doc_id"
 DOCUMENT_EPISODES = f"""SELECT {graph('client', "'Lang-' || lang")} AS g,
         {stable_id("'episode'", graph('client', "'Lang-' || lang"), 'doc_id', _DOC_NAME)} AS ep, doc_id AS seq,
         CASE WHEN lang = 'en' THEN E'Metadata:\\n  lang: ' || lang || '  chars: ' || n_chars || E'\\n\\n' || text ELSE text END AS content
-        FROM documents WHERE n_chars >= 300"""
-BOOTSTRAP_EPISODES = f"""SELECT g, {stable_id("'episode'", 'g', 'seq', 'name')} AS ep, seq, content, document, request_seq, doc_pos, name, description, valid FROM
-        (SELECT {graph('client', "'boot ' || lang")} AS g, doc_id * 2147483648 AS seq, 'bootstrap: doc ' || doc_id AS name, text AS content,
+        FROM documents"""
+KNOWN_TERMS = f"""SELECT g, 'known-' || md5(name) AS uuid, name AS nm, TIMESTAMP '2020-01-01' AS created
+        FROM terms, (SELECT DISTINCT {graph('client', "'Lang-' || lang")} AS g FROM documents) WHERE name <> ''"""
+BOOTSTRAP_EPISODES = f"""SELECT g, {stable_id("'episode'", 'g', "request_seq || '/' || doc_pos", 'name')} AS ep, seq, content, document, request_seq, doc_pos, name, description, valid FROM
+        (SELECT {graph('client', "'boot ' || lang")} AS g, doc_id * 2 AS seq, 'bootstrap: doc ' || doc_id AS name, text AS content,
          'doc ' || doc_id AS document, doc_id AS request_seq, 0 AS doc_pos, 'Bootstrap document: ' || source AS description, '2024-03-01 00:00:00' AS valid FROM documents
-         UNION ALL SELECT {graph('client', "'boot ' || lang")}, doc_id * 2147483648 + 1, 'bootstrap: unknown', lang, NULL, doc_id, 1,
+         UNION ALL SELECT {graph('client', "'boot ' || lang")}, doc_id * 2 + 1, 'bootstrap: unknown', lang, NULL, doc_id, 1,
          'Bootstrap document: general', '2024-06-01 00:00:00' FROM documents)"""
 PROMOTED_EPISODES = f"""SELECT {graph('segment', 'type')} AS g, {stable_id("'episode'", graph('segment', 'type'), 'doc_id', "'segment_insight: ' || type")} AS ep,
-        doc_id AS seq, draft AS content FROM (SELECT d.doc_id, d.source AS type, {redact('''d.text || ' paid $' || format('{:,.2f}', o_totalprice)
-        || ' on ' || strftime(o_orderdate, '%-m/%-d/%Y') || ' call 555-010-' || lpad((d.doc_id % 10000)::VARCHAR, 4, '0')''')} AS draft
-        FROM documents d JOIN orders ON d.doc_id = o_orderkey JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1)"""
+        doc_id AS seq, draft AS content FROM (SELECT d.doc_id, d.source AS type, {redact('''d.text || coalesce(' paid $' || format('{:,.2f}', o_totalprice)
+        || ' on ' || strftime(o_orderdate, '%-m/%-d/%Y') || ' call 555-010-' || lpad((d.doc_id % 10000)::VARCHAR, 4, '0'), '')''')} AS draft
+        FROM documents d LEFT JOIN orders ON d.doc_id = o_orderkey JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1)"""
 EXTRACTION_COUNTS = """SELECT r.g AS group_id, r.ep AS episode_uuid, coalesce(e.n, 0)::BIGINT AS entities_extracted, coalesce(f.n, 0)::BIGINT AS facts_created
  FROM req r LEFT JOIN (SELECT ep, count(DISTINCT uuid) AS n FROM res GROUP BY ep) e ON e.ep = r.ep
  LEFT JOIN (SELECT ep, count(*) AS n FROM lnk WHERE src IS NOT NULL AND tgt IS NOT NULL GROUP BY ep) f ON f.ep = r.ep"""
