@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loregraph.functions import text
 from loregraph.operators.scale import is_small, of_groups, spread, top_n
@@ -84,96 +83,137 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DIGI
 def cosine(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DIGITS) -> DataFrame:
     """Exact top ``k`` by cosine in each query's group: (query_id, group_id, doc_id, score, rank).
 
-    ``docs`` has (group_id, doc_id, embedding), ``queries`` (query_id, group_id, embedding).
-    Every task multiplies its Arrow batches with the query matrix and keeps its own best
-    ``k`` per query, so neither pairs nor documents are shuffled. Queries travel in blocks
-    of bounded size, one at a time; more queries mean more passes over the vectors.
+    ``docs`` has (group_id, doc_id, embedding), ``queries`` (query_id, group_id, embedding), with
+    ids of any type. A vector only meets queries of its own length (see ``other_lengths``). Queries
+    shown to be few are broadcast: every task multiplies its Arrow batches with them and keeps its
+    own best ``k`` per query, so neither pairs nor documents are shuffled. More queries meet the
+    documents in a grid of blocks, each cell multiplied by one task.
     """
-    docs = of_groups(docs, queries)
-    rows = queries.select("query_id", "group_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator()
-    blocks = _blocks(rows, QUERY_BLOCK)
-    block, best = next(blocks, []), None
-    while block is not None:
-        following = next(blocks, None)
-        part, shared = _score_block(docs, block, k, decimals)
-        if best is not None or following is not None:
-            # One of several blocks: finish it, so that only one is ever held.
-            part = materialize(part)
-            shared.destroy()
-        best = part if best is None else best.union(part)
-        block = following
+    docs = of_groups(docs, queries).select(*DOC, "embedding").filter("embedding IS NOT NULL")
+    asked = materialize(queries.select("query_id", "group_id", "embedding").filter("embedding IS NOT NULL"))
+    few = is_small(asked, max_rows=QUERY_BLOCK)
+    best = _score_broadcast(docs, asked, k, decimals) if few else _score_grid(docs, asked, k, decimals)
     return top_n(best, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")
 
 
-def _blocks(rows: Iterator, size: int) -> Iterator[list]:
-    block: list = []
-    for row in rows:
-        block.append(row)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return kinds[docs.schema[column].dataType.simpleString()]
-
+def other_lengths(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Vectors that no query of their group can meet, because none has their length."""
+    lengths = queries.filter("embedding IS NOT NULL").select("group_id", F.size("embedding").alias("_length")).distinct()
+    here = docs.join(lengths.select("group_id").distinct(), "group_id", "left_semi")
+    return here.withColumn("_length", F.size("embedding")).join(lengths, ["group_id", "_length"], "left_anti").drop("_length")
 
-def _score_block(docs: DataFrame, block: list, k: int, decimals: int) -> tuple[DataFrame, Broadcast]:
-    """Best ``k`` per query of ``block`` within every task, and the broadcast they are made with."""
 
+def _scoring(docs: DataFrame, queries: DataFrame, k: int, decimals: int):
+    """Schema of scored rows and the functions a task scores with."""
     # Defined in here, so that tasks need numpy and Arrow but not this package.
+    types = [to_arrow_type(queries.schema["query_id"].dataType), *(to_arrow_type(docs.schema[c].dataType) for c in DOC), pa.float64()]
+    kinds = [queries.schema["query_id"].dataType.simpleString(), *(docs.schema[c].dataType.simpleString() for c in DOC)]
+    schema = f"query_id {kinds[0]}, group_id {kinds[1]}, doc_id {kinds[2]}, score double"
+    step_cells = SCORE_CELLS
+
     def unit_rows(matrix):
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
-    by_group: dict = {}
-    for row in block:
-        by_group.setdefault(row.group_id, ([], []))
-        by_group[row.group_id][0].append(row.query_id)
-        by_group[row.group_id][1].append(row.embedding)
-    asked = {g: (np.array(ids), unit_rows(np.array(vecs, dtype=np.float64))) for g, (ids, vecs) in by_group.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(asked)
-    group_type, id_type = _arrow_type(docs, "group_id"), _arrow_type(docs, "doc_id")
-    step_cells = SCORE_CELLS
+    def arranged(rows):
+        """Queries (id, group, vector) by group and length."""
+        by_kind = {}
+        for query, group, vector in rows:
+            ids, vectors = by_kind.setdefault((group, len(vector)), ([], []))
+            ids.append(query)
+            vectors.append(vector)
+        return {kind: (ids, unit_rows(np.array(vectors, dtype=np.float64))) for kind, (ids, vectors) in by_kind.items()}
+
+    def meet(queries, kept, groups, ids, vectors):
+        """Score the rows of one batch and keep the best of each query."""
+        coded = groups.dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        names = {name: code for code, name in enumerate(coded.dictionary.to_pylist())}
+        labels = ids.to_numpy(zero_copy_only=False)
+        for kind, (_, matrix) in queries.items():
+            group, length = kind
+            if group not in names:
+                continue
+            rows = np.flatnonzero((codes == names[group]) & (lengths == length))
+            step = max(1, step_cells // len(matrix))
+            for start in range(0, len(rows), step):
+                some = rows[start:start + step]
+                flat = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
+                units = unit_rows(flat.astype(np.float64).reshape(len(some), length))
+                scores = np.round(matrix @ units.T, decimals)
+                found = np.broadcast_to(labels[some], scores.shape)
+                if kind in kept:
+                    scores, found = np.hstack([kept[kind][0], scores]), np.hstack([kept[kind][1], found])
+                order = np.lexsort((found, -scores), axis=1)[:, :k]
+                kept[kind] = (np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1))
+
+    def result(queries, kept):
+        for kind, (scores, found) in kept.items():
+            size = scores.shape[1]
+            columns = [[q for q in queries[kind][0] for _ in range(size)], [kind[0]] * scores.size, found.ravel().tolist(), scores.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "group_id", "doc_id", "score"])
+
+    return schema, arranged, meet, result
+
+
+def _score_broadcast(docs: DataFrame, queries: DataFrame, k: int, decimals: int) -> DataFrame:
+    """Best ``k`` per query within every task; ``queries`` were shown to be few."""
+    schema, arranged, meet, result = _scoring(docs, queries, k, decimals)
+    shared = docs.sparkSession.sparkContext.broadcast(arranged((r.query_id, r.group_id, r.embedding) for r in queries.collect()))
 
     def best_of_task(batches):
-        queries, kept = shared.value, {}
+        kept = {}
+        for batch in batches:
+            meet(shared.value, kept, batch.column("group_id"), batch.column("doc_id"), batch.column("embedding"))
+        yield from result(shared.value, kept)
+
+    return docs.mapInArrow(best_of_task, schema)
+
+
+def _score_grid(docs: DataFrame, queries: DataFrame, k: int, decimals: int) -> DataFrame:
+    """Best ``k`` per query within every cell of (query block, document block), queries first in each.
+
+    Blocks are dealt by hash, so a hot group has many cells; a cell holds one block of queries and
+    reads its documents batch by batch."""
+    schema, arranged, meet, result = _scoring(docs, queries, k, decimals)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-queries.count() // QUERY_BLOCK)
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def block(key, n):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def none_of(frame, column):
+        return F.lit(None).cast(frame.schema[column].dataType)
+
+    asked = queries.select("group_id", block("query_id", blocks).alias("one"), every(parts).alias("two"), F.lit(0).alias("kind"),
+                           "query_id", none_of(docs, "doc_id").alias("doc_id"), "embedding")
+    given = docs.select("group_id", every(blocks).alias("one"), block("doc_id", parts).alias("two"), F.lit(1).alias("kind"),
+                        none_of(queries, "query_id").alias("query_id"), "doc_id", "embedding")
+    cells = asked.unionByName(given).repartition("one", "two").sortWithinPartitions("one", "two", "kind")
+
+    def best_of_cells(batches):
+        cell, rows, queries_here, kept = None, [], None, {}
         for batch in batches:
-            groups = np.asarray(batch.column("group_id").to_pylist(), dtype=object)
-            ids = np.asarray(batch.column("doc_id").to_pylist())
-            vectors = batch.column("embedding")
-            for group in set(groups.tolist()) & queries.keys():
-                rows = np.flatnonzero(groups == group)
-                matrix = queries[group][1]
-                step = max(1, step_cells // len(matrix))
-                for start in range(0, len(rows), step):
-                    some = rows[start : start + step]
-                    flat = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
-                    units = unit_rows(flat.astype(np.float64).reshape(len(some), -1))
-                    scores = np.round(matrix @ units.T, decimals)
-                    names = np.broadcast_to(ids[some], scores.shape)
-                    if group in kept:
-                        scores = np.hstack([kept[group][0], scores])
-                        names = np.hstack([kept[group][1], names])
-                    order = np.lexsort((names, -scores), axis=1)[:, :k]
-                    kept[group] = (np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1))
-        for group, (scores, names) in kept.items():
-            query_ids, size = queries[group][0], scores.shape[1]
-            columns = [
-                pa.array(np.repeat(query_ids, size).tolist(), pa.int64()),
-                pa.array([group] * scores.size, group_type),
-                pa.array(names.ravel().tolist(), id_type),
-                pa.array(scores.ravel(), pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "group_id", "doc_id", "score"])
-
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in DOC}
-    schema = f"query_id bigint, group_id {kinds['group_id']}, doc_id {kinds['doc_id']}, score double"
-    given = docs.select(*DOC, "embedding").filter("embedding IS NOT NULL")
-    return given.mapInArrow(best_of_task, schema), shared
+            ones, twos, kinds = (batch.column(c).to_numpy() for c in ("one", "two", "kind"))
+            edges = np.flatnonzero((np.diff(ones) != 0) | (np.diff(twos) != 0) | (np.diff(kinds) != 0)) + 1
+            for start, end in zip([0, *edges], [*edges, len(ones)]):
+                part, here = batch.slice(start, end - start), (ones[start], twos[start])
+                if here != cell:
+                    yield from result(queries_here or {}, kept)
+                    cell, rows, queries_here, kept = here, [], None, {}
+                if kinds[start] == 0:
+                    rows += zip(*(part.column(c).to_pylist() for c in ("query_id", "group_id", "embedding")))
+                    continue
+                if queries_here is None:
+                    queries_here = arranged(rows)
+                meet(queries_here, kept, part.column("group_id"), part.column("doc_id"), part.column("embedding"))
+        yield from result(queries_here or {}, kept)
+
+    return cells.mapInArrow(best_of_cells, schema)
 
 
 def fuse(lists: list[DataFrame], k: int, decimals: int = 10) -> DataFrame:

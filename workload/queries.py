@@ -687,34 +687,41 @@ def _(spark, d):
     return got.select("query_id", "group_id", "doc_id", _e6("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_COSINE = """vec AS (SELECT q.vec_id AS query_id, q.label::BIGINT AS g, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
- FROM embeddings q JOIN embeddings e ON q.label = e.label),
-vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 5)"""
+def _cosine(groups: str, kept: int) -> str:
+    """CTEs vec and vtop: the nearest vectors of the same group for the vectors with a benchmark item's number."""
+    return f"""grp AS ({groups}),
+vec AS (SELECT q.vec_id AS query_id, gq.g, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+ FROM embeddings q JOIN grp gq ON gq.id = q.vec_id JOIN grp ge ON ge.g = gq.g JOIN embeddings e ON e.vec_id = ge.id
+ WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= {kept})"""
 
 
-@query("Q2_vector_top_k", f"WITH {_COSINE} SELECT query_id, g AS group_id, id AS doc_id, round(score * 1000000)::BIGINT AS score_e6, rank::BIGINT AS rank FROM vtop")
+@query("Q2_vector_top_k", f"WITH {_cosine('SELECT vec_id AS id, label::BIGINT AS g FROM embeddings', 5)} SELECT query_id, g AS group_id, id AS doc_id, round(score * 1000000)::BIGINT AS score_e6, rank::BIGINT AS rank FROM vtop")
 def _(spark, d):
     vectors = inputs.labelled_vectors(spark, d)
-    got = rank.cosine(vectors, vectors.withColumnRenamed("doc_id", "query_id"), 5)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
+    asked = vectors.join(items, "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    got = rank.cosine(vectors, asked, 5)
     return got.select("query_id", "group_id", "doc_id", _e6("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_FUSE_DOCS = "SELECT label::BIGINT AS g, doc_id AS id, text AS body FROM documents JOIN embeddings ON doc_id = vec_id"
-_FUSE_QUERIES = "SELECT vec_id AS query_id, label::BIGINT AS g, text AS body FROM benchmark JOIN embeddings ON item_id = vec_id"
+_FUSE_DOCS = "SELECT lang AS g, doc_id AS id, text AS body FROM documents"
+_FUSE_QUERIES = "SELECT item_id AS query_id, lang AS g, b.text AS body FROM benchmark b JOIN documents ON item_id = doc_id"
 
 
-@query("Q3_fusion", f"""WITH {sql.bm25(_FUSE_DOCS, _FUSE_QUERIES, 20)}, {_COSINE.replace('rank <= 5', 'rank <= 20').replace('q.label = e.label', 'q.label = e.label WHERE e.vec_id IN (SELECT doc_id FROM documents)')},
-both_lists AS (SELECT query_id, g, id, rank FROM top UNION ALL SELECT query_id, g, id, rank FROM vtop WHERE query_id IN (SELECT item_id FROM benchmark)),
+@query("Q3_fusion", f"""WITH {sql.bm25(_FUSE_DOCS, _FUSE_QUERIES, 20)}, {_cosine('SELECT doc_id AS id, lang AS g FROM documents', 20)},
+both_lists AS (SELECT query_id, g, id, rank FROM top UNION ALL SELECT query_id, g, id, rank FROM vtop),
 fused AS (SELECT query_id, g, id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM both_lists GROUP BY ALL)
 SELECT query_id, g AS group_id, id AS doc_id, round(score * 1000000)::BIGINT AS score_e6, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id)::BIGINT AS rank FROM fused
 QUALIFY row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) <= 10""")
 def _(spark, d):
-    vectors = inputs.labelled_vectors(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", "text").join(vectors.select("doc_id", "group_id"), "doc_id")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(
-        vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
-    known = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
-    lists = [rank.bm25(docs, asked, 20), rank.cosine(known, asked, 20)]
+    """Documents without a vector are found by their text alone."""
+    docs = _language_docs(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id", "group_id"), "doc_id")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    asked = items.join(docs.select("doc_id", "group_id"), "doc_id").withColumnRenamed("doc_id", "query_id")
+    asked_vectors = vectors.join(items.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    lists = [rank.bm25(docs, asked, 20), rank.cosine(vectors, asked_vectors, 20)]
     got = rank.fuse(lists, 10)
     return got.select("query_id", "group_id", "doc_id", _e6("score"), F.col("rank").cast("long").alias("rank"))
 
