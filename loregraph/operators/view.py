@@ -1,12 +1,12 @@
 """Node and edge views of graphs.
 
 Node frames hold (group_id, native_id, node_labels, labels, properties), edge frames
-(group_id, source_* and target_* ids, rel_type, properties, and an order to break ties by).
+(group_id, source_* and target_* ids, rel_type, fact, and created_at and edge_uuid to order by).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions import labels, nodes
@@ -16,14 +16,19 @@ EPISODIC = "Episodic"
 
 
 def entity_nodes(entities: DataFrame) -> DataFrame:
-    """Stored entities as node rows."""
+    """Stored entities as node rows, with all their properties: their own map, and over it the columns."""
+    shown = [c for c in ("uuid", "name", "summary", "group_id", "created_at") if c in entities.columns]
+    columns = {c: F.col(c).cast("string") for c in shown}
+    if "labels" in entities.columns:
+        columns["labels"] = F.to_json("labels")
+    own = F.create_map(*[x for name, value in columns.items() for x in (F.lit(name), value)])
+    own = F.map_filter(own, lambda _, value: value.isNotNull())
+    if "properties" in entities.columns:
+        given = F.coalesce("properties", F.create_map().cast("map<string,string>"))
+        own = F.map_concat(F.map_filter(given, lambda key, _: ~F.map_contains_key(own, key)), own)
     return entities.select(
         "group_id", F.lit(None).cast("long").alias("native_id"), F.array(F.lit("Entity")).alias("node_labels"),
-        "labels",
-        F.create_map(
-            F.lit("uuid"), "uuid", F.lit("name"), "name", F.lit("summary"), "summary",
-            F.lit("group_id"), "group_id",
-        ).alias("properties"),
+        "labels", own.alias("properties"),
     )
 
 
@@ -34,10 +39,15 @@ def fact_edges(facts: DataFrame) -> DataFrame:
         "group_id",
         "source_uuid", none.cast("string").alias("source_id"), none.cast("long").alias("source_native"),
         "target_uuid", none.cast("string").alias("target_id"), none.cast("long").alias("target_native"),
-        "rel_type", "fact", F.col("uuid").alias("edge_uuid"),
+        "rel_type", "fact", _created(facts), F.col("uuid").alias("edge_uuid"),
     )
 
 
+def _created(rows: DataFrame) -> Column:
+    """``created_at`` of rows that carry it; within one ingest it is the same for all."""
+    return F.col("created_at") if "created_at" in rows.columns else F.lit(None).cast("timestamp").alias("created_at")
+
+
 def not_episodic(node_rows: DataFrame) -> DataFrame:
     """A node without labels is not episodic either."""
     return node_rows.filter(~F.coalesce(F.array_contains("node_labels", EPISODIC), F.lit(False)))
@@ -79,11 +89,11 @@ def edge_ends(edge_rows: DataFrame) -> DataFrame:
         "group_id",
         nodes.endpoint_id("source_uuid", "source_id", "source_native").alias("source"),
         nodes.endpoint_id("target_uuid", "target_id", "target_native").alias("target"),
-        "rel_type", F.coalesce("fact", F.lit("")).alias("fact"), "edge_uuid",
+        "rel_type", F.coalesce("fact", F.lit("")).alias("fact"), _created(edge_rows), "edge_uuid",
     )
     return ends.select(
         "group_id", nodes.edge_id("source", "rel_type", "target").alias("id"), "source", "target",
-        nodes.edge_label("rel_type").alias("label"), "fact", "edge_uuid",
+        nodes.edge_label("rel_type").alias("label"), "fact", "created_at", "edge_uuid",
     )
 
 
@@ -102,13 +112,15 @@ def within(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def limited_edges(edges: DataFrame, max_nodes: int = 500) -> DataFrame:
-    """First 2 x ``max_nodes`` edges per graph by edge uuid."""
-    return top_n(edges, ["group_id"], [F.col("edge_uuid")], 2 * max_nodes, "_rank").drop("_rank")
+    """First 2 x ``max_nodes`` edges per graph by creation, then edge uuid."""
+    order = [F.asc_nulls_last("created_at"), F.asc("edge_uuid")]
+    return top_n(edges, ["group_id"], order, 2 * max_nodes, "_rank").drop("_rank")
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
-    """One edge per edge id, the one with the lowest uuid; predicates sharing it collapse."""
-    return first_wins(edges, ["group_id", "id"], ["edge_uuid"])
+    """One edge per edge id, the oldest, then the one with the lowest uuid; predicates sharing it collapse."""
+    dated = edges.withColumn("_undated", F.col("created_at").isNull())
+    return first_wins(dated, ["group_id", "id"], ["_undated", "created_at", "edge_uuid"]).drop("_undated")
 
 
 def view_counts(view_nodes: DataFrame, view_edges: DataFrame) -> DataFrame:

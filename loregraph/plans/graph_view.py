@@ -47,4 +47,10 @@ def stored_view(entities: DataFrame, facts: DataFrame, max_nodes: int = 500, **o
     return graph_view(view.entity_nodes(entities), view.fact_edges(facts), max_nodes, **options)
 
 
-__all__ = ["GraphView", "graph_view", "labels", "stored_view"]
+def write_view(shown: GraphView, path: str, fmt: str = "json") -> None:
+    """Nodes, edges and counts of a view, each in a folder below ``path``."""
+    for name, frame in shown._asdict().items():
+        frame.write.format(fmt).save(f"{path.rstrip('/')}/{name}")
+
+
+__all__ = ["GraphView", "graph_view", "labels", "stored_view", "write_view"]

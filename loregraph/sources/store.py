@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from loregraph.functions import domains, keys
 from loregraph.operators.resolve import Resolution
 from loregraph.operators.scale import of_groups
 
+DELETES = 16  # folders deleted side by side
+
 
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -61,7 +64,7 @@ class GraphStore:
         one's last tasks leave no executor idle.
         """
         batch_id = batch_id or f"b{uuid.uuid4().hex}"
-        now = F.current_timestamp() if now is None else now
+        now = one_time() if now is None else now
         self.register(result.episodes.select("group_id"), now)
         none = F.lit(None).cast(schemas.PROPERTIES)
         sinks = {
@@ -90,7 +93,7 @@ class GraphStore:
 
     def register(self, groups: DataFrame, now: Column | None = None) -> None:
         """List graphs that are not listed yet."""
-        now = F.current_timestamp() if now is None else now
+        now = one_time() if now is None else now
         new = groups.select("group_id").distinct().join(self.list_graphs(), "group_id", "left_anti")
         kind = F.when(F.col("group_id").startswith("segment_"), F.lit("segment")).otherwise(F.lit("client"))
         rows = new.select(kind.alias("kind"), now.alias("created_at"), "group_id")
@@ -121,9 +124,20 @@ class GraphStore:
 
     def _drop(self, groups: DataFrame, tables: Iterable[str]) -> None:
         # Graph keys are letters, digits and underscores, so they are folder names as they are.
-        for row in groups.distinct().toLocalIterator():
+        def drop(group: str) -> None:
             for table in tables:
-                self._fs(table).delete(self._path(f"{table}/group_id={row.group_id}"), True)
+                self._fs(table).delete(self._path(f"{table}/group_id={group}"), True)
+
+        with ThreadPoolExecutor(DELETES) as pool:
+            pending: set = set()
+            for row in groups.distinct().toLocalIterator():
+                pending.add(pool.submit(drop, row.group_id))
+                if len(pending) >= 8 * DELETES:  # however many graphs, few are held here
+                    done, pending = wait(pending, return_when=FIRST_COMPLETED)
+                    for job in done:
+                        job.result()
+            for job in pending:
+                job.result()
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -132,6 +146,11 @@ class GraphStore:
         return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
+def one_time() -> Column:
+    """The present as a constant, so that all jobs of a batch write the same time."""
+    return F.lit(datetime.now(timezone.utc).isoformat()).cast("timestamp")
+
+
 def confirm(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split destructive requests by the exact confirm sentence into (confirmed, rejected)."""
     agreed = F.coalesce(F.col("confirm") == domains.CONFIRM_SENTENCE, F.lit(False))

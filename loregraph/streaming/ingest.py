@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from loregraph.functions import keys
 from loregraph.plans.ingest import ingest_structured
-from loregraph.sources.store import GraphStore
+from loregraph.sources.store import GraphStore, one_time
 
 
 def ingest_batch(store: GraphStore, requests: DataFrame, batch_id: str, now: Column | None = None) -> None:
@@ -17,7 +16,7 @@ def ingest_batch(store: GraphStore, requests: DataFrame, batch_id: str, now: Col
     Entities this very batch wrote in an earlier attempt are not taken for stored ones,
     so a replay makes the same decisions as the first attempt.
     """
-    now = F.current_timestamp() if now is None else now
+    now = one_time() if now is None else now
     groups = requests.select(keys.client_graph("client_slug").alias("group_id"))
     stored = store.entities_for(groups, batch_id)
     store.append(ingest_structured(requests, stored, now), batch_id, now)

@@ -150,12 +150,32 @@ def _(spark, d):
     return stores.administered_store(spark, d).graph_sizes()
 
 
-@query("S14_view_sink", f"""{sql.view(200)} SELECT g AS group_id, id, name, type FROM vn""")
+@query("S14_view_sink", f"""{sql.view(200)} SELECT 'node' AS kind, g AS group_id, id, name, type, 0::BIGINT AS n FROM vn
+ UNION ALL SELECT 'edge', g, id, source || '>' || target || ':' || fact, label, 0 FROM vy
+ UNION ALL SELECT 'count', coalesce(n.g, e.g), '', 'edges ' || coalesce(e.n, 0), '', coalesce(n.n, 0) FROM
+  (SELECT g, count(*) AS n FROM vn GROUP BY g) n FULL JOIN (SELECT g, count(*) AS n FROM vy GROUP BY g) e ON n.g = e.g""")
 def _(spark, d):
     path = new_folder(spark, "view")
     got = graph_view.graph_view(inputs.region_nodes(spark, d), inputs.region_edges(spark, d), 200, check_ends=True)
-    got.nodes.write.json(f"{path}/nodes")
-    return spark.read.schema(got.nodes.schema).json(f"{path}/nodes").drop("properties")
+    graph_view.write_view(got, path)
+    shown, edges, counts = (spark.read.schema(frame.schema).json(f"{path}/{name}") for name, frame in got._asdict().items())
+    blank = F.lit("")
+    return shown.select(F.lit("node").alias("kind"), "group_id", "id", "name", "type", F.lit(0).cast("long").alias("n")).unionByName(
+        edges.select(F.lit("edge").alias("kind"), "group_id", "id", F.concat("source", F.lit(">"), "target", F.lit(":"), "fact").alias("name"),
+                     F.col("label").alias("type"), F.lit(0).cast("long").alias("n"))).unionByName(
+        counts.select(F.lit("count").alias("kind"), "group_id", blank.alias("id"), F.concat(F.lit("edges "), F.col("edge_count").cast("string")).alias("name"),
+                      blank.alias("type"), F.col("node_count").alias("n")))
+
+
+@query("S14_stored_nodes", f"""{sql.ORDERS_FRESH}, kept AS (SELECT * FROM res WHERE created QUALIFY row_number() OVER (PARTITION BY g ORDER BY uuid, nm) <= 500)
+SELECT g AS group_id, uuid AS id, nm AS name, g AS graph_property, summary, '["' || label || '"]' AS labels, '2024-06-01 00:00:00' AS created_at FROM kept""")
+def _(spark, d):
+    """Nodes of a stored graph show all that was stored."""
+    store = stores.order_store(spark, d)
+    got = graph_view.stored_view(store.table("entities"), store.table("facts")).nodes
+    props = F.col("properties")
+    return got.select("group_id", "id", "name", props["group_id"].alias("graph_property"), props["summary"].alias("summary"), props["labels"].alias("labels"),
+                      props["created_at"].alias("created_at"))
 
 
 # --- projections and filters -----------------------------------------------------
@@ -494,7 +514,7 @@ def _(spark, d):
 
 @query("A7_edge_dedupe", f"{_NODES} SELECT g AS group_id, id, source, target, label, fact, eid AS edge_uuid FROM edges QUALIFY row_number() OVER (PARTITION BY g, id ORDER BY eid) = 1")
 def _(spark, d):
-    return view.dedupe_edges(view.edge_ends(inputs.region_edges(spark, d)))
+    return view.dedupe_edges(view.edge_ends(inputs.region_edges(spark, d))).drop("created_at")
 
 
 @query("A8_collected_answers", f"""{sql.SEARCH} SELECT a.query_id, a.g AS graph_name,
