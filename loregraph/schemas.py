@@ -51,3 +51,4 @@ TABLES = {
     ),
 }
 GRAPHS = _struct(kind=_S, created_at=_TS, group_id=_S)
+BATCHES = _struct(committed_at=_TS, batch_id=_S)

@@ -27,13 +27,19 @@ class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        for table in (*schemas.TABLES, "graphs"):
+        for table in (*schemas.TABLES, "graphs", "batches"):
             self._fs(table).mkdirs(self._path(table))
 
     # --- reading ---------------------------------------------------------
     def table(self, name: str) -> DataFrame:
-        schema = schemas.GRAPHS if name == "graphs" else schemas.TABLES[name]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        """A stored table; of the batches, only those that were written to the end are visible."""
+        if name == "graphs":
+            return self.spark.read.schema(schemas.GRAPHS).parquet(f"{self.root}/graphs")
+        schema = schemas.TABLES[name]
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        # A row per batch: Spark broadcasts it while it is small, and then skips the folders of others.
+        whole = self.spark.read.schema(schemas.BATCHES).parquet(f"{self.root}/batches").select("batch_id")
+        return rows.join(whole, "batch_id", "left_semi").select(*schema.fieldNames())
 
     def entities_for(self, groups: DataFrame, batch_id: str | None = None) -> DataFrame:
         """Entities a batch resolves against: those of its graphs written by other batches."""
@@ -58,26 +64,28 @@ class GraphStore:
 
     # --- writing ---------------------------------------------------------
     def append(self, result: Resolution, batch_id: str | None = None, now: Column | None = None) -> str:
-        """Write one ingest. Episodes go last: their presence means the batch is complete.
+        """Write one ingest. Its marker goes last, and makes the batch visible to readers.
 
-        The other sinks do not depend on each other and are written side by side, so that
+        The sinks do not depend on each other and are written side by side, so that
         one's last tasks leave no executor idle.
         """
         batch_id = batch_id or f"b{uuid.uuid4().hex}"
         now = one_time() if now is None else now
         self.register(result.episodes.select("group_id"), now)
         none = F.lit(None).cast(schemas.PROPERTIES)
+        episodes = result.episodes.withColumn("source", F.lit("text")).withColumnsRenamed(
+            {"episode_uuid": "uuid", "seq": "ingest_seq"}
+        )
         sinks = {
             "entities": result.entities.withColumn("properties", none), "mentions": result.mentions, "facts": result.facts,
+            "episodes": episodes,
         }
         with ThreadPoolExecutor(len(sinks)) as pool:
             jobs = [pool.submit(self._write, table, rows, batch_id, now) for table, rows in sinks.items()]
             for job in jobs:
                 job.result()
-        episodes = result.episodes.withColumn("source", F.lit("text")).withColumnsRenamed(
-            {"episode_uuid": "uuid", "seq": "ingest_seq"}
-        )
-        self._write("episodes", episodes, batch_id, now)
+        done = self.spark.range(1).select(now.alias("committed_at"))
+        done.write.mode("overwrite").parquet(f"{self.root}/batches/batch_id={batch_id}")
         return batch_id
 
     def _write(self, table: str, rows: DataFrame, batch_id: str, now: Column) -> None:

@@ -16,9 +16,10 @@ INVENTORY = (
 
 
 def test_every_inventory_id_has_a_query_with_sql():
-    ids = {re.match(r"[A-Z]\d+[a-f]?", name).group() for name in contract.queries()}
+    own = {name for name in contract.queries() if re.match(r"[A-Z]\d", name)}
+    ids = {re.match(r"[A-Z]\d+[a-f]?", name).group() for name in own}
     assert not set(INVENTORY) - ids
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert own <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_flagship(spark):

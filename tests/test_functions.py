@@ -64,8 +64,10 @@ def test_bootstrap_defaults_are_by_key(spark):
 
 def test_tokens_and_grams(spark):
     assert one(spark, ["A b, c!", "", "--"], text.tokens("v")) == [["a", "b", "c"], [], []]
-    got = values(spark, [(["a", "b", "c"], 1, 2)], "w array<string>, s int, n int", text.gram("w", "s", "n"))
-    assert got == [("b c",)]
+    got = values(
+        spark, [(["a", "b", "c"],), (["a"],), ([],)], "w array<string>", text.grams("w", 2), text.grams("w", 1))
+    assert [[tuple(g) for g in two] for two, _ in got] == [[(0, 2, "a b"), (1, 2, "b c")], [], []]
+    assert [[g.gram for g in single] for _, single in got] == [["a", "b", "c"], ["a"], []]
 
 
 def test_sentences(spark):
@@ -206,3 +208,7 @@ def test_defaults(spark):
     assert one(spark, ["", "  ", " owns "], defaults.fact_name("v")) == ["relates_to", "", "owns"]
     got = values(spark, [("", "owns "), ("f", "r"), (None, None)], "f string, r string", defaults.fact_text("f", "r"))
     assert [g[0] for g in got] == ["owns ", "f", ""]
+
+
+def test_a_placeholder_is_taken_as_it_is(spark):
+    assert one(spark, ["Acme and acme"], redact.redact_client("v", F.lit("acme"), "$1\\x")) == ["$1\\x and $1\\x"]

@@ -84,6 +84,17 @@ def test_cosine(spark, monkeypatch, block):
     assert {(r.query_id, r.doc_id): r.score for r in got.collect()} == pytest.approx({(q, d): s for q, d, s in expected}, abs=2e-4)
 
 
+@pytest.mark.parametrize("block", [1, 4096])
+def test_cosine_of_other_lengths_and_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(rank, "QUERY_BLOCK", block)
+    docs = spark.createDataFrame([("g", "a", [1.0, 0.0]), ("g", "b", [1.0]), ("h", "c", [2.0, 0.0]), (None, "d", [1.0, 0.0])],
+                                 "group_id string, doc_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", "g", [2.0, 0.0]), ("r", "h", [1.0, 0.0, 0.0]), ("s", "x", [1.0])],
+                                    "query_id string, group_id string, embedding array<double>")
+    assert [(r.query_id, r.doc_id, r.score) for r in rank.cosine(docs, queries, 3).collect()] == [("q", "a", 1.0)]
+    assert {r.doc_id for r in rank.other_lengths(docs, queries).collect()} == {"b", "c"}
+
+
 def test_cosine_without_queries(spark):
     docs = spark.createDataFrame([("g", "d", [1.0])], "group_id string, doc_id string, embedding array<double>")
     none = spark.createDataFrame([], "query_id long, group_id string, embedding array<double>")

@@ -65,6 +65,22 @@ def test_a_crash_between_sinks_is_repaired(spark, store):
     assert content(store) == content(clean)
 
 
+def test_an_unfinished_batch_is_not_seen(spark, store):
+    ingest_batch(store, structured(spark, ROWS[:1]), "p0")
+    before = content(store)
+    now = F.lit("2024-01-01").cast("timestamp")
+    got = ingest.ingest_structured(structured(spark, ROWS[2:]), None, now)
+    store._write("entities", got.entities.withColumn("properties", F.lit(None).cast(schemas.PROPERTIES)), "p1", now)
+    store._write("facts", got.facts, "p1", now)
+    assert content(store) == before
+
+
+def test_a_batch_has_one_time(spark, store):
+    ingest_batch(store, structured(spark, ROWS), "p0")
+    times = [r.created_at for t in schemas.TABLES for r in store.table(t).select("created_at").distinct().collect()]
+    assert len(set(times)) == 1
+
+
 def test_resubmitting_duplicates_facts_but_not_entities(spark, store):
     ingest_batch(store, structured(spark, ROWS[:1]), "p0")
     again = structured(spark, [("A", 9, *ROWS[0][2:])])

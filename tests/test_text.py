@@ -20,19 +20,19 @@ def tok(text):
 
 def brute(episodes, names):
     """Entities per episode and neighbour facts per sentence."""
-    grams = {" ".join(tok(n)): n for n in names if 0 < len(tok(n)) <= 5}
+    grams = {" ".join(tok(n)): n for n in names if tok(n)}
     entities, links = set(), []
     for episode, text in episodes:
         for sentence in re.split(r"[.!?\n]+", text):
             toks, seen = tok(sentence), {}
             for i in range(len(toks)):
-                for n in range(1, 6):
+                for n in range(1, 9):
                     gram = " ".join(toks[i : i + n])
                     if i + n <= len(toks) and gram in grams:
-                        seen.setdefault(gram, (i * 8 + n, gram))
+                        seen.setdefault(gram, (i, n, gram))
             ordered = sorted(seen.values())
-            entities |= {(episode, grams[g]) for _, g in ordered}
-            links += [(episode, grams[a], grams[b], sentence.strip()) for (_, a), (_, b) in zip(ordered, ordered[1:])]
+            entities |= {(episode, grams[g]) for *_, g in ordered}
+            links += [(episode, grams[a], grams[b], sentence.strip()) for (*_, a), (*_, b) in zip(ordered, ordered[1:])]
     return entities, sorted(links)
 
 
@@ -43,7 +43,7 @@ def test_extraction(spark, monkeypatch, small):
     episodes = [(f"e{i}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(25)]
     names = ["New York", "York", "new york city", "River", "the river", "Alpha-Beta", "of", "one two three four five six", "--"]
     if not small:
-        monkeypatch.setattr(extract, "is_small", lambda df: False)
+        monkeypatch.setattr(extract, "hint_if_small", lambda df: df)
     rows = spark.createDataFrame([("g", e, i, t) for i, (e, t) in enumerate(episodes)],
                                  "group_id string, episode_uuid string, seq long, content string")
     terms = spark.createDataFrame([(n,) for n in names], "name string")
@@ -62,6 +62,19 @@ def test_gazetteer_of_a_graph_stays_in_it(spark):
     assert {(r.group_id, r.name) for r in found.collect()} == {("a", "ann"), ("b", "bob")} and linked.count() == 0
 
 
+def test_long_names_and_names_of_the_graph(spark):
+    rows = spark.createDataFrame([("a", "e1", 0, "Then one two three four five six seven met Ann Lee."), ("b", "e2", 0, "Ann Lee met Bo")],
+                                 "group_id string, episode_uuid string, seq long, content string")
+    terms = spark.createDataFrame([("One two three four five six seven",), ("ann lee",)], "name string")
+    stored = spark.createDataFrame([("a", "u1", "ANN LEE"), ("b", "u2", "Bo"), ("c", "u3", "Then")], "group_id string, uuid string, name string")
+    found, linked = extract.extract(rows, terms, stored)
+    assert {(r.group_id, r.name) for r in found.collect()} == {
+        ("a", "One two three four five six seven"), ("a", "ann lee"), ("b", "ann lee"), ("b", "Bo")}
+    assert linked.count() == 2
+    only, _ = extract.extract(rows, None, stored)
+    assert {(r.group_id, r.name) for r in only.collect()} == {("a", "ANN LEE"), ("b", "Bo")}
+
+
 def test_one_long_sentence_is_read_whole(spark):
     text = " ".join(["filler"] * 5000 + ["needle"] + ["filler"] * 10 + ["thread"])
     rows = spark.createDataFrame([("g", "e", 0, text)], "group_id string, episode_uuid string, seq long, content string")
@@ -100,9 +113,19 @@ def test_bootstrap(spark):
 def test_validation_splits_requests(spark):
     rows = [("A", "e", "status_update", "c", "1", "d", {}, None, 0), ("A", "e", "nope", "c", "1", "d", {}, None, 1),
             ("A", "e", "status_update", None, "1", "d", {}, None, 2)]
+    rows.append(("A", "e", "status_update", "c", "1", "d", {}, None, None))
     good, bad = requests.validate(spark.createDataFrame(rows, schemas.EPISODE_REQUEST), "episode")
     assert [r.ingest_seq for r in good.collect()] == [0]
-    assert {r.ingest_seq: r.reason for r in bad.collect()} == {1: "unknown episode_type", 2: "missing content"}
+    assert {r.ingest_seq: r.reason for r in bad.collect()} == {1: "unknown episode_type", 2: "missing content", None: "missing ingest_seq"}
+
+
+def test_bootstrap_takes_large_sequence_numbers(spark):
+    docs = [{"name": "a", "content": "Ann"}, {"name": "b", "content": "Ann met Bob"}]
+    late = 1_700_000_000_000
+    rows = spark.createDataFrame([("A", "e", docs, late + 1), ("A", "e", docs[:1], late)], schemas.BOOTSTRAP_REQUEST)
+    got, _ = ingest.bootstrap(rows, spark.createDataFrame([("ann",), ("bob",)], "name string"), now=now())
+    order = [r.name for r in got.episodes.orderBy("seq").collect()]
+    assert order == ["bootstrap: a", "bootstrap: a", "bootstrap: b"] and got.facts.count() == 1
 
 
 def test_drafts_review_promotion(spark):
@@ -115,7 +138,7 @@ def test_drafts_review_promotion(spark):
     assert got[1].draft_content == "the gaming commission paid [amount] to [stakeholder] Lee"
     assert (got[2].original_title, got[2].draft_content, got[2].finding_type, got[2].status) == ("", "x", "", "draft")
 
-    decisions = spark.createDataFrame([(1, True), (2, False)], "id long, approved boolean")
+    decisions = spark.createDataFrame([(1, True), (2, False), (1, True), (2, True)], "id long, approved boolean")
     reviewed = insights.review(drafts, decisions, "id")
     assert {r.id: r.status for r in reviewed.collect()} == {1: "approved", 2: "rejected", 3: "draft"}
     ready = reviewed.withColumns({"industry": F.lit("Tribal_Gaming"), "source_description": F.lit("s"), "ingest_seq": F.col("id")})

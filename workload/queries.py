@@ -81,6 +81,24 @@ def _(spark, d):
                        F.col("episodes")[0].alias("episode"))
 
 
+@query("S7_resubmitted", f"""SELECT min(c_custkey) AS query_id, {sql.graph('client', 'c_mktsegment')} AS graph_name, 3::BIGINT AS n, 3::BIGINT AS n_distinct
+ FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey) GROUP BY c_mktsegment""")
+def _(spark, d):
+    """All requests sent twice, in two batches: a search still returns as many facts as asked, all different."""
+    store = stores_api.GraphStore(spark, new_folder(spark, "twice"))
+    sent = inputs.order_requests(spark, d)
+    for batch in ("first", "again"):
+        stored = store.entities_for(sent.select(keys.client_graph("client_slug").alias("group_id")), batch)
+        store.append(ingest.ingest_structured(sent, stored, fixed_now()), batch, fixed_now())
+    slugs = sent.select("client_slug").distinct().join(table(spark, d, "customer"), F.col("client_slug") == F.col("c_mktsegment"))
+    asked = slugs.groupBy("client_slug").agg(F.min("c_custkey").alias("query_id")).select(
+        "query_id", "client_slug", F.lit("e").alias("engagement_id"), F.lit("places precedes").alias("query"), F.lit(3).alias("max_results"),
+        F.lit(False).alias("include_segment"), F.lit(None).cast("string").alias("industry"))
+    got = search.search_context(asked, store.table("facts"))
+    one = F.transform("facts", lambda x: F.concat_ws(">", x["subject"], x["predicate"], x["object"], x["fact"]))
+    return got.select("query_id", "graph_name", F.size("facts").cast("long").alias("n"), F.size(F.array_distinct(one)).cast("long").alias("n_distinct"))
+
+
 @query("S8_taxonomy", """SELECT CASE WHEN n_chars < 300 THEN 'note' ELSE 'document_analysis' END AS episode_type,
  n_chars >= 300 AS known, count(*) AS n FROM documents GROUP BY ALL""")
 def _(spark, d):
@@ -753,6 +771,29 @@ def _(spark, d):
     return each.select("query_id", (F.col("rank") + 1).cast("long").alias("rank"), "f.subject", "f.predicate", "f.object", F.md5("f.fact").alias("fact_md5"))
 
 
+@query("Q4_hybrid_context", f"""WITH {sql.CONVERSATION_FACTS},
+{sql.SEARCH_REQUESTS},
+{sql.bm25('SELECT g, id, body FROM facts', 'SELECT query_id, g, body FROM scoped', 50)},
+vec AS (SELECT s.query_id, s.g, 'doc-' || lpad(e.vec_id::VARCHAR, 9, '0') AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+ FROM scoped s JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings e ON e.vec_id IN (SELECT doc_id FROM documents) WHERE scope = 'segment'),
+vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 50),
+both_lists AS (SELECT query_id, g, id, rank FROM top UNION ALL SELECT query_id, g, id, rank FROM vtop),
+fused AS (SELECT query_id, g, id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM both_lists GROUP BY ALL),
+ftop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 15)
+SELECT t.query_id, s.scope, t.rank::BIGINT AS rank, md5(f.body) AS fact_md5 FROM ftop t JOIN scoped s ON s.query_id = t.query_id AND s.g = t.g AND t.rank <= s.keep
+JOIN facts f ON f.g = t.g AND f.id = t.id""")
+def _(spark, d):
+    """The whole search with vectors of the segment's facts and of the queries."""
+    facts = inputs.conversation_facts(spark, d)
+    vectors = table(spark, d, "embeddings")
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"))
+    fact_vectors = vectors.join(known, "vec_id", "left_semi").select(
+        F.lit("segment_tribal_gaming").alias("group_id"), F.concat(F.lit("doc-"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("doc_id"), "embedding")
+    valid, _ = requests.validate(inputs.search_requests(spark, d), "search")
+    hits = search.search_hits(valid, facts, fact_vectors, vectors.select(F.col("vec_id").alias("query_id"), "embedding"))
+    return hits.select("query_id", "scope", F.col("rank").cast("long").alias("rank"), F.md5("fact").alias("fact_md5"))
+
+
 @query("Q5_text_ingest", f"{_DOCS} {sql.FACTS.replace('fact, ep', 'md5(fact) AS fact_md5, ep')}")
 def _(spark, d):
     got = ingest.ingest_episodes(inputs.document_requests(spark, d), inputs.benchmark_terms(spark, d), now=fixed_now())
