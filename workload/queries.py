@@ -314,13 +314,16 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", labels.domain_label(as_list, as_text).alias("label"))
 
 
-_KINDS = ["Stakeholder", "Finding", "PainPoint", "Goal", "Metric", "Decision", "Location", "Gadget"]
+# The labels of the map and the types it gives; the last label is not in it.
+_KINDS = ["Stakeholder", "Consultant", "Person", "Department", "Role", "Process", "System", "Finding", "PainPoint", "Pain_Point", "Opportunity", "Goal",
+          "Regulation", "Policy", "Decision", "Risk", "Metric", "Deliverable", "Document", "Location", "Gadget"]
+_TYPES = ["person", "person", "person", "department", "role", "process", "system", "theme", "pain_point", "pain_point", "opportunity", "opportunity",
+          "regulation", "policy", "process", "pain_point", "metric", "entity", "entity", "entity", ""]
 
 
-@query("P14_visual_type", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 8 WHEN 0 THEN 'person' WHEN 1 THEN 'theme' WHEN 2 THEN 'pain_point'
- WHEN 3 THEN 'opportunity' WHEN 4 THEN 'metric' WHEN 5 THEN 'process' WHEN 6 THEN 'entity' ELSE '' END AS type FROM lineitem""")
+@query("P14_visual_type", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ({_TYPES})[l_partkey % 21 + 1] AS type FROM lineitem")
 def _(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("l_partkey") % 8 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("l_partkey") % 21 + 1).cast("int"))
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(labels.visual_type(kind), F.lit("")).alias("type"))
 
@@ -333,6 +336,26 @@ def _(spark, d):
     return keyed.select("event_id", labels.heuristic_type("name_key", "summary_key").alias("type"))
 
 
+# A name or summary for every rule, and for pairs of rules of which the first must win.
+_RULE_NAMES = ["part", "Internal Audit", "The Gaming Commission office", " TLS ", "AC-2 access", "Title 31", "FIPS 140-2", "Visitor Policy", "AC-1 Policy",
+               "internal audit policy"]
+_RULE_SUMMARIES = ["", "a broken process", "coverage gap in software", "an opportunity for the platform", "Software process", "workflow of a department",
+                   "division under a statute", "statute and directive", "an internal rule", "nothing of the kind"]
+
+
+@query("P15_rule_order", """SELECT p_partkey, CASE p_partkey % 10 WHEN 1 THEN 'department' WHEN 2 THEN 'department' WHEN 3 THEN 'system' WHEN 4 THEN 'regulation'
+ WHEN 5 THEN 'regulation' WHEN 6 THEN 'regulation' WHEN 7 THEN 'policy' WHEN 8 THEN 'regulation' WHEN 9 THEN 'department' ELSE
+ CASE p_partkey // 10 % 10 WHEN 1 THEN 'pain_point' WHEN 2 THEN 'pain_point' WHEN 3 THEN 'opportunity' WHEN 4 THEN 'system' WHEN 5 THEN 'process'
+ WHEN 6 THEN 'department' WHEN 7 THEN 'regulation' WHEN 8 THEN 'policy' ELSE 'entity' END END AS type FROM part""")
+def _(spark, d):
+    def pick(values, at):
+        return F.get(F.array(*map(F.lit, values)), at.cast("int"))
+
+    number = F.col("p_partkey")
+    keyed = labels.with_rule_keys(table(spark, d, "part"), pick(_RULE_NAMES, number % 10), pick(_RULE_SUMMARIES, F.floor(number / 10) % 10))
+    return keyed.select("p_partkey", labels.heuristic_type("name_key", "summary_key").alias("type"))
+
+
 @query("P16_property_cleaning", """SELECT event_id, event_type || '|' || props AS kept FROM events""")
 def _(spark, d):
     props = F.create_map(F.lit("uuid"), F.lit("u"), F.lit("summary"), "event_type", F.lit("content"), "props",
@@ -353,6 +376,19 @@ def _(spark, d):
     return got.select("group_id", "uuid", "subject", "predicate", "object", F.md5("fact").alias("fact_md5"), day("valid_from").alias("valid_from"))
 
 
+@query("P18_fact_validity", """SELECT o_orderkey::VARCHAR AS uuid, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS valid_from,
+ CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') END AS valid_to,
+ CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate + INTERVAL 60 DAY, '%Y-%m-%d %H:%M:%S') END AS expired_at FROM orders""")
+def _(spark, d):
+    """Facts that have begun, ended and expired; expired ones stay in."""
+    at, number = F.col("o_orderdate"), F.col("o_orderkey")
+    facts = table(spark, d, "orders").select(
+        F.lit("g").alias("group_id"), number.cast("string").alias("uuid"), F.lit("s").alias("source_uuid"), F.lit("p").alias("name"),
+        F.lit("t").alias("target_uuid"), F.lit("f").alias("fact"), at.alias("valid_at"),
+        F.when(number % 3 == 0, at + F.expr("INTERVAL 30 DAYS")).alias("invalid_at"), F.when(number % 5 == 0, at + F.expr("INTERVAL 60 DAYS")).alias("expired_at"))
+    return search.fact_result(facts).select("uuid", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"), day("expired_at").alias("expired_at"))
+
+
 @query("P19_insight_filter", f"""{sql.SEARCH} SELECT query_id, rank::BIGINT AS rank, md5(fact) AS fact_md5 FROM hits WHERE scope = 'segment' AND fact <> ''""")
 def _(spark, d):
     valid, _ = requests.validate(inputs.search_requests(spark, d), "search")
