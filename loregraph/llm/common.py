@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
+BATCH_ROWS = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,20 +31,26 @@ def held_out(id_col: str, parts: int, part: int):
     return F.coalesce(crc % F.lit(parts) == F.lit(part), F.lit(False))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now sends few rows at a time to Python: a text may be long, and both the
+    JVM and the Python worker hold a whole batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BATCH_CHARS
                 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Runs of rows with about ``chars`` characters of text together (a longer text is alone),
-    so that what a task holds at once doesn't depend on how long texts are."""
+    """Runs of rows with about ``chars`` bytes of text together (a longer text is alone), so that
+    what a task holds at once doesn't depend on how long texts are."""
     for batch in batches:
-        values = batch.column(text).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start, seen = 0, 0
-        for i, value in enumerate(values):
-            if seen and seen + len(value) > chars:
-                yield batch.slice(start, i - start), values[start:i]
+        for i, size in enumerate([*sizes, chars + 1]):
+            if i > start and seen + size > chars:
+                part = batch.slice(start, i - start)
+                yield part, part.column(text).to_pylist()
                 start, seen = i, 0
-            seen += len(value)
-        if start < len(values):
-            yield batch.slice(start), values[start:]
+            seen += size
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import held_out, text_groups, texts_of
+from loregraph.llm.common import held_out, small_batches, text_groups, texts_of
 
 HIDDEN = 8
 WINDOW = 256
@@ -233,5 +233,5 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(has, np.minimum(score, 1.0), 0.0))],
                 names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out("doc_id", 4, 2))
+    rows = small_batches(texts_of(docs)).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out("doc_id", 4, 2))
     return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")

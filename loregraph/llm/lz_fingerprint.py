@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import BATCH_CHARS, MIX, mix64, texts_of
+from loregraph.llm.common import BATCH_CHARS, MIX, mix64, small_batches, texts_of
 from loregraph.llm.ranges import range_buckets
 
 SIGNATURE = 128
@@ -179,5 +179,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The texts are shuffled once, into ranges of ids; the first document of each range also goes
     to the range before it (the very first one to the last), so that no range needs another."""
-    rows = range_buckets(texts_of(docs), ["doc_id"], F.xxhash64("text"))
+    rows = range_buckets(small_batches(texts_of(docs)), ["doc_id"], F.xxhash64("text"))
     return rows.mapInArrow(_walk, SCHEMA)

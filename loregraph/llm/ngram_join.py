@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import MIX, mix64, text_groups, texts_of
+from loregraph.llm.common import MIX, mix64, small_batches, text_groups, texts_of
 from loregraph.llm.components import components
 from loregraph.operators.scale import hint_if_small
 from loregraph.session import materialize
@@ -181,7 +181,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                  pa.array(keys[:, 1], pa.int64(), mask=~full), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "h", "k1", "k2", "bands"])
 
-    return texts_of(docs).withColumn("h", F.xxhash64("text")).mapInArrow(sign, SIGNATURES)
+    return small_batches(texts_of(docs)).withColumn("h", F.xxhash64("text")).mapInArrow(sign, SIGNATURES)
 
 
 def _cells(rows: DataFrame) -> DataFrame:

@@ -24,13 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loregraph.llm.common import text_groups, texts_of
+from loregraph.llm.common import small_batches, text_groups, texts_of
 
 NONE = np.int64(1) << np.int64(60)
 SHIFT = 32
 LONG = 128          # bytes from which a piece has a tree of its own
 SIDE_BY_SIDE = 1 << 18   # tree leaves merged together
-REMEMBERED = 600_000     # pieces whose ids a Python worker keeps
+REMEMBERED = 100_000     # pieces whose ids a Python worker keeps
 PIECES = 1 << 16    # pieces of one text that are handled at once
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -287,7 +287,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts_of(docs).mapInArrow(encode, SCHEMA)
+    return small_batches(texts_of(docs)).mapInArrow(encode, SCHEMA)
 
 
 def tokenized_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -300,7 +300,7 @@ def tokenized_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array([own.encode(t) for t in texts], pa.list_(pa.int32()))],
                 names=["doc_id", "token_ids"])
 
-    return texts_of(docs).mapInArrow(encode, "doc_id long, token_ids array<int>")
+    return small_batches(texts_of(docs)).mapInArrow(encode, "doc_id long, token_ids array<int>")
 
 
 def decoded_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
