@@ -17,6 +17,7 @@ repeated labels vote each; ties among neighbours go to the earlier sample row.
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import held_out, text_groups, texts_of
+from loregraph.llm.common import held_out, small_batches, text_groups, texts_of
 
 PAIRS = 1024
 SHAPES = 6
@@ -146,7 +147,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` rows of ``labels`` (doc_id, quality) whose crc32 isn't held out."""
-    texts = texts_of(docs)
+    texts = small_batches(texts_of(docs))
     found, n = document_frequencies(texts)
     idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
@@ -156,18 +157,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in _small_groups(batches):
-            counts = [row.tobytes() for row in term_counts(some).astype(np.float32)]
+            counts = [zlib.compress(row.tobytes(), 1) for row in term_counts(some).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(counts, pa.binary())], names=["quality", "counts"])
 
-    got = rows.select("quality", "text").mapInArrow(count, "quality int, counts binary").toArrow()
-    counts = np.array([np.frombuffer(x, np.float32) for x in got.column("counts").to_pylist()], np.float32).reshape(-1, TERMS)
-    model = Model(idf, np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32),
-                  np.array(got.column("quality").to_pylist(), np.float64))
-    if len(counts):
-        weighed = model.weigh(counts).astype(np.float64)
-        _, vectors = np.linalg.eigh(weighed.T @ weighed)
+    # packed, a few MB; on the driver one array of the sample, worked on in blocks
+    got = rows.select("quality", "text").mapInArrow(count, "quality int, counts binary").collect()
+    model = Model(idf, np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), np.array([r.quality for r in got], np.float64))
+    if got:
+        packed = [bytes(r.counts) for r in got]
+        del got
+
+        def blocks() -> Iterator[np.ndarray]:
+            for start in range(0, len(packed), BLOCK):
+                yield np.array([np.frombuffer(zlib.decompress(x), np.float32) for x in packed[start:start + BLOCK]])
+
+        square = np.zeros((TERMS, TERMS))
+        for counts in blocks():
+            weighed = model.weigh(counts).astype(np.float64)
+            square += weighed.T @ weighed
+        _, vectors = np.linalg.eigh(square)
         model.basis = vectors[:, ::-1][:, :RANK].astype(np.float32)
-        model.vectors = model.project(counts)
+        model.vectors = np.concatenate([model.project(counts) for counts in blocks()])
     return model
 
 
@@ -183,7 +193,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores),
                  pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out("doc_id", 5, 0))
+    rows = small_batches(texts_of(docs)).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out("doc_id", 5, 0))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
