@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregraph.llm.common import texts_of
-from loregraph.llm.native_text import keyed_texts, same, with_words
+from loregraph.llm.native_text import keyed_texts, same, with_words, word_blocks
 
 GRAM = 2
 COVERED = 0.6
@@ -66,11 +66,12 @@ def template_grams(spark: SparkSession) -> DataFrame:
 def gram_hits(texts: DataFrame) -> DataFrame:
     """Word pairs that stand in a template: ``doc_id, h, label, base, grams, slack, at, place``."""
     spark = texts.sparkSession
-    pairs = with_words(keyed_texts(texts)).select("doc_id", "h", "skip", "n_words", "pieces", F.posexplode("pieces").alias("i", "first"))
-    following = F.get("pieces", F.col("i") + 1)
-    place = F.col("i") - F.col("skip")
+    rows = with_words(keyed_texts(texts)).select("doc_id", "h", "skip", "n_words", "pieces")
+    pairs = word_blocks(rows, "pieces", GRAM - 1)
+    first, second = F.get("block", F.col("i")), F.get("block", F.col("i") + 1)
+    place = F.col("base") + F.col("i") - F.col("skip")
     pairs = pairs.filter((place >= 0) & (place < F.col("n_words") - 1)).select(
-        "doc_id", "h", place.alias("place"), "first", following.alias("second"), F.xxhash64("first", following).alias("gram_hash"))
+        "doc_id", "h", place.alias("place"), first.alias("first"), second.alias("second"), F.xxhash64(first, second).alias("gram_hash"))
     # the templates are the fixed lists above, at most a few hundred pairs
     hits = pairs.join(F.broadcast(template_grams(spark)), "gram_hash")
     return hits.filter((F.col("first") == F.col("one")) & (F.col("second") == F.col("two"))).drop("gram_hash", "one", "two", "first", "second")

@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 64   # places of a block
 # Runs of everything that is no word character: ASCII without digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,6 +33,19 @@ def with_words(texts: DataFrame) -> DataFrame:
     return rows.withColumn("n_words", F.greatest(F.lit(0), F.size("pieces") - F.col("skip") - empty_last.cast("int")))
 
 
+def word_blocks(rows: DataFrame, words: str, overlap: int) -> DataFrame:
+    """A row per place of the array column ``words``: ``base + i`` is the place, ``block`` an array that
+    holds it at ``i`` and ``overlap`` more elements, where there are as many.
+
+    An exploded row copies the array it comes from, so the array is first cut into blocks: the work
+    is linear in it, however long a text is."""
+    kept = [c for c in rows.columns if c != words]
+    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(BLOCK))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("base"), F.slice(words, s + 1, F.lit(BLOCK + overlap)).alias("block")))
+    parts = rows.filter(F.size(words) > 0).select(*kept, F.explode(cut).alias("_part")).select(*kept, "_part.base", "_part.block")
+    return parts.select(*kept, "base", "block", F.posexplode(F.slice("block", 1, BLOCK)).alias("i", "_word")).drop("_word")
+
+
 def same(names: list[str], left: str, right: str) -> Column:
     """Join condition that also pairs nulls."""
     out = F.lit(True)

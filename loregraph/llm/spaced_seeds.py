@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.common import texts_of
-from loregraph.llm.native_text import keyed_texts, same, with_words
+from loregraph.llm.native_text import keyed_texts, same, with_words, word_blocks
 from loregraph.operators.scale import hint_if_small
 from loregraph.session import materialize
 
@@ -49,8 +49,9 @@ def _seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """Hashes of all masked windows: the columns of ``rows`` but words, ``at`` and ``seed``."""
     kept = [c for c in rows.columns if c != "words"]
     length = len(masks[0])
-    windows = rows.select("*", F.posexplode("words").alias("at", "_word")).filter(F.col("at") + length <= F.col("n_words"))
-    hashes = F.array(*[_masked(F.col("words"), F.col("at"), m) for m in masks])
+    hashed = rows.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
+    windows = word_blocks(hashed, "words", length - 1).withColumn("at", F.col("base") + F.col("i")).filter(F.col("at") + length <= F.col("n_words"))
+    hashes = F.array(*[_masked(F.col("block"), F.col("i"), m) for m in masks])
     return windows.select(*kept, "at", F.explode(hashes).alias("seed"))
 
 
