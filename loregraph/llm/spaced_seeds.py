@@ -4,8 +4,8 @@ Fixed masks choose some of the words of a window and ignore the others, so a sub
 only spoils the masks that look at it. All masked windows of the benchmark and of the documents
 meet in a join of hashes; each hit names a diagonal (document position minus item position). The
 words along the diagonal are then compared: over the part of the item that the document overlaps,
-words may differ, and a document is contaminated by an item if a stretch of at least ``RUN``
-words (or the whole item, if shorter) agrees in ``AGREE`` of its places.
+words may differ, and a document is contaminated by an item if in some stretch of at least ``RUN``
+words (or in the whole item, if shorter) at most one of ``SPAN`` places differs, wherever they are.
 
 Items of ``LONG`` words or more are sought by the masks of that length, shorter ones by masks of
 ``SHORT`` words, and items of fewer words than that by all their words together.
@@ -31,7 +31,7 @@ LONG, SHORT = 12, 5
 LONG_MASKS = ("111010010111", "110110101101", "101101110011")
 SHORT_MASKS = ("11011", "10111", "11101")
 RUN = LONG
-AGREE = 0.75
+SPAN = 4             # one of so many places may differ
 
 
 def _words(texts: DataFrame) -> DataFrame:
@@ -76,27 +76,38 @@ def seed_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
     return found.distinct() if found is not None else None
 
 
-def _stretch(flags: Column) -> Column:
-    """Of agreeing (1) and differing (0) places, the longest stretch that is dense enough, grown place
-    by place: a stretch ends where its share of agreement falls below AGREE. Gives (first, end, equal)."""
-    kind = "struct<at:int,first:int,equal:int,best_first:int,best_end:int,best_equal:int>"
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("at", "first", "equal", "best_first", "best_end", "best_equal")]).cast(kind)
-
-    def step(a: Column, flag: Column) -> Column:
-        equal, end = a["equal"] + flag, a["at"] + 1
-        dense = equal >= F.lit(AGREE) * (end - a["first"])
-        first = F.when(dense, a["first"]).otherwise(end)
-        better = dense & (flag == 1) & (equal > a["best_equal"])
-        return F.struct(
-            end.alias("at"), first.alias("first"), F.when(dense, equal).otherwise(0).alias("equal"),
-            F.when(better, first).otherwise(a["best_first"]).alias("best_first"), F.when(better, end).otherwise(a["best_end"]).alias("best_end"),
-            F.when(better, equal).otherwise(a["best_equal"]).alias("best_equal")).cast(kind)
-
-    return F.aggregate(flags, zero, step)
+def _best_window(rows: DataFrame) -> DataFrame:
+    """Add ``s``, the (n_equal, first, end) of the best window of ``flags`` (1 for equal places, 0 for differing
+    ones): of all windows of at least ``least`` places of which at most one in SPAN differs, that with
+    most equal places, then the first; differing places at its ends are cut as far as ``least`` allows.
+
+    A window grows over equal places until it meets a differing one, so only windows between two
+    differing places (or ends) x_i and x_j count. They are dense enough if x_j - SPAN j >= x_i - SPAN i - (SPAN - 1);
+    for each j the smallest such i is sought by bisection in the prefix minima of x_i - SPAN i."""
+    n = F.size("flags")
+    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("flags", i) == 0)
+    rows = rows.withColumn("_x", F.concat(F.array(F.lit(-1)), places, F.array(n)))
+    rows = rows.withColumn("_q", F.transform("_x", lambda x, k: x - F.lit(SPAN) * k))
+    rows = rows.withColumn("_steps", F.filter(F.array(*[F.lit(1 << b) for b in range(30)]), lambda p: p < F.size("_q")))
+    rows = rows.withColumn("_low", F.aggregate("_steps", F.col("_q"), lambda low, p: F.transform(low, lambda v, k: F.least(v, F.get(low, k - p)))))
+    down = F.reverse("_steps")
+    first = F.transform("_q", lambda q: F.aggregate(
+        down, F.lit(-1), lambda at, p: F.when(F.get("_low", at + p) > q + F.lit(SPAN - 1), at + p).otherwise(at)) + 1)
+    rows = rows.withColumn("_i", first)
+    windows = F.transform("_i", lambda i, j: F.struct(
+        (F.get("_x", j) - j - F.get("_x", i) + i).alias("n_equal"), (-(F.get("_x", i) + 1)).alias("begin"), F.get("_x", j).alias("end")))
+    rows = rows.withColumn("_w", F.array_max(F.filter(windows, lambda w: (w["end"] + w["begin"] >= F.col("least")) & (w["n_equal"] > 0))))
+    inside = F.slice("flags", F.lit(1) - F.col("_w.begin"), F.col("_w.end") + F.col("_w.begin"))
+    rows = rows.filter(F.col("_w").isNotNull()).withColumn("_in", inside)
+    spare = F.size("_in") - F.col("least")
+    last = F.least(spare, F.array_position(F.reverse("_in"), 1).cast("int") - 1)
+    rows = rows.withColumn("_last", last).withColumn("_first", F.least(spare - F.col("_last"), F.array_position("_in", 1).cast("int") - 1))
+    s = F.struct(F.col("_w.n_equal").alias("n_equal"), (F.col("_first") - F.col("_w.begin")).alias("first"), (F.col("_w.end") - F.col("_last")).alias("end"))
+    return rows.withColumn("s", s).drop("_x", "_q", "_steps", "_low", "_i", "_w", "_in", "_last", "_first")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``doc_id, h, item_id, item_words, first_word, end_word, n_equal, coverage``: the best stretch of each
+    """``doc_id, h, item_id, item_words, first_word, end_word, n_equal, coverage``: the best window of each
     document (with ``h``, the hash of its text) and item that overlap, words from 0."""
     texts = _words(texts_of(docs))
     items = benchmark.select(F.col(f"`{item_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).distinct()
@@ -112,11 +123,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id"
     both = rows.dropDuplicates(["doc_id", "h"]).alias("t").join(pairs.alias("p"), same(["doc_id", "h"], "t", "p"))
     low, high = F.greatest(F.lit(0), F.col("diagonal")), F.least(F.col("t.n_words"), F.col("diagonal") + F.col("item_words"))
     flags = F.transform(F.sequence(low, high - 1), lambda i: (F.get("words", i) == F.get("theirs", (i - F.col("diagonal")).cast("int"))).cast("int"))
-    both = both.withColumn("low", low).withColumn("s", _stretch(flags))
-    length = F.col("s.best_end") - F.col("s.best_first")
-    good = (length >= F.least(F.lit(RUN), F.col("item_words"))) & (F.col("s.best_equal") >= F.lit(AGREE) * length)
-    best = both.filter(good).groupBy("t.doc_id", "t.h", "item_id", "item_h", "item_words").agg(F.max(F.struct(
-        F.col("s.best_equal").alias("n_equal"), (-(F.col("low") + F.col("s.best_first"))).alias("begin"), (F.col("low") + F.col("s.best_end")).alias("end"))).alias("b"))
+    both = both.select("t.doc_id", "t.h", "item_id", "item_h", "item_words", low.alias("low"), flags.alias("flags"), F.least(F.lit(RUN), "item_words").alias("least"))
+    both = _best_window(both.filter(F.size("flags") >= F.col("least")))
+    best = both.groupBy("doc_id", "h", "item_id", "item_h", "item_words").agg(F.max(F.struct(
+        F.col("s.n_equal").alias("n_equal"), (-(F.col("low") + F.col("s.first"))).alias("begin"), (F.col("low") + F.col("s.end")).alias("end"))).alias("b"))
     return best.select(
         "doc_id", "h", "item_id", "item_words", (-F.col("b.begin")).alias("first_word"), F.col("b.end").alias("end_word"),
         F.col("b.n_equal").alias("n_equal"), (F.col("b.n_equal") / F.col("item_words")).alias("coverage"))

@@ -53,3 +53,46 @@ def test_without_a_broadcast(spark, odd_docs, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert sorted(map(str, seeds.contaminated(odd_docs, bench).collect())) == want
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def best_by_force(item, words):
+    """Most equal words of any window of the stated size and density, over all diagonals; 0 if there is none."""
+    least, best = min(len(item), seeds.RUN), 0
+    for d in range(1 - len(item), len(words)):
+        low, high = max(0, d), min(len(words), d + len(item))
+        upto = [0]
+        for i in range(low, high):
+            upto.append(upto[-1] + (words[i] == item[i - d]))
+        for a in range(high - low):
+            for b in range(a + least, high - low + 1):
+                n = upto[b] - upto[a]
+                if 4 * n >= 3 * (b - a) and (len(item) >= seeds.SHORT or n == b - a):
+                    best = max(best, n)
+    return best
+
+
+def compared(spark, item_of, changes):
+    """Each item in a document of its own with the words at some places replaced; against brute force."""
+    docs, items, want = [], [], {}
+    for k, (size, places) in enumerate(zip(item_of, changes)):
+        item = [word() for _ in range(size)]
+        text = [word() for _ in range(4)] + [word() if i in places else w for i, w in enumerate(item)] + [word() for _ in range(4)]
+        docs.append((k, " ".join(text), "x", "y"))
+        items.append((k, " ".join(item), "z"))
+        n = best_by_force(item, text)
+        want |= {(k, k): n} if n else {}
+    got = found(spark, docs, items)
+    assert {k: r.n_equal for k, r in got.items()} == want
+    for (k, _), r in got.items():
+        own, text = items[k][1].split(), docs[k][1].split()
+        assert r.end_word - r.first_word >= min(len(own), seeds.RUN) and 4 * r.n_equal >= 3 * (r.end_word - r.first_word)
+        assert sum(text[i] == own[i - 4] for i in range(r.first_word, r.end_word)) == r.n_equal
+    return got
+
+
+def test_differing_words_at_any_place_of_the_stretch(spark):
+    sizes, changes = [], []
+    for size, places in [(12, [{i} for i in range(1, 11)]), (15, [{2, 14}, {0, 14}, {0, 1}, {13, 14}]), (11, [{0}, {10}]), (6, [{0}, {5}]), (40, [{0, 2, 20, 21, 39}])]:
+        sizes += [size] * len(places)
+        changes += places
+    assert len(compared(spark, sizes, changes)) == len(sizes)
