@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from loregraph.llm import spaced_seeds as seeds
 
@@ -66,7 +67,8 @@ def best_by_force(item, words):
         for a in range(high - low):
             for b in range(a + least, high - low + 1):
                 n = upto[b] - upto[a]
-                if 4 * n >= 3 * (b - a) and (len(item) >= seeds.SHORT or n == b - a):
+                ends = (a == 0 or upto[a + 1] > upto[a]) and (b == high - low or upto[b] > upto[b - 1])
+                if ends and 4 * n >= 3 * (b - a) and (len(item) >= seeds.SHORT or n == b - a):
                     best = max(best, n)
     return best
 
@@ -96,3 +98,26 @@ def test_differing_words_at_any_place_of_the_stretch(spark):
         sizes += [size] * len(places)
         changes += places
     assert len(compared(spark, sizes, changes)) == len(sizes)
+
+
+def test_masks_lose_nothing():
+    def hit(n, places, masks):
+        return any(all(a + i not in places for i, c in enumerate(m) if c == "1") for m in masks for a in range(n - len(m) + 1))
+
+    for n in range(seeds.SHORT, 2 * seeds.RUN):
+        assert all(hit(n, places, seeds._item_masks(n)) for places in combinations(range(n), n // seeds.SPAN))
+
+
+def test_recall_against_brute_force(spark):
+    sizes, changes = [], []
+    for size in (4, 5, 7, 8, 11, 12, 15, 20, 30, 58):
+        for period in (4, 5, 6, 7):
+            sizes += [size] * period
+            changes += [set(range(i, size, period)) for i in range(period)]
+        for rate in (0.1, 0.2, 0.25, 0.3):
+            sizes += [size] * 6
+            changes += [set(rng.sample(range(size), int(size * rate))) for _ in range(6)]
+    sizes += [12, 12, 90]
+    changes += [{0}, {11}, {i for i in range(90) if not 60 <= i < 75} | {63, 70}]
+    got = compared(spark, sizes, changes)
+    assert len(sizes) > len(got) > 200 and (len(sizes) - 1, len(sizes) - 1) in got
