@@ -177,7 +177,7 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         yield from listed(files)
 
     manifest = f"{folder}/manifest"
-    dealt.mapInArrow(write, FILES).coalesce(max(1, parts // 64) if parts > 64 else parts).write.parquet(manifest)
+    dealt.mapInArrow(write, FILES).write.parquet(manifest)
     return manifest
 
 

@@ -77,3 +77,11 @@ def test_no_pages(spark):
     folder = new_folder(spark, "warc-test")
     warc.write_archive(pages_of(spark, ROWS).limit(0), folder)
     assert warc.read_archive(spark, folder).collect() == []
+
+
+def test_every_shard_is_written_by_a_task_of_its_own(spark):
+    folder = new_folder(spark, "warc-test")
+    warc.write_archive(pages_of(spark, [(i, "http://h", str(i)) for i in range(600)]), folder, shards=130)
+    lists = [n for n in os.listdir(f"{folder}/manifest") if n.endswith(".parquet")]
+    assert len(lists) >= len({n.split("-")[1] for n in files_of(folder)}) > 64
+    assert warc.read_archive(spark, folder).count() == 600
