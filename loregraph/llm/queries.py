@@ -126,6 +126,48 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(read_table(spark, sf_dir, "documents"))
 
 
+def _posterior(groups: str, names: str) -> str:
+    """SQL of the posterior of a level (``seen, blocked, prior, worth``), as ``prior, worth``."""
+    return f"""SELECT {names}, (blocked + k * prior) / (seen + k) AS prior, seen + k AS worth FROM (
+        SELECT *, greatest(0.05, 1 / (1 / (spread + 1) + 1 / (worth + 1)) - 1) AS k FROM {groups}, (
+            SELECT least(1 / least(0.95, greatest(1e-4, CASE WHEN pairs > 0 THEN over / pairs ELSE 0.95 END)) - 1, greatest(1, n)) AS spread FROM (
+                SELECT sum((blocked - seen * prior) * (blocked - seen * prior) - seen * prior * (1 - prior)) AS over,
+                       sum(seen * prior * (1 - prior) * (seen - 1)) AS pairs, count(*) FILTER (WHERE seen > 0) AS n FROM {groups})))"""
+
+
+@query("op13_host_reputation", rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+                     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+                     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+                     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+                     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM u),
+b AS (SELECT host, count(rule) AS seen, count(*) FILTER (WHERE rule IN ('example.org/en/1', 'example.org/es/', 'com/de/')) AS blocked,
+             regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS bare FROM p GROUP BY host),
+h0 AS (SELECT host, seen, blocked, bare, CASE WHEN regexp_matches(bare, '^[0-9.]+$') THEN bare
+        WHEN regexp_matches(bare, '(^|\.)(ac|co|com|edu|gov|net|or|org)\.[a-z][a-z]$') THEN array_to_string(string_split(bare, '.')[-2:], '.')
+        ELSE string_split(bare, '.')[-1] END AS suffix FROM b),
+h1 AS (SELECT *, CASE WHEN length(bare) > length(suffix) + 1 THEN string_split(left(bare, length(bare) - length(suffix) - 1), '.')[-1] ELSE '' END AS name FROM h0),
+h AS (SELECT *, CASE WHEN name = '' THEN suffix ELSE name || '.' || suffix END AS domain FROM h1),
+a AS (SELECT ((coalesce(sum(blocked), 0) + 0.5) / (coalesce(sum(seen), 0) + 1.0))::DOUBLE AS prior, (coalesce(sum(seen), 0) + 1.0)::DOUBLE AS worth FROM h),
+s0 AS (SELECT suffix, sum(seen) AS seen, sum(blocked) AS blocked, any_value(a.prior) AS prior, any_value(a.worth) AS worth FROM h, a GROUP BY suffix),
+s AS ({_posterior("s0", "suffix")}),
+d0 AS (SELECT x.*, s.prior, s.worth FROM (SELECT domain, suffix, sum(seen) AS seen, sum(blocked) AS blocked FROM h GROUP BY domain, suffix) x JOIN s USING (suffix)),
+d AS ({_posterior("d0", "domain, suffix")}),
+g0 AS (SELECT h.host, h.seen, h.blocked, d.prior, d.worth FROM h JOIN d ON h.domain = d.domain AND h.suffix = d.suffix),
+g AS ({_posterior("g0", "host")}),
+v AS (SELECT host, prior AS share, greatest(0.0, prior - 1.645 * sqrt(prior * (1 - prior) / (worth + 1))) AS bound FROM g)
+SELECT p.page_id, p.host, p.path, p.rule,
+       CASE WHEN p.rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN p.rule IS NOT NULL THEN 'allow'
+            WHEN v.bound >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(v.share, 4) AS share, round(v.bound, 4) AS bound
+FROM p JOIN v ON p.host = v.host""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.host_reputation import judge_pages
+
+    return judge_pages(read_table(spark, sf_dir, "pages"))
+
+
 if find_spec("corpus_pipeline") is not None:
 
     @query("pipeline")
