@@ -126,6 +126,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.periodic_runs import periodic_runs, run_digests, with_repeats
+
+    return run_digests(periodic_runs(with_repeats(read_table(spark, sf_dir, "documents"))))
+
+
 def _posterior(groups: str, names: str) -> str:
     """SQL of the posterior of a level (``seen, blocked, prior, worth``), as ``prior, worth``."""
     return f"""SELECT {names}, (blocked + k * prior) / (seen + k) AS prior, seen + k AS worth FROM (
