@@ -133,6 +133,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_repeats(read_table(spark, sf_dir, "documents"))))
 
 
+# crc32 of a number as text: bytes one by one, bits one by one
+_CRC = """xor(list_reduce(list_transform(string_split('~' || {x}::VARCHAR, ''), lambda c: CASE WHEN c = '~' THEN 4294967295 ELSE ascii(c)::BIGINT END),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda p, k: CASE WHEN p % 2 = 1 THEN xor(p // 2, 3988292384) ELSE p // 2 END)), 4294967295)"""
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS w,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(w ORDER BY k) AS w, {_CRC.format(x="c")} % 9 AS h FROM t GROUP BY c),
+r AS (SELECT o.c, list_concat(coalesce(b.w, [])[:o.h], o.w[o.h + 1:]) AS w FROM o LEFT JOIN o b ON b.c = o.c - o.c % 5),
+p AS (SELECT c, d, w[:d] AS p, d = len(w) AS last, octet_length(encode(CASE WHEN d > 0 THEN w[d].t ELSE '' END)) AS bytes
+      FROM (SELECT c, w, unnest(range(len(w) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256 FROM p GROUP BY p, d),
+k AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(m.n_children, 0) AS n_children FROM n
+      LEFT JOIN n u ON u.d = n.d - 1 AND u.p = n.p[:n.d - 1]
+      LEFT JOIN (SELECT p[:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2) m ON m.d = n.d AND m.p = n.p),
+a AS (SELECT p[:e] AS p, e AS d, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+      FROM (SELECT *, unnest(range(d + 1)) AS e FROM k) GROUP BY 1, 2)
+SELECT k.conv_id, k.d AS depth, k.parent_conv_id, k.n_convs, k.n_children, a.n_leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN a ON a.d = k.d AND a.p = k.p""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loregraph.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def _posterior(groups: str, names: str) -> str:
     """SQL of the posterior of a level (``seen, blocked, prior, worth``), as ``prior, worth``."""
     return f"""SELECT {names}, (blocked + k * prior) / (seen + k) AS prior, seen + k AS worth FROM (
