@@ -2,16 +2,17 @@
 
 1. Every text becomes the set of its 5-word shingles (64-bit hashes), a 128-bit key of that set
    and 32 band keys of 5 minimum hashes each. Texts with one key are a class; a copied text goes
-   on as one representative with its number of members.
-2. Classes that share a band key are candidates of each other. Instead of pairs, the sharing is
-   a graph with an edge from each class to the smallest in its bucket; its components hold every
-   candidate pair.
-3. A component is cut into blocks by hash; a cell is a pair of blocks, and each pair of classes
-   is in exactly one cell. Within a cell all pairs compare their minimum hashes 32 at a time and
-   are dropped once the posterior probability that their similarity reaches the threshold, given
-   the matches so far and a uniform prior, is below ``TOLERANCE``. What is left is verified
-   exactly on the sets. Cells give a row per member: its number of links and the smallest class
-   it is connected to there; pairs are never written.
+   on as one representative (its row with the smallest doc_id) with its number of members.
+2. Classes that share a band key are candidates of each other: a bucket. A pair belongs to the first
+   band it shares, so a bucket whose classes all share an earlier band has no pair of its own and
+   is dropped, which most buckets of near copies are.
+3. A bucket is cut into blocks by hash; a cell is a pair of blocks. Within a cell the pairs that
+   belong to it compare their minimum hashes 32 at a time and are dropped once the posterior
+   probability that their similarity reaches the threshold, given the matches so far and a uniform
+   prior, is below ``TOLERANCE``. What is left is verified exactly on the sets. Cells give a row per
+   member: its number of links and the smallest class it is connected to there; pairs are never
+   written, and pairs that share no band are never compared.
+4. Groups are the components of those rows, named by their smallest representative.
 
 A pair at similarity 0.8 shares no band with probability 3e-6, and more similar ones less.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.common import MIX, mix64, small_batches, text_groups, texts_of
@@ -119,7 +120,21 @@ def least_matches() -> list[int]:
 LEAST = least_matches()
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def own_pairs(hashes: np.ndarray, blocks: np.ndarray, one: int, two: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell whose first shared band is ``band``; all its members share that."""
+    if one == two:
+        left, right = np.triu_indices(len(hashes), 1)
+    else:
+        left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(blocks == one), np.flatnonzero(blocks == two)))
+    for k in range(band):
+        values, key = np.unique(hashes[:, k * ROWS:(k + 1) * ROWS], axis=0, return_inverse=True)
+        if len(values) < len(hashes):
+            apart = key[left] != key[right]
+            left, right = left[apart], right[apart]
+    return left, right
+
+
+def linked_pairs(sets: list[np.ndarray], hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (left[i], right[i]) of non-empty sets, those with Jaccard 0.8 or more."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     small, large = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
@@ -127,7 +142,6 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     left, right = left[fits], right[fits]
     if not left.size:
         return left, right
-    hashes = minimum_hashes(sets)
     matches = np.zeros(left.size, np.int64)
     for step, least in enumerate(LEAST):
         part = hashes[:, step * STEP:(step + 1) * STEP]
@@ -184,98 +198,112 @@ def signatures(docs: DataFrame) -> DataFrame:
     return small_batches(texts_of(docs)).withColumn("h", F.xxhash64("text")).mapInArrow(sign, SIGNATURES)
 
 
+CELL = ["band", "one", "two"]
+REP = ["none", "id", "h"]             # of a class: its row with the smallest doc_id, none if that is null
+
+
 def _cells(rows: DataFrame) -> DataFrame:
-    """Links of the members of each cell: ``k1, k2, n_links, root`` per member of a link."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
+    """Links of the members of each cell: ``k1, k2, n_links, none, id, h`` per member of a link, the last
+    three being the smallest representative it is connected to in the cell."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_links", pa.int64()), ("none", pa.bool_()), ("id", pa.int64()), ("h", pa.int64())])
 
     def compare(cell: tuple, members: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, one, two = cell
-        sets = shingle_sets([m[4] for m in members])
-        keys = set_keys(sets)
-        # a doc_id may stand for several texts: the wanted one has the class's key; one row of each
-        own = {}
-        for i, m in enumerate(members):
-            if tuple(keys[i]) == m[:2]:
-                own.setdefault(m[:2], i)
-        chosen = list(own.values())
-        sets, members = [sets[i] for i in chosen], [members[i] for i in chosen]
-        block, weight = np.array([m[2] for m in members]), np.array([m[3] for m in members])
-        if one == two:
-            left, right = np.triu_indices(len(members), 1)
-        else:
-            left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(block == one), np.flatnonzero(block == two)))
-        left, right = linked_pairs(sets, left, right)
+        (_, one, two), band = cell, members[0][-2]
+        # by representative, so that the smallest index is the smallest of them
+        members = sorted(members, key=lambda m: m[4:7])
+        sets = shingle_sets([m[-1] for m in members])
+        hashes = minimum_hashes(sets)
+        left, right = own_pairs(hashes, np.array([m[2] for m in members]), one, two, band)
+        left, right = linked_pairs(sets, hashes, left, right)
         if not left.size:
             return
+        weight = np.array([m[3] for m in members])
         links = np.bincount(left, weight[right], len(members)) + np.bincount(right, weight[left], len(members))
-        k1 = np.array([m[0] for m in members])
-        root, before = k1.copy(), None
+        root, before = np.arange(len(members)), None
         while before is None or (before != root).any():
             before = root.copy()
             low = np.minimum(root[left], root[right])
             np.minimum.at(root, left, low)
             np.minimum.at(root, right, low)
         at = np.flatnonzero(links)
+        tops = [members[i] for i in root[at]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1[at]), pa.array([members[i][1] for i in at], pa.int64()), pa.array(links[at].astype(np.int64)), pa.array(root[at])], schema=schema)
+            [*(pa.array([members[i][k] for i in at], pa.int64()) for k in (0, 1)), pa.array(links[at].astype(np.int64)),
+             pa.array([t[4] for t in tops]), *(pa.array([t[k] for t in tops], pa.int64()) for k in (5, 6))], schema=schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, members = None, []
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("component", "one", "two", "k1", "k2", "block", "members", "text"))
-            for component, one, two, *member in zip(*columns):
-                if (component, one, two) != cell:
+            columns = (batch.column(c).to_pylist() for c in (*CELL, "k1", "k2", "block", "members", *REP, "pos", "text"))
+            for band, one, two, *member in zip(*columns):
+                if (band, one, two) != cell:
                     if len(members) > 1:
                         yield from compare(cell, members)
-                    cell, members = (component, one, two), []
+                    cell, members = (band, one, two), []
                 members.append(tuple(member))
         if len(members) > 1:
             yield from compare(cell, members)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two")
-    return dealt.mapInArrow(walk, "k1 long, k2 long, n_links long, root long")
+    dealt = rows.repartition(parts, *CELL).sortWithinPartitions(*CELL)
+    return dealt.mapInArrow(walk, "k1 long, k2 long, n_links long, none boolean, id long, h long")
+
+
+def own_buckets(classes: DataFrame) -> DataFrame:
+    """``k1, k2, buckets`` of classes that share a band: an array of (band key, its place, classes in it) for
+    the buckets that may have pairs of their own."""
+    banded = classes.select("k1", "k2", F.posexplode("bands").alias("pos", "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    live = banded.join(shared, "band").groupBy("k1", "k2").agg(F.collect_list(F.struct("band", "pos", "n")).alias("buckets"))
+    live = materialize(live.join(classes.select("k1", "k2", "bands"), ["k1", "k2"]))
+    each = live.select("k1", "bands", F.explode("buckets").alias("b")).select("k1", "bands", "b.band", "b.pos")
+    lead = each.groupBy("band").agg(F.min_by("bands", "k1").alias("lead"))
+    # bands ahead of this one in which a class agrees with its bucket's lead
+    agrees = F.expr("if(pos = 0, 0L, aggregate(sequence(0, pos - 1), 0L, (bits, j) -> bits | if(bands[j] = lead[j], shiftleft(1L, j), 0L)))")
+    ahead = each.join(lead, "band").groupBy("band").agg(F.bit_and(agrees).alias("ahead"))
+    kept = ahead.filter("ahead = 0").select("band")
+    each = live.select("k1", "k2", F.explode("buckets").alias("b")).select("k1", "k2", F.col("b.band").alias("band"), "b.pos", "b.n")
+    return each.join(kept, "band").groupBy("k1", "k2").agg(F.collect_list(F.struct("band", "pos", "n")).alias("buckets"))
+
+
+def row_key() -> list[Column]:
+    """``REP`` of a row of ``doc_id, h``, without a null."""
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("h")]
+
+
+def _id_of(rep: str) -> Column:
+    return F.when(F.col(rep).isNull(), F.col("doc_id")).when(~F.col(f"{rep}.none"), F.col(f"{rep}.id"))
 
 
 def joined_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, class_id, n_links, group_id, component`` of every document; ``h`` is the hash of
-    its text, ``component`` null where nothing is linked to it."""
+    """``doc_id, h, class_id, n_links, group_id, keeper`` of every document; ``h`` is the hash of its text,
+    ``keeper`` the smallest row (none, id, h) of its group, null where nothing is linked to it."""
     signed = materialize(signatures(docs))
     keyed = signed.filter(F.col("k1").isNotNull())
-    classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"), F.first("bands").alias("bands"))
-    classes = materialize(classes)
-    # candidates: components of the graph of shared band keys
-    banded = classes.select("k1", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("k1").alias("v"), F.max("k1").alias("last")).filter("v < last").select("band", "v")
-    candidates = components(banded.join(buckets, "band").select(F.col("k1").alias("u"), "v"))
-    candidates = candidates.withColumnRenamed("u", "k1")
-    inside = classes.drop("bands").join(candidates, "k1")
-    sizes = inside.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
-    inside = inside.join(sizes, "component")
-    # cells: pairs of blocks of a component
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
-    inside = inside.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
-    inside = materialize(inside.select("k1", "k2", "class_id", "members", "component", "blocks", "block"))
-    texts = texts_of(docs).withColumnRenamed("doc_id", "class_id").withColumn("_id", F.coalesce("class_id", F.lit(0)))
-    wanted = inside.withColumn("_id", F.coalesce("class_id", F.lit(0)))
-    same = F.col("t.class_id").eqNullSafe(F.col("w.class_id")) & (F.col("t._id") == F.col("w._id"))
-    found = texts.alias("t").join(hint_if_small(wanted).alias("w"), same).select("t.text", "w.*").drop("_id", "class_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = found.withColumn("other", other).select(
-        "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "k1", "k2", "block", "members", "text")
-    links = materialize(_cells(cells))
-    groups = components(links.select(F.col("k1").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "k1")
-    counted = links.groupBy("k1", "k2").agg(F.sum("n_links").alias("links"))
-    named = classes.drop("bands").filter("members > 1").join(counted, ["k1", "k2"], "full").join(groups, "k1", "left")
-    named = named.select("k1", "k2", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "k1").alias("component"))
-    linked = classes.drop("bands").join(named, ["k1", "k2"])
-    smallest = linked.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    linked = materialize(linked.join(smallest, "component").select("k1", "k2", "class_id", "members", "links", "group_id", "component"))
+    rep = F.min(F.struct(*row_key())).alias("rep")
+    classes = materialize(keyed.groupBy("k1", "k2").agg(rep, F.count("*").alias("members"), F.first("bands").alias("bands")))
+    # cells: pairs of blocks of a bucket. A representative's text is fetched once, by its row, and goes to its cells
+    wanted = own_buckets(classes).join(classes.drop("bands"), ["k1", "k2"])
+    wanted = materialize(wanted.select("k1", "k2", "members", "rep.*", "buckets"))
+    texts = texts_of(docs).withColumn("h", F.xxhash64("text")).select(*row_key(), "text")
+    texts = texts.join(hint_if_small(wanted.select(*REP)), REP, "left_semi").groupBy(*REP).agg(F.first("text").alias("text"))
+    found = texts.join(wanted, REP)
+    each = found.select("k1", "k2", "members", *REP, "text", F.explode("buckets").alias("b"))
+    blocks = F.ceil(F.col("b.n") / F.lit(BLOCK)).cast("int")
+    each = each.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = each.select(F.col("b.band").alias("band"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                        "k1", "k2", "block", "members", *REP, F.col("b.pos").alias("pos"), "text")
+    links = materialize(_cells(cells).join(classes.select("k1", "k2", "rep"), ["k1", "k2"]))
+    groups = components(links.select(F.col("rep").alias("u"), F.struct(*REP).alias("v")))
+    counted = links.groupBy("k1", "k2").agg(F.sum("n_links").alias("links"), F.first("rep").alias("u")).join(groups, "u", "left")
+    linked = classes.drop("bands").join(counted.select("k1", "k2", "links", "component"), ["k1", "k2"], "left")
+    linked = materialize(linked.select("k1", "k2", "members", "links", "rep", F.coalesce("component", "rep").alias("keeper")))
     rows = signed.select("doc_id", "h", "k1", "k2").join(linked, ["k1", "k2"], "left")
     n_links = F.coalesce("members", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))
     return rows.select(
-        "doc_id", "h", F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"),
-        F.coalesce("group_id", "doc_id").alias("group_id"), F.when(n_links > 0, F.col("component")).alias("component"))
+        "doc_id", "h", _id_of("rep").alias("class_id"), n_links.alias("n_links"), _id_of("keeper").alias("group_id"),
+        F.when(n_links > 0, F.col("keeper")).alias("keeper"))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -283,18 +311,16 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     ``class_id``: smallest doc_id with the same shingle set; ``n_links``: other documents of
     similarity 0.8 or more; ``group_id``: smallest doc_id it is connected to by links."""
-    return joined_rows(docs).drop("h", "component")
+    return joined_rows(docs).drop("h", "keeper")
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents: the one with the smallest doc_id, of
     several with the smallest hash of their text, of repeated rows any one."""
-    rows = materialize(joined_rows(docs).filter("component IS NOT NULL").select("doc_id", "h", "component"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
-    firsts = rows.groupBy("component").agg(first).select("component", "first.doc_id", "first.h")
-    each = rows.groupBy("doc_id", "h", "component").agg(F.count("*").alias("n")).alias("e").join(firsts.alias("f"), "component")
-    stays = F.col("e.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("e.h") == F.col("f.h"))
-    each = materialize(each.select(F.col("e.doc_id").alias("_id"), F.col("e.h").alias("_h"), stays.alias("stays"), "n"))
+    rows = joined_rows(docs).filter("keeper IS NOT NULL")
+    stays = F.struct(*row_key()) == F.col("keeper")
+    each = rows.groupBy("doc_id", "h").agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
+    each = materialize(each.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "stays", "n"))
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h"))
     left = keyed.join(hint_if_small(each.filter("NOT stays OR n > 1").select("_id", "_h")), same, "left_anti")

@@ -69,6 +69,49 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert got(join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_join(rows)
 
 
+def test_pairs_of_a_chain_meet_once(spark):
+    """Neighbours share bands, the whole chain doesn't: what is compared are the pairs that share one."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    texts = [" ".join(words[5 * i:5 * i + 100]) for i in range(300)]
+    sets = join.shingle_sets(texts)
+    hashes = join.minimum_hashes(sets)
+    keys = [{hashes[i, k * join.ROWS:(k + 1) * join.ROWS].tobytes() for k in [k]}.pop() for i in range(300) for k in range(join.BANDS)]
+    keys = [keys[i * join.BANDS:(i + 1) * join.BANDS] for i in range(300)]
+    sharing = {(i, j) for i, j in itertools.combinations(range(300), 2) if any(a == b for a, b in zip(keys[i], keys[j]))}
+    seen = []
+    for band in range(join.BANDS):
+        for key in {k[band] for k in keys}:
+            inside = np.array([i for i in range(300) if keys[i][band] == key])
+            left, right = join.own_pairs(hashes[inside], np.zeros(inside.size), 0, 0, band)
+            seen += list(zip(inside[left].tolist(), inside[right].tolist()))
+    assert len(seen) == len(set(seen)) == len(sharing) < 300 * 299 / 2 / 10 and set(seen) == sharing
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert got(join.ngram_join(docs)) == plain_join(list(enumerate(texts)))
+
+
+def test_buckets_without_pairs_of_their_own_are_dropped(spark):
+    bands = [(1, [1, 10, 20]), (2, [1, 10, 21]), (3, [1, 11, 20]), (4, [2, 11, 22])]
+    rows = spark.createDataFrame([(k, k, b) for k, b in bands], "k1 long, k2 long, bands array<long>")
+    got = {r.k1: sorted(tuple(b) for b in r.buckets) for r in join.own_buckets(rows).collect()}
+    assert got == {1: [(1, 0, 3)], 2: [(1, 0, 3)], 3: [(1, 0, 3), (11, 1, 2)], 4: [(11, 1, 2)]}
+
+
+def test_many_texts_under_one_id(spark):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for d in (7, None):
+        for i in range(25):
+            changed = list(base)
+            changed[rng.randrange(120)] = f"x{i}"
+            rows.append((d, " ".join(changed)))
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(join.ngram_join(docs)) == plain_join(rows)
+    assert len(join.without_near_duplicates(docs).collect()) == 1
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(d.doc_id, d.text) for d in odd_docs.collect()]
     assert got(join.ngram_join(odd_docs)) == plain_join(rows)
