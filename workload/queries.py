@@ -69,7 +69,7 @@ def _(spark, d):
     return rows.select("group_id", "uuid", "name", "name_lower", "summary", F.col("labels")[0].alias("label"), "first_seq")
 
 
-@query("S6_mention_sink", f"{sql.ORDERS_FRESH} {sql.MENTIONS}")
+@query("S6_mention_sink", sql.ORDER_MENTIONS_FRESH)
 def _(spark, d):
     return stores.order_store(spark, d).table("mentions").select("group_id", "episode_uuid", "pos", "entity_uuid")
 
@@ -224,7 +224,7 @@ def _(spark, d):
 @query("P4_episode_naming", """SELECT doc_id, CASE WHEN n_chars < 300 THEN 'note' ELSE 'document_analysis' END || ': document/' || doc_id AS name,
  'Engagement ' || source || ' — ' || CASE WHEN n_chars < 300 THEN 'note' ELSE 'document_analysis' END || ' from document' AS description FROM documents""")
 def _(spark, d):
-    return inputs.document_requests(spark, d).select(
+    return inputs.document_requests(spark, d, short_notes=True).select(
         F.col("ingest_seq").alias("doc_id"), text.episode_name("episode_type", "source_type", "source_id").alias("name"),
         text.episode_description("engagement_id", "episode_type", "source_type").alias("description"))
 
@@ -449,7 +449,7 @@ def _(spark, d):
     return _orders(spark, d).entities.withColumn("label", F.col("labels")[0]).drop("labels")
 
 
-@query("J2_mentions", f"{sql.ORDERS} {sql.MENTIONS}")
+@query("J2_mentions", sql.ORDER_MENTIONS)
 def _(spark, d):
     return _orders(spark, d).mentions
 

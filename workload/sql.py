@@ -113,6 +113,14 @@ COUNTERS = """SELECT r.g AS group_id, r.ep AS episode_uuid,
             count(*) FILTER (src IS NULL OR tgt IS NULL) AS skipped FROM lnk GROUP BY ep) l ON l.ep = r.ep"""
 ENTITIES = "SELECT g AS group_id, uuid, nm AS name, k AS name_lower, summary, label, seq AS first_seq FROM res WHERE created"
 MENTIONS = "SELECT g AS group_id, ep AS episode_uuid, pos::BIGINT AS pos, uuid AS entity_uuid FROM res"
+_OCCURRENCE = f"SELECT g, ep, pos, lower({strip('nm')}) AS k FROM ({_ORDER_ENTITIES}) WHERE {strip('nm')} <> ''"
+# Mentions by the rule itself, without the dictionary: the stored id of a name, else its digest.
+ORDER_MENTIONS_FRESH = f"""WITH {ORDER_REQUESTS} SELECT g AS group_id, ep AS episode_uuid, pos::BIGINT AS pos,
+ {stable_id("'entity'", 'g', 'k')} AS entity_uuid FROM ({_OCCURRENCE})"""
+ORDER_MENTIONS = f"""WITH {ORDER_REQUESTS},
+st AS (SELECT g, lower(nm) AS k, min_by(uuid, (created, uuid)) AS uuid FROM ({STORED}) GROUP BY ALL)
+SELECT o.g AS group_id, o.ep AS episode_uuid, o.pos::BIGINT AS pos, coalesce(st.uuid, {stable_id("'entity'", 'o.g', 'o.k')}) AS entity_uuid
+FROM ({_OCCURRENCE}) o LEFT JOIN st ON st.g = o.g AND st.k = o.k"""
 FACTS = f"""SELECT g AS group_id, {stable_id("'fact'", 'ep', 'pos')} AS uuid, src AS source_uuid, tgt AS target_uuid,
  'RELATES_TO' AS rel_type, name, fact, ep AS episode FROM lnk WHERE src IS NOT NULL AND tgt IS NOT NULL"""
 
