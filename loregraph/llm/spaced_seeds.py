@@ -9,11 +9,11 @@ differs, wherever they are. A stretch begins and ends with an equal word, or whe
 document does.
 
 The masks lose nothing: a stretch of at least ``RUN`` words holds one of ``RUN`` to 2 ``RUN`` - 1
-words that is as dense, and wherever a quarter of its places lie, three neighbours are free of
-them. Of whole items of ``SHORT`` words or more, those of 5 and 8 words need a second mask for
-that. Items of fewer than ``SHORT`` words are sought by all their words together. Hits are many
-more than contaminated documents, so a hit of a broadcast benchmark only counts if the places
-around it that such a stretch can reach agree often enough.
+words that is as dense, and wherever a quarter of its places lie, one of the two masks fits between
+them somewhere. So it is for whole items of ``SHORT`` words or more, but those of 5 and 8 words
+have masks of three words instead of four. Items of fewer than ``SHORT`` words, which must agree as
+a whole, are sought by all their words together. Hits are more than contaminated documents, so a hit
+only counts if the places around it that such a stretch can reach agree often enough.
 
 Cases: null or empty texts and items have no words and match nothing; repeated rows get the same
 result each; an item with a null id is sought like others; equal items are found each; with an
@@ -34,11 +34,11 @@ from loregraph.session import materialize
 
 # Masks: 1 is a word that must agree, 0 one that is ignored.
 LONG, SHORT = 12, 5
-LONG_MASKS = ("111",)
-SHORT_MASKS = ("111", "10011")
+LONG_MASKS = ("11101", "100111")
+SHORT_MASKS = ("1101", "10011")        # of items of 5 and 8 words
 RUN = LONG
 SPAN = 4                              # one of so many places may differ
-BEFORE, AFTER = 2 * RUN - 4, 2 * RUN - 2   # places a stretch of less than 2 RUN reaches around the start of a mask
+BEFORE, AFTER = 2 * RUN - 5, 2 * RUN - 2   # places a stretch of less than 2 RUN reaches around the start of a mask of 4 or more
 
 
 def _words(texts: DataFrame) -> DataFrame:
@@ -72,15 +72,15 @@ def _seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 
 def _item_masks(n: int) -> tuple[str, ...]:
-    return LONG_MASKS if n >= LONG else SHORT_MASKS if n in (5, 8) else LONG_MASKS if n >= SHORT else ("1" * n,)
+    return SHORT_MASKS if n in (5, 8) else LONG_MASKS if n >= SHORT else ("1" * n,)
 
 
 def seed_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct ``doc_id, h, item_id, item_h, diagonal`` of equal masked windows.
 
     ``texts``, ``items``: with ``words`` and ``n_words``. The item seeds are broadcast if they are
-    shown to be small, and hits with too few equal places around them dropped; else the seeds of
-    both sides are shuffled by hash."""
+    shown to be small; else the seeds of both sides are shuffled by hash, with the hashes of the words
+    around them. Hits with too few equal places around them are dropped where they arise."""
     size = F.least("n_words", F.lit(LONG)).alias("size")
     sizes = sorted(r["size"] for r in items.select(size).distinct().collect() if r["size"])
     if not sizes:
@@ -98,11 +98,11 @@ def seed_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
     theirs = _seeds(texts.select("doc_id", "h", "n_words", "words"), tuple(sorted({m for masks in by_masks for m in masks})))
     asked = hint_if_small(own)
     if asked is own:
-        hits = theirs.drop("block", "place", "n_words").join(own.drop("around", "middle"), "seed")
-    else:
-        equal = F.filter(F.sequence(F.lit(-BEFORE), F.lit(AFTER)), lambda k: F.get("block", F.col("place") + k) == F.get("around", F.col("middle") + k))
-        least = F.least(F.lit(RUN), "item_words")
-        hits = theirs.join(asked, "seed").filter(F.size(equal) >= least - F.floor(least / SPAN))
+        first = F.greatest(F.lit(0), F.col("place") - BEFORE)
+        theirs = theirs.select("doc_id", "h", "seed", "at", F.slice("block", first + 1, F.lit(BEFORE + AFTER + 1)).alias("block"), (F.col("place") - first).alias("place"))
+    equal = F.filter(F.sequence(F.lit(-BEFORE), F.lit(AFTER)), lambda k: F.get("block", F.col("place") + k) == F.get("around", F.col("middle") + k))
+    least = F.least(F.lit(RUN), "item_words")
+    hits = theirs.join(asked, "seed").filter(F.size(equal) >= least - F.floor(least / SPAN))
     return hits.select("doc_id", "h", "item_id", "item_h", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
 
 

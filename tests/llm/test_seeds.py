@@ -52,8 +52,10 @@ def test_without_a_broadcast(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(seeds, "hint_if_small", lambda df: df)
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    assert sorted(map(str, seeds.contaminated(odd_docs, bench).collect())) == want
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert sorted(map(str, seeds.contaminated(odd_docs, bench).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def best_by_force(item, words):
@@ -105,6 +107,7 @@ def test_masks_lose_nothing():
         return any(all(a + i not in places for i, c in enumerate(m) if c == "1") for m in masks for a in range(n - len(m) + 1))
 
     for n in range(seeds.SHORT, 2 * seeds.RUN):
+        assert all("0" in m for m in seeds._item_masks(n))
         assert all(hit(n, places, seeds._item_masks(n)) for places in combinations(range(n), n // seeds.SPAN))
 
 
