@@ -1,83 +1,37 @@
-"""Top-k retrieval: lexical (BM25), vector (cosine) and rank fusion, for many queries at once."""
+"""Top-k retrieval by vectors (cosine) and rank fusion, for many queries at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loregraph.functions import text
-from loregraph.operators.scale import is_small, of_groups, spread, top_n
+from loregraph.operators import lexical
+from loregraph.operators.lexical import ASKED, DOC, HIT, SCORE_DIGITS, bm25  # noqa: F401 - the other half of retrieval
+from loregraph.operators.scale import first_wins, hint_if_small, is_small, of_groups, top_n
 from loregraph.session import materialize
 
-K1, B = 1.2, 0.75
 RRF_OFFSET = 60
-SCORE_DIGITS = 6  # scores are ranked rounded, so that float noise cannot reorder ties
+FUSED_DIGITS = 10
 QUERY_BLOCK = 4096
 SCORE_CELLS = 4 << 20  # largest score matrix a task holds
 
-DOC = ["group_id", "doc_id"]
-HIT = ["query_id", "group_id", "doc_id"]
-# Stands for "this document exists"; tokens are never empty, so no word can collide with it.
-DOCUMENT_MARK = ""
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct terms per query."""
-    return queries.select("query_id", "group_id", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
-
-
-def matched_terms(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """(group_id, doc_id, dl, term) of tokens some query asks for, partitioned by document.
 
-    One pass over the text: the semi-join drops all other tokens before the only shuffle,
-    and one mark per document carries its length along for the statistics of its group.
-    """
-    marked = terms.select("group_id", F.explode(F.array("term", F.lit(DOCUMENT_MARK))).alias("term"))
-    wanted = marked.distinct()
-    # Not spread by the key of the repartition below, which would then be dropped, and with it
-    # the one result of this pass that statistics and scores share.
-    cut = spread(docs.select(*DOC, "text"), "doc_id").select(*DOC, text.tokens("text").alias("tokens"))
-    each = cut.select(
-        *DOC, F.size("tokens").alias("dl"),
-        F.explode(F.concat(F.array(F.lit(DOCUMENT_MARK)), F.col("tokens"))).alias("term"),
-    )
-    found = each.join(F.broadcast(wanted) if small else wanted, ["group_id", "term"], "left_semi")
-    return found.repartition(*DOC)
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DIGITS) -> DataFrame:
-    """Top ``k`` documents of each query's group: (query_id, group_id, doc_id, score, rank).
-
-    ``docs`` has (group_id, doc_id, text), ``queries`` (query_id, group_id, text); a query
-    may ask several groups. Statistics are those of the group.
-    """
-    terms = query_terms(queries)
-    small = is_small(terms)
-    docs = of_groups(docs, queries)
-    tf = matched_terms(docs, terms, small).groupBy(*DOC, "dl", "term").agg(F.count("*").alias("tf"))
-    by_term = tf.groupBy("group_id", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("total_dl"))
-    is_mark = F.col("term") == DOCUMENT_MARK
-    stats = by_term.groupBy("group_id").agg(
-        F.max(F.when(is_mark, F.col("df"))).alias("n"), F.max(F.when(is_mark, F.col("total_dl"))).alias("total")
-    )
-    weights = (
-        by_term.select("group_id", "term", "df").join(stats, "group_id").join(terms, ["group_id", "term"])
-        .select(
-            "query_id", "group_id", "term", (F.col("total") / F.col("n")).alias("avgdl"),
-            F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-        )
-    )
-    # At most one row per query term, so no larger than what was checked above.
-    weights = F.broadcast(weights) if small else weights
-    length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")
-    part = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
-    # tf is partitioned by document already: this sum and the first cut of top_n stay local.
-    scores = tf.join(weights, ["group_id", "term"]).groupBy(*HIT).agg(F.round(F.sum(part), decimals).alias("score"))
-    return top_n(scores, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")
+def one_per_id(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the smallest of those that repeat. Only the keys are shuffled, and rows whose key repeats."""
+    twice = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
+    if not twice.limit(1).count():
+        return rows
+    twice = hint_if_small(twice)
+    rest = [c for c in rows.columns if c not in keys]
+    repeated = first_wins(rows.join(twice, keys, "left_semi").select(*keys, *rest), keys, rest)
+    return rows.join(twice, keys, "left_anti").select(*keys, *rest).unionByName(repeated)
 
 
 def cosine(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DIGITS) -> DataFrame:
@@ -87,13 +41,21 @@ def cosine(docs: DataFrame, queries: DataFrame, k: int, decimals: int = SCORE_DI
     ids of any type. A vector only meets queries of its own length (see ``other_lengths``). Queries
     shown to be few are broadcast: every task multiplies its Arrow batches with them and keeps its
     own best ``k`` per query, so neither pairs nor documents are shuffled. More queries meet the
-    documents in a grid of blocks, each cell multiplied by one task.
+    documents in a grid of blocks, each cell multiplied by one task. A document that is stored more
+    than once counts once.
     """
+    return _nearest(*_vectors(docs, queries), k, decimals)
+
+
+def _nearest(docs: DataFrame, asked: DataFrame, k: int, decimals: int = SCORE_DIGITS) -> DataFrame:
+    best = _over_all(docs, asked, _best_kept(docs, asked, k, decimals))
+    return top_n(best, ASKED, [F.desc("score"), F.asc("doc_id")], k, "rank")
+
+
+def _vectors(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = of_groups(docs, queries).select(*DOC, "embedding").filter("embedding IS NOT NULL")
-    asked = materialize(queries.select("query_id", "group_id", "embedding").filter("embedding IS NOT NULL"))
-    few = is_small(asked, max_rows=QUERY_BLOCK)
-    best = _score_broadcast(docs, asked, k, decimals) if few else _score_grid(docs, asked, k, decimals)
-    return top_n(best, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")
+    asked = queries.select(*ASKED, "embedding").filter("embedding IS NOT NULL").dropDuplicates(ASKED)
+    return one_per_id(docs, DOC), materialize(asked)
 
 
 def other_lengths(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -103,50 +65,78 @@ def other_lengths(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return here.withColumn("_length", F.size("embedding")).join(lengths, ["group_id", "_length"], "left_anti").drop("_length")
 
 
-def _scoring(docs: DataFrame, queries: DataFrame, k: int, decimals: int):
-    """Schema of scored rows and the functions a task scores with."""
-    # Defined in here, so that tasks need numpy and Arrow but not this package.
-    types = [to_arrow_type(queries.schema["query_id"].dataType), *(to_arrow_type(docs.schema[c].dataType) for c in DOC), pa.float64()]
-    kinds = [queries.schema["query_id"].dataType.simpleString(), *(docs.schema[c].dataType.simpleString() for c in DOC)]
-    schema = f"query_id {kinds[0]}, group_id {kinds[1]}, doc_id {kinds[2]}, score double"
-    step_cells = SCORE_CELLS
+class _Kit(NamedTuple):
+    """How a task scores documents: ``schema`` of its rows; ``columns`` of a query; ``arranged``, queries by
+    group and length; ``meet`` adds a batch of documents to what is kept; ``result`` turns that into rows.
+
+    The functions are defined within others, so that tasks need numpy and Arrow but not this package."""
+
+    schema: str
+    columns: list[str]
+    arranged: Callable
+    meet: Callable
+    result: Callable
+
+
+def _kinds(docs: DataFrame, queries: DataFrame) -> tuple[list, str]:
+    """Arrow types of query_id, group_id, doc_id, and the begin of a schema of them."""
+    fields = [queries.schema["query_id"], *(docs.schema[c] for c in DOC)]
+    return [to_arrow_type(f.dataType) for f in fields], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+
+
+def _matrices(decimals: int, step_cells: int):
+    """The parts of a kit that all scoring shares."""
 
     def unit_rows(matrix):
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
     def arranged(rows):
-        """Queries (id, group, vector) by group and length."""
+        """Queries (id, group, vector, more ..) by group and length: ids, matrix, lists of the rest."""
         by_kind = {}
-        for query, group, vector in rows:
-            ids, vectors = by_kind.setdefault((group, len(vector)), ([], []))
-            ids.append(query)
-            vectors.append(vector)
-        return {kind: (ids, unit_rows(np.array(vectors, dtype=np.float64))) for kind, (ids, vectors) in by_kind.items()}
-
-    def meet(queries, kept, groups, ids, vectors):
-        """Score the rows of one batch and keep the best of each query."""
+        for query, group, vector, *more in rows:
+            by_kind.setdefault((group, len(vector)), []).append((query, vector, *more))
+        out = {}
+        for kind, own in by_kind.items():
+            ids, vectors, *more = zip(*own)
+            out[kind] = (list(ids), unit_rows(np.array(vectors, dtype=np.float64)), *more)
+        return out
+
+    def scored(queries, groups, ids, vectors):
+        """(kind, scores, ids) of the documents of a batch that some queries can meet, in bounded pieces."""
         coded = groups.dictionary_encode()
         codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
         names = {name: code for code, name in enumerate(coded.dictionary.to_pylist())}
         labels = ids.to_numpy(zero_copy_only=False)
-        for kind, (_, matrix) in queries.items():
+        for kind, own in queries.items():
             group, length = kind
             if group not in names:
                 continue
             rows = np.flatnonzero((codes == names[group]) & (lengths == length))
-            step = max(1, step_cells // len(matrix))
+            step = max(1, step_cells // len(own[1]))
             for start in range(0, len(rows), step):
                 some = rows[start:start + step]
                 flat = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
                 units = unit_rows(flat.astype(np.float64).reshape(len(some), length))
-                scores = np.round(matrix @ units.T, decimals)
-                found = np.broadcast_to(labels[some], scores.shape)
-                if kind in kept:
-                    scores, found = np.hstack([kept[kind][0], scores]), np.hstack([kept[kind][1], found])
-                order = np.lexsort((found, -scores), axis=1)[:, :k]
-                kept[kind] = (np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1))
+                yield kind, np.round(own[1] @ units.T, decimals), labels[some]
+
+    return arranged, scored
+
+
+def _best_kept(docs: DataFrame, queries: DataFrame, k: int, decimals: int) -> _Kit:
+    """Rows (query_id, group_id, doc_id, score): a task's best ``k`` per query."""
+    types, kinds = _kinds(docs, queries)
+    types = [*types, pa.float64()]
+    arranged, scored = _matrices(decimals, SCORE_CELLS)
+
+    def meet(queries, kept, groups, ids, vectors):
+        for kind, scores, labels in scored(queries, groups, ids, vectors):
+            found = np.broadcast_to(labels, scores.shape)
+            if kind in kept:
+                scores, found = np.hstack([kept[kind][0], scores]), np.hstack([kept[kind][1], found])
+            order = np.lexsort((found, -scores), axis=1)[:, :k]
+            kept[kind] = (np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1))
 
     def result(queries, kept):
         for kind, (scores, found) in kept.items():
@@ -154,31 +144,64 @@ def _scoring(docs: DataFrame, queries: DataFrame, k: int, decimals: int):
             columns = [[q for q in queries[kind][0] for _ in range(size)], [kind[0]] * scores.size, found.ravel().tolist(), scores.ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "group_id", "doc_id", "score"])
 
-    return schema, arranged, meet, result
+    return _Kit(f"{kinds}, score double", ["query_id", "group_id", "embedding"], arranged, meet, result)
 
 
-def _score_broadcast(docs: DataFrame, queries: DataFrame, k: int, decimals: int) -> DataFrame:
-    """Best ``k`` per query within every task; ``queries`` were shown to be few."""
-    schema, arranged, meet, result = _scoring(docs, queries, k, decimals)
-    shared = docs.sparkSession.sparkContext.broadcast(arranged((r.query_id, r.group_id, r.embedding) for r in queries.collect()))
+def _counted_before(docs: DataFrame, queries: DataFrame, decimals: int) -> _Kit:
+    """Rows (query_id, group_id, doc_id, n): for each of a query's ``ids`` with ``scores``, how many documents
+    of a task come before it."""
+    types, kinds = _kinds(docs, queries)
+    types = [*types, pa.int64()]
+    arranged, scored = _matrices(decimals, SCORE_CELLS)
+
+    def meet(queries, kept, groups, ids, vectors):
+        for kind, scores, labels in scored(queries, groups, ids, vectors):
+            counts = kept.setdefault(kind, [np.zeros(len(w), np.int64) for w in queries[kind][2]])
+            for row, wanted, names, count in zip(scores, *queries[kind][2:], counts):
+                ordered = np.sort(row)
+                low, high = np.searchsorted(ordered, wanted), np.searchsorted(ordered, wanted, "right")
+                count += len(row) - high
+                for j in np.flatnonzero(high > low):
+                    count[j] += int((labels[row == wanted[j]] < names[j]).sum())
+
+    def result(queries, kept):
+        for kind, counts in kept.items():
+            ids, _, _, names = queries[kind]
+            columns = [[q for q, c in zip(ids, counts) for _ in c], [kind[0]] * sum(map(len, counts)), [d for own in names for d in own], np.concatenate(counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "group_id", "doc_id", "n"])
+
+    return _Kit(f"{kinds}, n long", ["query_id", "group_id", "embedding", "scores", "ids"], arranged, meet, result)
 
-    def best_of_task(batches):
+
+def _over_all(docs: DataFrame, queries: DataFrame, kit: _Kit) -> DataFrame:
+    """Every document meets every query of its group; few queries are broadcast, many go to a grid."""
+    few = is_small(queries.select("query_id", "group_id", "embedding"), max_rows=QUERY_BLOCK)
+    return _broadcast_queries(docs, queries, kit) if few else _grid(docs, queries, kit)
+
+
+def _broadcast_queries(docs: DataFrame, queries: DataFrame, kit: _Kit) -> DataFrame:
+    """Within every task; ``queries`` were shown to be few."""
+    _, columns, arranged, meet, result = kit
+    shared = docs.sparkSession.sparkContext.broadcast(arranged(tuple(r[c] for c in columns) for r in queries.collect()))
+
+    def over_task(batches):
         kept = {}
         for batch in batches:
             meet(shared.value, kept, batch.column("group_id"), batch.column("doc_id"), batch.column("embedding"))
         yield from result(shared.value, kept)
 
-    return docs.mapInArrow(best_of_task, schema)
+    return docs.mapInArrow(over_task, kit.schema)
 
 
-def _score_grid(docs: DataFrame, queries: DataFrame, k: int, decimals: int) -> DataFrame:
-    """Best ``k`` per query within every cell of (query block, document block), queries first in each.
+def _grid(docs: DataFrame, queries: DataFrame, kit: _Kit) -> DataFrame:
+    """Within every cell of (query block, document block), queries first in each.
 
     Blocks are dealt by hash, so a hot group has many cells; a cell holds one block of queries and
     reads its documents batch by batch."""
-    schema, arranged, meet, result = _scoring(docs, queries, k, decimals)
+    schema, columns, arranged, meet, result = kit
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = -(-queries.count() // QUERY_BLOCK)
+    more = columns[3:]
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -187,15 +210,15 @@ def _score_grid(docs: DataFrame, queries: DataFrame, k: int, decimals: int) -> D
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
     def none_of(frame, column):
-        return F.lit(None).cast(frame.schema[column].dataType)
+        return F.lit(None).cast(frame.schema[column].dataType).alias(column)
 
     asked = queries.select("group_id", block("query_id", blocks).alias("one"), every(parts).alias("two"), F.lit(0).alias("kind"),
-                           "query_id", none_of(docs, "doc_id").alias("doc_id"), "embedding")
+                           "query_id", none_of(docs, "doc_id"), "embedding", *more)
     given = docs.select("group_id", every(blocks).alias("one"), block("doc_id", parts).alias("two"), F.lit(1).alias("kind"),
-                        none_of(queries, "query_id").alias("query_id"), "doc_id", "embedding")
+                        none_of(queries, "query_id"), "doc_id", "embedding", *(none_of(queries, c) for c in more))
     cells = asked.unionByName(given).repartition("one", "two").sortWithinPartitions("one", "two", "kind")
 
-    def best_of_cells(batches):
+    def over_cells(batches):
         cell, rows, queries_here, kept = None, [], None, {}
         for batch in batches:
             ones, twos, kinds = (batch.column(c).to_numpy() for c in ("one", "two", "kind"))
@@ -206,21 +229,117 @@ def _score_grid(docs: DataFrame, queries: DataFrame, k: int, decimals: int) -> D
                     yield from result(queries_here or {}, kept)
                     cell, rows, queries_here, kept = here, [], None, {}
                 if kinds[start] == 0:
-                    rows += zip(*(part.column(c).to_pylist() for c in ("query_id", "group_id", "embedding")))
+                    rows += zip(*(part.column(c).to_pylist() for c in columns))
                     continue
                 if queries_here is None:
                     queries_here = arranged(rows)
                 meet(queries_here, kept, part.column("group_id"), part.column("doc_id"), part.column("embedding"))
         yield from result(queries_here or {}, kept)
 
-    return cells.mapInArrow(best_of_cells, schema)
+    return cells.mapInArrow(over_cells, schema)
+
+
+def _pair_scores(pairs: DataFrame, decimals: int = SCORE_DIGITS) -> DataFrame:
+    """(query_id, group_id, doc_id, score) of pairs (with ``embedding`` and ``_asked``) of equal length."""
+    types, kinds = _kinds(pairs, pairs)
+    types = [*types, pa.float64()]
+
+    def unit(vector):
+        norm = np.linalg.norm(vector)
+        return vector / norm if norm > 0 else vector
+
+    def score(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in HIT]
+            both = zip(*(batch.column(c).to_pylist() for c in ("embedding", "_asked")))
+            scores = [round(float(np.round(unit(np.array(a, float)) @ unit(np.array(b, float)), decimals)), decimals) for a, b in both]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, scores], types)], names=[*HIT, "score"])
+
+    alike = pairs.filter(F.size("embedding") == F.size("_asked")).select(*HIT, "embedding", "_asked")
+    return alike.mapInArrow(score, f"{kinds}, score double")
+
+
+def _reciprocal(rank: Column) -> Column:
+    return F.lit(1.0) / (F.lit(RRF_OFFSET) + rank)
+
+
+def fuse(lists: list[DataFrame], k: int, decimals: int = FUSED_DIGITS) -> DataFrame:
+    """Reciprocal rank fusion of ranked lists as they are; a document counts once per list, with its
+    best rank. Ties go to the lower document id."""
+    parts = [one.groupBy(*HIT).agg(_reciprocal(F.min("rank")).alias("part")) for one in lists]
+    ranked = parts[0]
+    for other in parts[1:]:
+        ranked = ranked.unionByName(other)
+    fused = ranked.groupBy(*HIT).agg(F.round(F.sum("part"), decimals).alias("score"))
+    return top_n(fused, ASKED, [F.desc("score"), F.asc("doc_id")], k, "rank")
+
+
+def ranks_of(scores: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, group_id, doc_id, rank) of ``wanted`` documents in the list of all ``scores``, those that
+    are in it: one more than the documents that come before. Scores are not sorted, but counted
+    between the few wanted ones, map-side."""
+    named = materialize(scores.join(wanted, HIT).select(*ASKED, F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d")).alias("at")))
+    places = materialize(named.groupBy(*ASKED).agg(F.sort_array(F.collect_list("at")).alias("places")))
+    own = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d"))
+    # how many of the wanted ones are not behind this document, by bisection
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(24, -1, -1)]), lambda p: p <= F.size("places"))
+    ahead = F.aggregate(steps, F.lit(0), lambda at, p: F.when((at + p <= F.size("places")) & (F.get("places", at + p - 1) <= own), at + p).otherwise(at))
+    counts = scores.join(places, ASKED).groupBy(*ASKED, ahead.alias("ahead")).agg(F.count("*").alias("n"))
+    each = places.select(*ASKED, F.posexplode("places").alias("place", "at"))
+    before = each.join(counts.filter("ahead >= 0"), ASKED).filter("ahead <= place").groupBy(*ASKED, "at.d").agg(F.sum("n").alias("n"))
+    found = each.select(*ASKED, F.col("at.d").alias("doc_id")).join(before.withColumnRenamed("d", "doc_id"), HIT, "left")
+    return found.select(*HIT, (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+
+
+def fuse_whole(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int, decimals: int = FUSED_DIGITS) -> DataFrame:
+    """Fusion of the whole lexical and the whole vector list of each query: (query_id, group_id, doc_id, score, rank).
+
+    Only the heads of the lists are ranked. With 2 (RRF_OFFSET + k) places of each, a document in
+    neither cannot reach the k-th best, for the first k of a list alone exceed it. Of the documents
+    seen, a missing rank adds at most that of the next place; those whose bound reaches the k-th best
+    sum of known parts are looked up in the whole other list, by counting what is before them."""
+    depth = 2 * (RRF_OFFSET + k)
+    own = lexical.index(docs, queries)
+    words = own.scores().withColumn("score", F.round("score", SCORE_DIGITS))
+    near, asked = _vectors(vectors, query_vectors)
+    lists = {"a": materialize(lexical.ranked(own.candidates(depth), depth)), "b": materialize(_nearest(near, asked, depth))}
+    seen = lists["a"].select(*HIT, F.col("rank").alias("a")).join(lists["b"].select(*HIT, F.col("rank").alias("b")), HIT, "full")
+    for name, frame in lists.items():
+        full = frame.filter(F.col("rank") == depth).select(*ASKED, F.lit(True).alias(f"more_{name}"))
+        seen = seen.join(full, ASKED, "left")
+    known = sum((F.coalesce(_reciprocal(F.col(c)), F.lit(0.0)) for c in "ab"), F.lit(0.0))
+    unknown = [F.col(c).isNull() & F.coalesce(F.col(f"more_{c}"), F.lit(False)) for c in "ab"]
+    bound = known + sum((F.when(u, _reciprocal(F.lit(depth + 1))).otherwise(0.0) for u in unknown), F.lit(0.0))
+    seen = seen.select(*HIT, "a", "b", known.alias("known"), bound.alias("bound"), *(u.alias(f"open_{c}") for u, c in zip(unknown, "ab")))
+    order = Window.partitionBy(*ASKED).orderBy(F.desc("known"))     # at most twice the depth
+    least = F.max(F.when(F.col("place") == k, F.col("known"))).over(Window.partitionBy(*ASKED))
+    seen = seen.withColumn("place", F.row_number().over(order)).withColumn("least", F.coalesce(least, F.lit(0.0)))
+    seen = materialize(seen.filter(F.col("bound") >= F.col("least") - 10.0 ** -decimals))
+    parts = [seen.select(*HIT, F.col(c).alias("rank")).filter("rank IS NOT NULL") for c in "ab"]
+    open_a, open_b = (seen.filter(f"open_{c}").select(*HIT) for c in "ab")
+    if open_a.limit(1).count():
+        parts.append(ranks_of(words, open_a))
+    if open_b.limit(1).count():
+        parts.append(_vector_ranks(near, asked, open_b))
+    ranked = parts[0]
+    for other in parts[1:]:
+        ranked = ranked.unionByName(other)
+    fused = ranked.groupBy(*HIT).agg(F.round(F.sum(_reciprocal(F.col("rank"))), decimals).alias("score"))
+    return top_n(fused, ASKED, [F.desc("score"), F.asc("doc_id")], k, "rank")
+
+
+def _vector_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, group_id, doc_id, rank) of ``wanted`` documents in the whole list of their query.
+
+    The wanted documents are scored first; then every task counts, batch by batch, how many documents
+    come before each."""
+    asked = queries.join(wanted.select(*ASKED).distinct(), ASKED, "left_semi")
+    near = docs.join(hint_if_small(wanted.select(*DOC).distinct()), DOC, "left_semi")
+    pairs = near.join(wanted, DOC).join(asked.withColumnRenamed("embedding", "_asked"), ASKED)
+    own = _pair_scores(pairs)
+    places = own.groupBy(*ASKED).agg(F.sort_array(F.collect_list(F.struct("score", "doc_id"))).alias("w"))
+    asked = materialize(asked.join(places, ASKED).select(*ASKED, "embedding", F.col("w.score").alias("scores"), F.col("w.doc_id").alias("ids")))
+    counted = _over_all(docs, asked, _counted_before(docs, asked, SCORE_DIGITS))
+    return counted.groupBy(*HIT).agg((F.sum("n") + 1).alias("rank"))
 
 
-def fuse(lists: list[DataFrame], k: int, decimals: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists; ties go to the lower document id."""
-    ranked = lists[0].select(*HIT, "rank")
-    for other in lists[1:]:
-        ranked = ranked.unionByName(other.select(*HIT, "rank"))
-    score = F.round(F.sum(F.lit(1.0) / (F.lit(RRF_OFFSET) + F.col("rank"))), decimals).alias("score")
-    fused = ranked.groupBy(*HIT).agg(score)
-    return top_n(fused, ["query_id", "group_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")

@@ -10,7 +10,6 @@ from loregraph.operators import rank, requests
 from loregraph.operators.scale import hint_if_small, of_groups
 from loregraph.session import materialize
 
-FUSION_DEPTH = 50
 DEFAULT_RESULTS = 10
 FACTS_RETURNED = 15
 INSIGHTS_RETURNED = 5
@@ -42,29 +41,23 @@ def scoped_queries(search: DataFrame) -> DataFrame:
 
 def ranked_facts(
     scoped: DataFrame, facts: DataFrame, fact_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
-    depth: int = FUSION_DEPTH,
 ) -> DataFrame:
-    """(query_id, group_id, doc_id, rank): lexical, or fused with vectors where both are given.
-
-    ``depth`` is how far down each list counts in the fusion; it is at least what is returned.
-    """
+    """(query_id, group_id, doc_id, rank): lexical, or where both vectors are given fused with them over
+    the whole lists. A fact that is stored more than once is ranked once."""
     docs = facts.select("group_id", F.col("uuid").alias("doc_id"), F.col("fact").alias("text"))
     asked = scoped.select("query_id", "group_id", "text")
     if fact_vectors is None or query_vectors is None:
         return rank.bm25(docs, asked, FACTS_RETURNED)
     vectors = scoped.select("query_id", "group_id").join(query_vectors, "query_id")
-    depth = max(depth, FACTS_RETURNED)
-    lists = [rank.bm25(docs, asked, depth), rank.cosine(fact_vectors, vectors, depth)]
-    return rank.fuse(lists, FACTS_RETURNED)
+    return rank.fuse_whole(docs, asked, fact_vectors, vectors, FACTS_RETURNED)
 
 
 def search_hits(
     search: DataFrame, facts: DataFrame, fact_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
-    depth: int = FUSION_DEPTH,
 ) -> DataFrame:
     """One row per returned fact with its scope and rank."""
     scoped = scoped_queries(search)
-    found = ranked_facts(scoped, facts, fact_vectors, query_vectors, depth)
+    found = ranked_facts(scoped, facts, fact_vectors, query_vectors)
     kept = found.join(scoped.drop("text"), ["query_id", "group_id"]).filter("rank <= keep")
     # A handful of rows per query; staged, so that its size is known before it meets the facts.
     hits = materialize(kept.select("query_id", "scope", "group_id", F.col("doc_id").alias("uuid"), "rank"))
@@ -75,14 +68,13 @@ def search_hits(
 
 def search_context(
     search: DataFrame, facts: DataFrame, fact_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
-    depth: int = FUSION_DEPTH,
 ) -> DataFrame:
     """One row per valid query: graph_name, at most 15 facts, at most 5 segment insights.
 
     A missing graph gives empty lists; empty segment facts drop out after the cut.
     """
     valid, _ = requests.validate(search, "search")
-    hits = search_hits(valid, facts, fact_vectors, query_vectors, depth)
+    hits = search_hits(valid, facts, fact_vectors, query_vectors)
     result = F.struct("rank", "subject", "predicate", "object", "fact", "valid_from", "valid_to", "expired_at")
     is_client = F.col("scope") == "client"
     is_insight = (F.col("scope") == "segment") & F.col("fact").isNotNull() & (F.col("fact") != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loregraph.functions import defaults, domains, keys, labels, nodes, redact, text
-from loregraph.operators import extract, rank, requests, resolve, scale, view
+from loregraph.operators import extract, lexical, rank, requests, resolve, scale, view
 from loregraph.plans import graph_view, ingest, insights, search
 from loregraph.session import new_folder
 from loregraph.sources import requests as sources
@@ -99,6 +99,23 @@ def _(spark, d):
     return got.select("query_id", "graph_name", F.size("facts").cast("long").alias("n"), F.size(F.array_distinct(one)).cast("long").alias("n_distinct"))
 
 
+@query("S7_resubmitted_ranks", f"""{sql.ORDERS_FRESH}, fct AS (SELECT g, {sql.stable_id("'fact'", 'ep', 'pos')} AS id, fact AS body FROM lnk WHERE src IS NOT NULL AND tgt IS NOT NULL),
+ ask AS (SELECT min(c_custkey) AS query_id, {sql.graph('client', 'c_mktsegment')} AS g, 'places precedes' AS body FROM customer GROUP BY c_mktsegment),
+ {sql.bm25('SELECT * FROM fct', 'SELECT * FROM ask', 15)}
+ SELECT query_id, g AS group_id, id AS uuid, rank::BIGINT AS rank FROM top""")
+def _(spark, d):
+    """A third of the requests sent twice: facts rank as if all had been sent once."""
+    store = stores_api.GraphStore(spark, new_folder(spark, "ranks"))
+    sent = inputs.order_requests(spark, d)
+    for batch, part in (("first", sent), ("again", sent.filter("ingest_seq % 3 = 0"))):
+        stored = store.entities_for(part.select(keys.client_graph("client_slug").alias("group_id")), batch)
+        store.append(ingest.ingest_structured(part, stored, fixed_now()), batch, fixed_now())
+    asked = table(spark, d, "customer").groupBy(keys.client_graph("c_mktsegment").alias("group_id")).agg(F.min("c_custkey").alias("query_id"))
+    asked = asked.select("query_id", F.lit("client").alias("scope"), "group_id", F.lit("places precedes").alias("text"))
+    got = search.ranked_facts(asked, store.table("facts"))
+    return got.select("query_id", "group_id", F.col("doc_id").alias("uuid"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("S8_taxonomy", """SELECT CASE WHEN n_chars < 300 THEN 'note' ELSE 'document_analysis' END AS episode_type,
  n_chars >= 300 AS known, count(*) AS n FROM documents GROUP BY ALL""")
 def _(spark, d):
@@ -504,9 +521,8 @@ def _language_queries(spark, d):
 
 @query("J8_term_match", f"""WITH {sql.bm25(_Q1_DOCS, _Q1_QUERIES, 10)} SELECT g AS group_id, id AS doc_id, dl::BIGINT AS dl, term, tf FROM tf""")
 def _(spark, d):
-    terms = rank.query_terms(_language_queries(spark, d))
-    found = rank.matched_terms(_language_docs(spark, d), terms, scale.is_small(terms)).filter(F.col("term") != rank.DOCUMENT_MARK)
-    return found.groupBy("group_id", "doc_id", F.col("dl").cast("long").alias("dl"), "term").agg(F.count("*").alias("tf"))
+    found = lexical.postings(_language_docs(spark, d), lexical.query_terms(_language_queries(spark, d))).filter(~lexical.is_mark())
+    return found.select("group_id", "doc_id", F.col("dl").cast("long").alias("dl"), "term", "tf")
 
 
 _DOCS = f"WITH {sql.extraction(sql.DOCUMENT_EPISODES)}"
@@ -783,20 +799,19 @@ _FUSE_DOCS = "SELECT lang AS g, doc_id AS id, text AS body FROM documents"
 _FUSE_QUERIES = "SELECT item_id AS query_id, lang AS g, b.text AS body FROM benchmark b JOIN documents ON item_id = doc_id"
 
 
-@query("Q3_fusion", f"""WITH {sql.bm25(_FUSE_DOCS, _FUSE_QUERIES, 20)}, {_cosine('SELECT doc_id AS id, lang AS g FROM documents', 20)},
+@query("Q3_fusion", f"""WITH {sql.bm25(_FUSE_DOCS, _FUSE_QUERIES, sql.WHOLE)}, {_cosine('SELECT doc_id AS id, lang AS g FROM documents', sql.WHOLE)},
 both_lists AS (SELECT query_id, g, id, rank FROM top UNION ALL SELECT query_id, g, id, rank FROM vtop),
 fused AS (SELECT query_id, g, id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM both_lists GROUP BY ALL)
 SELECT query_id, g AS group_id, id AS doc_id, round(score * 1000000)::BIGINT AS score_e6, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id)::BIGINT AS rank FROM fused
 QUALIFY row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) <= 10""")
 def _(spark, d):
-    """Documents without a vector are found by their text alone."""
+    """Whole lists are fused; documents without a vector are found by their text alone."""
     docs = _language_docs(spark, d)
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id", "group_id"), "doc_id")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     asked = items.join(docs.select("doc_id", "group_id"), "doc_id").withColumnRenamed("doc_id", "query_id")
     asked_vectors = vectors.join(items.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    lists = [rank.bm25(docs, asked, 20), rank.cosine(vectors, asked_vectors, 20)]
-    got = rank.fuse(lists, 10)
+    got = rank.fuse_whole(docs, asked, vectors, asked_vectors, 10)
     return got.select("query_id", "group_id", "doc_id", _e6("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -809,10 +824,10 @@ def _(spark, d):
 
 @query("Q4_hybrid_context", f"""WITH {sql.CONVERSATION_FACTS},
 {sql.SEARCH_REQUESTS},
-{sql.bm25('SELECT g, id, body FROM facts', 'SELECT query_id, g, body FROM scoped', 50)},
+{sql.bm25('SELECT g, id, body FROM facts', 'SELECT query_id, g, body FROM scoped', sql.WHOLE)},
 vec AS (SELECT s.query_id, s.g, 'doc-' || lpad(e.vec_id::VARCHAR, 9, '0') AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
  FROM scoped s JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings e ON e.vec_id IN (SELECT doc_id FROM documents) WHERE scope = 'segment'),
-vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 50),
+vtop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM vec),
 both_lists AS (SELECT query_id, g, id, rank FROM top UNION ALL SELECT query_id, g, id, rank FROM vtop),
 fused AS (SELECT query_id, g, id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM both_lists GROUP BY ALL),
 ftop AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 15)

@@ -171,6 +171,9 @@ EXTRACTION_COUNTS = """SELECT r.g AS group_id, r.ep AS episode_uuid, coalesce(e.
 # --- search ------------------------------------------------------------------
 
 
+WHOLE = 10 ** 12   # as a limit: the whole list
+
+
 def bm25(docs: str, queries: str, k: int) -> str:
     """CTEs down to top(query_id, g, id, score, rank) over (g, id, body) and (query_id, g, body)."""
     return f"""d AS (SELECT g, id, {tokens('body')} AS toks FROM ({docs})),
