@@ -6,12 +6,15 @@ document's probabilities are the mean over all its positions. Both networks are
 numpy by backpropagation through time with Adam.
 
 Fixed bound: at most ``SAMPLE`` documents per language, ``CUTS`` passages of each, are learned
-from, taken by a hash of doc_id from all rows that aren't held out. Every text is read whole,
-in windows of at most ``WINDOW`` bytes, so memory doesn't depend on its length.
-
-Cases: a text that is null, empty or has no letter is ``und`` with score 0; with no learnable row
-every text is; null languages aren't learned from; languages are in alphabetical order and the
-first wins a tie; any number of languages up to ``LANGUAGES``, the most frequent ones.
+from: those with the smallest hashes of doc_id and text among all rows that aren't held out. All
+languages are learned; with many of them the documents of each are fewer, so that about ``TOTAL``
+are learned from, but not below ``FEWEST``. Every text is read whole, in windows of at most
+``WINDOW`` bytes, so memory doesn't depend on its length.
+
+Cases: a text that is null, empty or has no Unicode letter is ``und`` with score 0; with no
+learnable row every text is; null languages aren't learned from, nor one whose documents have no
+letter; a repeated row is learned from once; languages are in alphabetical order and the first wins
+a tie.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.llm.common import held_out, small_batches, text_groups, texts_of
@@ -33,12 +36,17 @@ SIDE_BY_SIDE = 1024
 SAMPLE = 600
 CUTS = 3
 CUT_CHARS = 96
-LANGUAGES = 256
+TOTAL, FEWEST = 40_000, 40
 STEPS, BATCH, TRAIN_BYTES, RATE = 240, 128, 64, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether there is a letter in the sense of Unicode: numbers such as ½ or ² are like words, but none."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place, by the hyperbolic tangent."""
     x *= 0.5
@@ -157,8 +165,9 @@ class Network:
         codes = np.frombuffer(b"".join(data), np.uint8)
         rows, starts, sizes = np.array(rows), np.array(starts), np.array(sizes)
         order = np.argsort(-sizes, kind="stable")
-        for at in range(0, len(order), SIDE_BY_SIDE):
-            some = order[at:at + SIDE_BY_SIDE]
+        width = max(16, SIDE_BY_SIDE * 2 * HIDDEN // max(2 * HIDDEN, len(self.languages)))
+        for at in range(0, len(order), width):
+            some = order[at:at + width]
             length = sizes[some]
             place = np.minimum(starts[some][None, :] + np.arange(length.max())[:, None], len(codes) - 1)
             p = self.positions(codes[place], length)
@@ -198,20 +207,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     rows = texts_of(docs).select("doc_id", "text").withColumn("lang", F.lit(None)) if "lang" not in docs.columns else \
         docs.select("doc_id", F.col("text"), "lang")
     usable = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    usable = usable.withColumn("key", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
+    n_languages = counts.count()
+    if not n_languages:
         return None
-    # a share of each language by hash, a little more than wanted; then the bound
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * sample / r["count"])))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = min(sample, max(FEWEST, TOTAL // n_languages))
+    # a share of each language by hash, more than wanted; of those the smallest hashes
+    share = F.least(F.lit(1.0), F.lit(1.5 * sample + 40) / F.col("n")).alias("share")
     cuts = [F.substring("text", (F.length("text") * F.lit(k / CUTS)).cast("int") + 1, F.lit(CUT_CHARS)).alias(f"c{k}") for k in range(CUTS)]
-    few = usable.filter(drawn < share[F.col("lang")]).select("lang", *cuts).limit(2 * sample * len(counts)).collect()
-    pairs = sorted((c.encode(), r["lang"]) for r in few for c in r[1:] if c and LETTER.search(c))
+    drawn = usable.join(F.broadcast(counts.select("lang", share)), "lang").filter(F.col("key") < F.col("share") * F.lit(float(1 << 40)))
+    drawn = drawn.select("lang", "key", *cuts).dropDuplicates(["lang", "key"])
+    order = Window.partitionBy("lang").orderBy("key")
+    few = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).drop("key", "place").collect()
+    pairs = sorted((c.encode(), r["lang"]) for r in few for c in r[1:] if c and has_letter(c))
     languages = sorted({lang for _, lang in pairs})
     if not languages:
         return None
     place = {lang: k for k, lang in enumerate(languages)}
-    return train([c for c, _ in pairs], np.array([place[lang] for _, lang in pairs]), languages)
+    return train([c for c, _ in pairs], np.array([place[lang] for _, lang in pairs]), languages, max(STEPS, 10 * len(languages)))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -221,7 +235,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = net.value
         for batch, texts in text_groups(batches):
-            has = np.array([LETTER.search(t) is not None for t in texts])
+            has = np.array([has_letter(t) for t in texts])
             if own is None:
                 has[:] = False
                 best, score = np.zeros(len(texts), int), np.zeros(len(texts))

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from loregraph.llm import language_gru as gru
 
@@ -44,3 +47,53 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert gru.identify(no_docs).collect() == []
     unlabelled = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert gru.identify(unlabelled).first().lang_pred == "und"
+
+
+def plain_label(net, text):
+    """One text, one byte at a time, one number at a time."""
+    w = {k: v.tolist() for k, v in net.weights.items()}
+    data, size = text.encode(), gru.HIDDEN
+    n = -(-len(data) // gru.WINDOW)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    total = [0.0] * len(net.languages)
+    for k in range(n):
+        part = data[len(data) * k // n:len(data) * (k + 1) // n]
+        states = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h, states[d] = [0.0] * size, {}
+            for t in order:
+                into = {g: [sum(h[i] * w[f"U{g}_{d}"][i][j] for i in range(size)) for j in range(size)] for g in "zrn"}
+                z = [sig(into["z"][j] + w[f"z_{d}"][part[t]][j]) for j in range(size)]
+                r = [sig(into["r"][j] + w[f"r_{d}"][part[t]][j]) for j in range(size)]
+                c = [math.tanh(r[j] * into["n"][j] + w[f"n_{d}"][part[t]][j]) for j in range(size)]
+                h = states[d][t] = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(size)]
+        for t in range(len(part)):
+            both = states["f"][t] + states["b"][t]
+            scores = [math.exp(sum(both[i] * w["out"][i][k] for i in range(2 * size)) + w["bias"][k]) for k in range(len(total))]
+            total = [a + s / sum(scores) for a, s in zip(total, scores)]
+    return [a / sum(total) for a in total]
+
+
+def test_against_a_plain_network(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = gru.fit(docs, 30)
+    texts = [r.text for r in docs.filter("n_chars < 700").limit(8).collect()] + ["x", "é", "Die Katze " * 60]
+    for text, got in zip(texts, net.label(texts)):
+        assert np.allclose(got, plain_label(net, text), atol=1e-4)
+
+
+def test_what_is_learned_from(spark, sf_dir):
+    """Languages of held-out rows, repeated rows and the order of rows change nothing; every language is learned."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    kept = gru.held_out("doc_id", 4, 2)
+    other = docs.withColumn("lang", F.when(kept, F.lit("zz")).otherwise(F.col("lang")))
+    one = gru.fit(docs, 20)
+    for rows in (other, docs.unionByName(docs.filter("doc_id < 40")).repartition(5, "text")):
+        two = gru.fit(rows, 20)
+        assert one.languages == two.languages and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 40))
+    assert gru.fit(many, 2).languages == sorted(r.lang for r in many.filter(~kept & (F.col("text") != "")).select("lang").distinct().collect())
+
+
+def test_letters():
+    assert [gru.has_letter(t) for t in ("", "½ ² ① 12 _", "½a", "é", "漢", "٣", "ª")] == [False, False, True, True, True, False, True]
