@@ -1,4 +1,4 @@
-"""Text expressions: naming, enrichment, tokens, sentences and n-grams."""
+"""Text expressions: naming, enrichment, tokens and sentences."""
 
 from __future__ import annotations
 
@@ -57,14 +57,3 @@ def sentences(text: Column | str) -> Column:
     """Trimmed sentences; empty pieces stay, so that positions match the split."""
     return F.transform(F.split(_col(text), SENTENCE_BREAK), strip)
 
-
-def grams(words: Column | str, size: int) -> Column:
-    """All n-grams of ``size`` tokens as an array of (start, n, gram), start from 0."""
-    words = _col(words)
-
-    def one(start: Column) -> Column:
-        gram = F.get(words, start) if size == 1 else F.array_join(F.slice(words, start + 1, F.lit(size)), " ")
-        return F.struct(start.alias("start"), F.lit(size).alias("n"), gram.alias("gram"))
-
-    every = F.transform(F.sequence(F.lit(0), F.size(words) - size), one)
-    return F.when(F.size(words) >= size, every).otherwise(F.array().cast("array<struct<start:int,n:int,gram:string>>"))

@@ -62,12 +62,8 @@ def test_bootstrap_defaults_are_by_key(spark):
     ]
 
 
-def test_tokens_and_grams(spark):
+def test_tokens(spark):
     assert one(spark, ["A b, c!", "", "--"], text.tokens("v")) == [["a", "b", "c"], [], []]
-    got = values(
-        spark, [(["a", "b", "c"],), (["a"],), ([],)], "w array<string>", text.grams("w", 2), text.grams("w", 1))
-    assert [[tuple(g) for g in two] for two, _ in got] == [[(0, 2, "a b"), (1, 2, "b c")], [], []]
-    assert [[g.gram for g in single] for _, single in got] == [["a", "b", "c"], ["a"], []]
 
 
 def test_sentences(spark):

@@ -82,6 +82,16 @@ def test_one_long_sentence_is_read_whole(spark):
     assert found.count() == 2 and [r.fact for r in linked.collect()] == [text]
 
 
+def test_names_with_a_common_begin_and_names_that_are_refused(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "e1", 0, "x y z. a b c d e f. x y"), ("b", "e2", 1, "a b c d. x y z w")],
+                                 "group_id string, episode_uuid string, seq long, content string")
+    terms = spark.createDataFrame([("x",), ("x y",), ("X-Y z",), ("a b c d",), ("a b c d e",), ("b c d e f g",), ("q " * 4096,), ("--",), (None,)], "name string")
+    got = {(r.group_id, r.gram) for r in extract.sightings(rows, extract.gazetteer(terms)).collect()}
+    assert got == {("a", g) for g in ("x", "x y", "x y z", "a b c d", "a b c d e")} | {("b", g) for g in ("x", "x y", "x y z", "a b c d")}
+    assert sorted(r.reason for r in extract.refused_names(terms).collect()) == ["more than 4095 tokens", "no token", "no token"]
+    assert extract.sightings(rows, extract.gazetteer(terms.limit(0))).collect() == []
+
+
 def test_ingest_episodes(spark):
     full = ("A", "e1", "status_update", "Ann met Bob. Bob left.", "7", "doc", {"k": "Carl"}, None, 0)
     bad = ("A", "e1", "nonsense", "Ann", "8", "doc", {}, None, 1)
