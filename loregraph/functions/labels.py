@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import NamedTuple
 
@@ -36,7 +36,7 @@ DEPARTMENT_NAMES = [
     "c&e", "compliance & enforcement (c&e)", "licensing & investigations",
     "licensing and investigations", "licensing and investigations (l&i)", "gaming technology", "gtu",
     "executive", "executive office", "casino operations", "surveillance",
-    "pokagon band gaming commission", "pbgc", "information technology", "human resources",
+    "information technology", "human resources",
     "gaming technology unit",
 ]
 DEPARTMENT_PHRASES = [
@@ -104,14 +104,18 @@ RULES = [
 ]
 
 
+RULE_SCHEMA = "rule_set string, priority int, field string, op string, term string, result string"
+
+
 def rule_table(spark: SparkSession, rules: Iterable[Rule] = RULES) -> DataFrame:
-    """The rules as data, one row per term, for inspection or editing."""
-    rows = [(r.priority, r.field, r.op, term, r.result) for r in rules for term in r.terms]
-    return spark.createDataFrame(rows, "priority int, field string, op string, term string, result string")
+    """The rules as data, one row per term and for all tenants (no ``rule_set``), for inspection or editing."""
+    rows = [(None, r.priority, r.field, r.op, term, r.result) for r in rules for term in r.terms]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
 def rules_from_table(table: DataFrame) -> list[Rule]:
-    """Read an edited rule table back; rules are configuration, a few hundred rows."""
+    """Read an edited rule table back as one chain for all rows; rules are configuration, a few hundred rows.
+    Rules of tenants, or many, stay tables: see ``operators.rules``."""
     grouped: dict[tuple, list[str]] = {}
     for row in table.orderBy("priority").toLocalIterator():
         grouped.setdefault((row.priority, row.field, row.op, row.result), []).append(row.term)
@@ -170,15 +174,20 @@ def with_rule_keys(df: DataFrame, name: Column | str, summary: Column | str) ->
     )
 
 
-def with_node_type(df: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
+def with_node_type(df: DataFrame, rules: Iterable[Rule] = RULES, typed_by: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``type`` from (node_labels, labels, labels_text, name, summary).
 
-    Domain map first; the rules only see plain entities the map does not know.
+    Domain map first; the rules only see plain entities the map does not know. ``typed_by`` adds
+    ``type`` from ``name_key`` and ``summary_key`` in place of the chain of ``rules``.
     """
     bound = with_rule_keys(df.withColumn("labels_text", strip(F.coalesce("labels_text", F.lit("")))), "name", "summary")
     bound = bound.withColumns(
         {"_base": base_type("node_labels"), "_mapped": visual_type(domain_label("labels", "labels_text"))}
     )
+    if typed_by is not None:
+        guessed = typed_by(bound).withColumnRenamed("type", "_guessed")
+        return guessed.withColumn("type", F.coalesce("_mapped", F.when(F.col("_base") == "entity", F.col("_guessed")), "_base")).drop(
+            "_base", "_mapped", "name_key", "summary_key", "_guessed")
     guessed = F.when(F.col("_base") == "entity", heuristic_type("name_key", "summary_key", rules))
     return bound.withColumn("type", F.coalesce("_mapped", guessed, "_base")).drop(
         "_base", "_mapped", "name_key", "summary_key"

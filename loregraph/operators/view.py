@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions import labels, nodes
+from loregraph.operators.rules import RULE_COLUMNS, rule_types
 from loregraph.operators.scale import first_wins, top_n
 
 EPISODIC = "Episodic"
@@ -53,8 +54,10 @@ def not_episodic(node_rows: DataFrame) -> DataFrame:
     return node_rows.filter(~F.coalesce(F.array_contains("node_labels", EPISODIC), F.lit(False)))
 
 
-def typed_nodes(node_rows: DataFrame, rules=labels.RULES) -> DataFrame:
-    """Non-episodic nodes as (group_id, id, name, type, properties); a narrow projection."""
+def typed_nodes(node_rows: DataFrame, rules=labels.RULES, tenant_rules: DataFrame | None = None) -> DataFrame:
+    """Non-episodic nodes as (group_id, id, name, type, properties); a narrow projection.
+
+    ``tenant_rules`` (see ``operators.rules``; rule_set is a graph) count with ``rules``, by priority."""
     props = F.col("properties")
     named = not_episodic(node_rows).select(
         "group_id", nodes.node_id("properties", "native_id").alias("id"),
@@ -62,7 +65,11 @@ def typed_nodes(node_rows: DataFrame, rules=labels.RULES) -> DataFrame:
         "node_labels", "labels", props["labels"].alias("labels_text"), props["summary"].alias("summary"),
         nodes.clean_properties("properties").alias("properties"),
     )
-    return labels.with_node_type(named, rules).select("group_id", "id", "name", "type", "properties")
+    typed_by = None
+    if tenant_rules is not None:
+        every = labels.rule_table(node_rows.sparkSession, rules).unionByName(tenant_rules.select(*RULE_COLUMNS))
+        typed_by = lambda df: rule_types(df, every)
+    return labels.with_node_type(named, rules, typed_by).select("group_id", "id", "name", "type", "properties")
 
 
 def limited_nodes(node_rows: DataFrame, max_nodes: int = 500) -> DataFrame:

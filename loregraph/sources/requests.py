@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loregraph import schemas
-from loregraph.functions import domains
+from loregraph.functions import domains, labels
 
 SCHEMAS = {
     "episode": schemas.EPISODE_REQUEST,
@@ -62,3 +62,8 @@ def entity_types(spark: SparkSession, path: str | None = None) -> DataFrame:
         return spark.read.schema(schema).json(path).filter("name IS NOT NULL")
     except Exception:  # noqa: BLE001 - any failure means an empty taxonomy
         return spark.createDataFrame([], schema)
+
+
+def rule_sets(spark: SparkSession, path: str) -> DataFrame:
+    """Typing rules of tenants from JSON lines: rule_set (missing: for all tenants), priority, field, op, term, result."""
+    return spark.read.schema(labels.RULE_SCHEMA).json(path)

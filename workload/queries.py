@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loregraph.functions import defaults, domains, keys, labels, nodes, redact, text
-from loregraph.operators import extract, lexical, rank, requests, resolve, scale, view
+from loregraph.operators import extract, lexical, rank, requests, resolve, rules, scale, view
 from loregraph.plans import graph_view, ingest, insights, search
 from loregraph.session import new_folder
 from loregraph.sources import requests as sources
@@ -373,6 +373,28 @@ def _(spark, d):
     return keyed.select("p_partkey", labels.heuristic_type("name_key", "summary_key").alias("type"))
 
 
+@query("P15_tenant_rules", f"""WITH r AS (SELECT ['en', 'de', 'fr', 'es'][item_id % 5] AS rule_set, item_id AS priority, item_id % 3 AS op, 't' || item_id AS result,
+  lower(CASE item_id % 3 WHEN 0 THEN substr(text, 5, 3 + item_id % 9) WHEN 1 THEN substr(text, 1, 2) ELSE split_part(text, ' ', 1) END) AS term FROM benchmark),
+ d AS (SELECT doc_id, lang, {sql.strip("lower(split_part(text, ' ', 1))")} AS n, lower(text) AS s FROM documents)
+SELECT doc_id, coalesce(min_by(result, priority), 'entity') AS type FROM d LEFT JOIN r ON term <> '' AND (rule_set IS NULL OR rule_set = lang)
+ AND CASE op WHEN 0 THEN contains(s, term) WHEN 1 THEN starts_with(n, term) ELSE n = term END GROUP BY doc_id""")
+def _(spark, d):
+    """Documents typed by rules out of benchmark items, most of them for one language alone."""
+    number = F.col("item_id")
+
+    def one_of(*values):
+        return F.get(F.array(*values), (number % 3).cast("int"))
+
+    given = table(spark, d, "benchmark").select(
+        F.get(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (number % 5 - 1).cast("int")).alias("rule_set"), number.cast("int").alias("priority"),
+        one_of(F.lit("summary"), F.lit("name"), F.lit("name")).alias("field"), one_of(F.lit("contains"), F.lit("startswith"), F.lit("equals")).alias("op"),
+        one_of(F.substring("text", F.lit(5), (3 + number % 9).cast("int")), F.substring("text", 1, 2), F.split_part("text", F.lit(" "), F.lit(1))).alias("term"),
+        F.concat(F.lit("t"), number.cast("string")).alias("result"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("group_id"), "text")
+    keyed = labels.with_rule_keys(docs, F.split_part("text", F.lit(" "), F.lit(1)), F.col("text"))
+    return rules.rule_types(keyed, given).select("doc_id", "type")
+
+
 @query("P16_property_cleaning", """SELECT event_id, event_type || '|' || props AS kept FROM events""")
 def _(spark, d):
     props = F.create_map(F.lit("uuid"), F.lit("u"), F.lit("summary"), "event_type", F.lit("content"), "props",
