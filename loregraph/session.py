@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Staged folders made inside are removed at the end: for jobs that write their results themselves.
+
+    Frames made inside cannot be read afterwards. Blocks may be nested, but not shared by threads."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path for staged data that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -74,5 +93,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Parquet it still prunes columns and has a known size, by which Spark picks joins.
     """
     path = new_folder(df.sparkSession, "staged")
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,11 @@
 Every batch writes its own partitions and overwrites them when it is replayed, so a
 restarted stream adds nothing twice and needs no look-up of what was written before.
 Dropping a graph removes its partition folders.
+
+Compaction writes all visible batches as one, out of sight, and then commits a list of the batches
+it replaces under the next version number. Readers go by the newest list: they see the batches
+before, or the one after, never both or neither. Of two compactions at the same time one commits
+and the other is undone. Replaced folders stay until ``vacuum``, for readers that began before.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from collections.abc import Iterable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +27,20 @@ from loregraph.operators.resolve import Resolution
 from loregraph.operators.scale import of_groups
 
 DELETES = 16  # folders deleted side by side
+LISTS = "compactions"
+LIST = "batch_id string, replaced boolean"
+
+
+class CompactionConflict(RuntimeError):
+    """Another compaction was committed first; nothing was changed."""
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, pinned: DataFrame | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        for table in (*schemas.TABLES, "graphs", "batches"):
+        self.pinned = pinned
+        for table in (*schemas.TABLES, "graphs", "batches", LISTS):
             self._fs(table).mkdirs(self._path(table))
 
     # --- reading ---------------------------------------------------------
@@ -38,9 +51,24 @@ class GraphStore:
         schema = schemas.TABLES[name]
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         # A row per batch: Spark broadcasts it while it is small, and then skips the folders of others.
-        whole = self.spark.read.schema(schemas.BATCHES).parquet(f"{self.root}/batches").select("batch_id")
+        whole = self.visible_batches() if self.pinned is None else self.pinned
         return rows.join(whole, "batch_id", "left_semi").select(*schema.fieldNames())
 
+    def visible_batches(self) -> DataFrame:
+        """``batch_id`` of what readers see: batches with a marker that no compaction replaced, and compacted ones."""
+        marked = self.spark.read.schema(schemas.BATCHES).parquet(f"{self.root}/batches").select("batch_id")
+        _, folder = self._newest()
+        if folder is None:
+            return marked
+        listed = self.spark.read.schema(LIST).parquet(f"{self.root}/{LISTS}/{folder}")
+        return marked.join(listed.filter("replaced"), "batch_id", "left_anti").unionByName(listed.filter("NOT replaced").select("batch_id"))
+
+    def snapshot(self) -> GraphStore:
+        """The store as it is now, in all tables alike; what is committed later isn't seen. The list of visible
+        batches is held by the driver: compaction keeps it short."""
+        ids = [(r.batch_id,) for r in self.visible_batches().collect()]
+        return GraphStore(self.spark, self.root, self.spark.createDataFrame(ids, "batch_id string"))
+
     def entities_for(self, groups: DataFrame, batch_id: str | None = None) -> DataFrame:
         """Entities a batch resolves against: those of its graphs written by other batches."""
         found = of_groups(self.table("entities"), groups)
@@ -107,6 +135,72 @@ class GraphStore:
         rows = new.select(kind.alias("kind"), now.alias("created_at"), "group_id")
         rows.write.mode("append").partitionBy("group_id").parquet(f"{self.root}/graphs")
 
+    # --- maintenance ---------------------------------------------------------
+    def compact(self) -> str | None:
+        """Rewrite all visible batches as one, with files of a graph together; its id, or None if there is
+        nothing to merge. Batches committed meanwhile stay as they are."""
+        version, folder = self._newest()
+        seen = self.snapshot()
+        old = [r.batch_id for r in seen.pinned.collect()]
+        if len(old) < 2:
+            return None
+        merged = f"c{uuid.uuid4().hex}"
+        with ThreadPoolExecutor(len(schemas.TABLES)) as pool:
+            jobs = [pool.submit(self._write, name, seen.table(name).drop("batch_id"), merged, one_time()) for name in schemas.TABLES]
+            for job in jobs:
+                job.result()
+        before = [] if folder is None else [r.batch_id for r in self.spark.read.schema(LIST).parquet(f"{self.root}/{LISTS}/{folder}").filter("replaced").collect()]
+        rows = [(b, True) for b in dict.fromkeys([*before, *old])] + [(merged, False)]
+        own = uuid.uuid4().hex
+        self.spark.createDataFrame(rows, LIST).coalesce(1).write.parquet(f"{self.root}/{LISTS}/{own}")
+        if not self._commit(version + 1, own):
+            self._drop_batches([merged])
+            self._fs(LISTS).delete(self._path(f"{LISTS}/{own}"), True)
+            raise CompactionConflict(f"version {version + 1} was committed by another compaction")
+        return merged
+
+    def vacuum(self) -> int:
+        """Remove the folders of replaced batches; their number. To be called once no reader that began before
+        the compaction is left. The ids stay listed, so that a late replay of such a batch isn't seen."""
+        _, folder = self._newest()
+        if folder is None:
+            return 0
+        old = [r.batch_id for r in self.spark.read.schema(LIST).parquet(f"{self.root}/{LISTS}/{folder}").filter("replaced").collect()]
+        self._drop_batches(old)
+        return len(old)
+
+    def _newest(self) -> tuple[int, str | None]:
+        """Version of the newest committed list and its folder."""
+        found = self._fs(LISTS).globStatus(self._path(f"{LISTS}/v*.commit"))
+        names = sorted(f.getPath().getName() for f in found) if found else []
+        if not names:
+            return 0, None
+        stream = self._fs(LISTS).open(self._path(f"{LISTS}/{names[-1]}"))
+        try:
+            return int(names[-1][1:-len(".commit")]), stream.readUTF()
+        finally:
+            stream.close()
+
+    def _commit(self, version: int, folder: str) -> bool:
+        """Point ``version`` to a list unless it is taken: the file is created only if there is none."""
+        try:
+            stream = self._fs(LISTS).create(self._path(f"{LISTS}/v{version:012d}.commit"), False)
+        except Py4JJavaError:
+            return False
+        stream.writeUTF(folder)
+        stream.close()
+        return True
+
+    def _drop_batches(self, batches: list[str]) -> None:
+        def drop(table: str, batch: str) -> None:
+            fs = self._fs(table)
+            for found in fs.globStatus(self._path(f"{table}/group_id=*/batch_id={batch}")) or []:
+                fs.delete(found.getPath(), True)
+
+        with ThreadPoolExecutor(DELETES) as pool:
+            for _ in pool.map(lambda job: drop(*job), [(t, b) for b in batches for t in schemas.TABLES]):
+                pass
+
     # --- administration ----------------------------------------------------
     def init_graphs(self, requests: DataFrame) -> DataFrame:
         """Idempotent; one row per request."""

@@ -1,5 +1,7 @@
 """Stored graphs: sinks, administration, streaming and replay."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from loregraph.functions import domains
 from loregraph.plans import graph_view, ingest
 from loregraph.session import new_folder
 from loregraph.sources import requests as sources
-from loregraph.sources.store import GraphStore
+from loregraph.sources.store import CompactionConflict, GraphStore
 from loregraph.streaming.ingest import ingest_batch, stream_structured
 
 
@@ -101,6 +103,65 @@ def test_stream_equals_batch(spark, store):
     assert store.table("episodes").select("batch_id").distinct().count() == 2
 
 
+def files(store):
+    return sum(len(store._fs(t).globStatus(store._path(f"{t}/group_id=*/batch_id=*/*.parquet")) or []) for t in schemas.TABLES)
+
+
+def test_compaction(spark, store):
+    parts = [ROWS[i:i + 1] for i in range(5)]
+    for number, rows in enumerate(parts[:3]):
+        ingest_batch(store, structured(spark, rows), f"p{number}")
+    before, reader, many = content(store), store.snapshot(), files(store)
+    frame = store.table("facts")
+    merged = store.compact()
+    assert content(store) == before and {r.batch_id for r in store.visible_batches().collect()} == {merged}
+    assert content(reader) == before and frame.count() == len(before["facts"])      # those that began before
+    ingest_batch(store, structured(spark, parts[2]), "p2")                             # a late replay
+    assert content(store) == before
+    for number, rows in enumerate(parts[3:], 3):
+        ingest_batch(store, structured(spark, rows), f"p{number}")
+    whole = GraphStore(spark, new_folder(spark, "test"))
+    ingest_batch(whole, structured(spark, ROWS), "all")
+    assert content(store) == content(whole)
+    store.compact()
+    assert store.compact() is None and store.vacuum() == 6
+    assert content(store) == content(whole) and files(store) < many
+    yes = domains.CONFIRM_SENTENCE
+    store.delete_graphs(admin(spark, ("A", yes)))
+    assert {r.group_id for r in store.table("entities").collect()} == {"client_b"}
+
+
+def test_of_two_compactions_one_is_undone(spark, store, monkeypatch):
+    for number in range(2):
+        ingest_batch(store, structured(spark, ROWS[number:number + 1]), f"p{number}")
+    before, other, commit = content(store), GraphStore(spark, store.root), GraphStore._commit
+
+    def late(self, version, folder):
+        monkeypatch.setattr(GraphStore, "_commit", commit)
+        assert other.compact() is not None                     # gets ahead of the first
+        return commit(self, version, folder)
+
+    monkeypatch.setattr(GraphStore, "_commit", late)
+    with pytest.raises(CompactionConflict):
+        store.compact()
+    assert content(store) == before and len(store.visible_batches().collect()) == 1
+
+
+def test_stream_that_compacts_and_leaves_no_staged_folders(spark, store):
+    landing = new_folder(spark, "landing")
+    root = os.path.dirname(landing)
+    staged = lambda: {n for n in os.listdir(root) if n.startswith("staged-")}
+    before = staged()
+    for number in range(4):
+        structured(spark, ROWS[number:number + 1]).write.mode("append").parquet(landing)
+        stream = sources.read_requests(spark, "structured", landing, "parquet", stream=True)
+        stream_structured(stream, store, f"{landing}-progress", compact_every=2).trigger(availableNow=True).start().awaitTermination()
+    batch = GraphStore(spark, new_folder(spark, "test"))
+    ingest_batch(batch, structured(spark, ROWS[:4]), "all")
+    assert content(store) == content(batch) and len(store.visible_batches().collect()) == 1
+    assert staged() == before
+
+
 def admin(spark, *pairs):
     return spark.createDataFrame(list(pairs), schemas.ADMIN_REQUEST)
 
