@@ -2,8 +2,8 @@
 
 Documents of a group fall into blocks of about ``BLOCK_DOCS``. For every term that some query asks
 for, a table holds the largest contribution it makes in each block, and thereby a bound on what any
-document of the block can score for a query. A query's rarest terms give k documents with known
-partial scores; the least of them is a threshold that the result cannot fall below. Terms that
+document of the block can score for a query. The documents that are best by a query's rarest terms
+are scored in full; the k-th best of them is a threshold that the result cannot fall below. Terms that
 together cannot reach it are left out at first: only documents with one of the other terms, in
 blocks whose bound reaches the threshold, are scored, and the left-out terms are looked up for
 those that still can reach it. So words found in nearly every document cost a row per block, not
@@ -23,7 +23,8 @@ from loregraph.session import materialize
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 6   # scores are ranked rounded, so that float noise cannot reorder ties
-BLOCK_DOCS = 64
+BLOCK_DOCS = 16
+TRIED = 5          # documents that are scored for the threshold, per document asked for
 LEAD = 20          # postings of the rarest terms that are read for the threshold, per document asked for
 MARGIN = 1e-5      # thresholds are lowered by more than rounding and float noise can make
 
@@ -71,12 +72,28 @@ def postings(docs: DataFrame, terms: DataFrame, small: bool | None = None) -> Da
     return own.select(*DOC, "dl", "term", (F.col("n") / F.col("one.n")).cast("long").alias("tf"))
 
 
+def part() -> Column:
+    """Contribution of a posting (``tf, dl``) to the score of a query with ``idf`` and ``average`` length."""
+    return F.col("idf") * unit(F.col("average"))
+
+
+def unit(average: Column) -> Column:
+    length = F.lit(1 - B) + F.lit(B) * F.col("dl") / average
+    return F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
+
+
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), blocks).cast("long")
+
+
+WEIGHT = ["query_id", "group_id", "term", "idf", "average", "n_blocks"]
+
+
 @dataclass
 class Index:
     """What the queries need of the documents, staged, so that Spark knows the sizes and broadcasts what
-    is small. ``postings``: group_id, doc_id, block, term, unit (the
-    contribution of a term without its weight); ``blocks``: group_id, term, block, top, n; ``terms``:
-    query_id, group_id, term, idf, df, most (largest contribution)."""
+    is small. ``postings``: group_id, doc_id, dl, term, tf; ``blocks``: group_id, term, block, top (largest
+    contribution without its weight), n; ``terms``: ``WEIGHT``, df, most (largest contribution)."""
 
     postings: DataFrame
     blocks: DataFrame
@@ -85,32 +102,38 @@ class Index:
     def scores(self, terms: DataFrame | None = None) -> DataFrame:
         """Score of every document with a term of a query (of ``terms``, if given)."""
         terms = self.terms if terms is None else terms
-        found = self.postings.join(terms.select(*ASKED, "term", "idf"), ["group_id", "term"])
-        return found.groupBy(*HIT).agg(F.sum(F.col("idf") * F.col("unit")).alias("score"))
+        found = self.postings.join(terms.select(*WEIGHT), ["group_id", "term"])
+        return found.groupBy(*HIT).agg(F.sum(part()).alias("score"))
+
+    def complete(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """What ``terms`` add to the score of ``pairs`` (query_id, group_id, doc_id): (.., score), where there is any."""
+        sought = pairs.select(*HIT).join(terms.select(*WEIGHT), ASKED)
+        return sought.join(self.postings, ["group_id", "doc_id", "term"]).groupBy(*HIT).agg(F.sum(part()).alias("score"))
 
     def thresholds(self, k: int) -> DataFrame:
-        """(query_id, group_id, least): what the k-th best score at least is, where there are k."""
+        """(query_id, group_id, least): what the k-th best score at least is, where there are k: that of the
+        documents that are best by the rarest terms, scored with all terms."""
         before = Window.partitionBy(*ASKED).orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
         lead = self.terms.withColumn("before", F.coalesce(F.sum("df").over(before), F.lit(0))).filter(F.col("before") < LEAD * k)
-        best = top_n(self.scores(lead), ASKED, [F.desc("score"), F.asc("doc_id")], k, "rank")
-        return best.filter(F.col("rank") == k).select(*ASKED, (F.col("score") - MARGIN).alias("least"))
+        best = top_n(self.scores(lead), ASKED, [F.desc("score"), F.asc("doc_id")], TRIED * k, "rank")
+        tried = self.complete(best, self.terms).groupBy(*ASKED).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+        return tried.filter(F.size("s") >= k).select(*ASKED, (F.get("s", F.lit(k - 1)) - MARGIN).alias("least"))
 
     def candidates(self, k: int) -> DataFrame:
         """(query_id, group_id, doc_id, score) of all documents that can be among the k best: exact scores."""
-        terms = self.terms.join(materialize(self.thresholds(k)), ASKED, "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+        terms = self.terms.join(self.thresholds(k), ASKED, "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         upto = Window.partitionBy(*ASKED).orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         terms = materialize(terms.withColumn("late", F.sum("most").over(upto) < F.col("least")))
         bound = F.col("idf") * F.col("top")
         met = self.blocks.join(terms, ["group_id", "term"]).groupBy(*ASKED, "block").agg(
             F.sum(bound).alias("bound"), F.sum(F.when(F.col("late"), bound).otherwise(0.0)).alias("rest"),
             F.max(~F.col("late")).alias("early"), F.max("least").alias("least"))
-        met = materialize(met.filter("early AND bound >= least").select(*ASKED, "block", "rest", "least"))
-        early = self.postings.join(terms.filter("NOT late").select(*ASKED, "term", "idf"), ["group_id", "term"])
+        met = met.filter("early AND bound >= least").select(*ASKED, "block", "rest", "least")
+        early = self.postings.join(terms.filter("NOT late").select(*WEIGHT), ["group_id", "term"]).withColumn("block", block_of(F.col("n_blocks")))
         some = early.join(met, [*ASKED, "block"]).groupBy(*HIT).agg(
-            F.sum(F.col("idf") * F.col("unit")).alias("score"), F.max("rest").alias("rest"), F.max("least").alias("least"))
+            F.sum(part()).alias("score"), F.max("rest").alias("rest"), F.max("least").alias("least"))
         some = materialize(some.filter("score + rest >= least").select(*HIT, "score"))
-        late = some.select(*HIT).join(terms.filter("late").select(*ASKED, "term", "idf"), ASKED)
-        more = late.join(self.postings, ["group_id", "doc_id", "term"]).groupBy(*HIT).agg(F.sum(F.col("idf") * F.col("unit")).alias("more"))
+        more = self.complete(some, terms.filter("late")).withColumnRenamed("score", "more")
         return some.join(more, HIT, "left").select(*HIT, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
@@ -119,17 +142,15 @@ def index(docs: DataFrame, queries: DataFrame) -> Index:
     (query_id, group_id, text); a query may ask several groups. Statistics are those of the group."""
     terms = query_terms(queries)
     tf = materialize(postings(of_groups(docs, queries), terms))
-    stats = materialize(tf.filter(is_mark()).groupBy("group_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total")))
-    length = F.lit(1 - B) + F.lit(B) * F.col("dl") * F.col("n") / F.col("total")
-    unit = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(BLOCK_DOCS))).cast("long")
-    own = tf.filter(~is_mark()).join(stats, "group_id").select(*DOC, block.alias("block"), "term", unit.alias("unit"))
-    own = materialize(own)
-    blocks = materialize(own.groupBy("group_id", "term", "block").agg(F.max("unit").alias("top"), F.count("*").alias("n")))
+    stats = tf.filter(is_mark()).groupBy("group_id").agg(
+        F.count("*").alias("n"), F.avg("dl").alias("average"), F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).alias("n_blocks"))
+    own = tf.filter(~is_mark())
+    blocks = own.join(stats, "group_id").groupBy("group_id", "term", block_of(F.col("n_blocks")).alias("block"))
+    blocks = materialize(blocks.agg(F.max(unit(F.col("average"))).alias("top"), F.count("*").alias("n")))
     by_term = blocks.groupBy("group_id", "term").agg(F.max("top").alias("top"), F.sum("n").alias("df"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = by_term.join(stats, "group_id").join(terms, ["group_id", "term"]).select(*ASKED, "term", idf.alias("idf"), "df", "top")
-    return Index(own, blocks, materialize(weights.withColumn("most", F.col("idf") * F.col("top")).drop("top")))
+    weights = by_term.join(stats, "group_id").join(terms, ["group_id", "term"])
+    weights = weights.withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return Index(own, blocks, materialize(weights.select(*WEIGHT, "df", (F.col("idf") * F.col("top")).alias("most"))))
 
 
 def ranked(scores: DataFrame, k: int, decimals: int = SCORE_DIGITS) -> DataFrame:

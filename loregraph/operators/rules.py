@@ -9,6 +9,7 @@ from loregraph.operators.scale import hint_if_small
 from loregraph.session import materialize
 
 GRAM = 4
+PIECE = 128
 FIELDS = ("name", "summary")
 OPS = ("equals", "contains", "startswith")
 NONE = "entity"
@@ -35,16 +36,22 @@ def anchored(rules: DataFrame) -> DataFrame:
     return kept.withColumn("size", size).withColumn("gram", gram).withColumn("anchor", F.xxhash64("field", "size", "gram")).drop("gram")
 
 
-def _grams(subject: Column, size: int) -> Column:
-    if size == 0:
-        return F.array(subject)
-    starts = F.sequence(F.lit(1), F.length(subject) - size + 1)
-    every = F.array_distinct(F.transform(starts, lambda i: F.substring(subject, i, F.lit(size))))
-    return F.when(F.length(subject) >= size, every).otherwise(F.array().cast("array<string>"))
+def _anchors(field: str, size: int) -> Column:
+    """Hashes of the substrings of ``size`` characters (0: the whole). Taking a substring walks the string from its
+    begin, so a subject is cut into pieces first: the work stays close to linear in it."""
+    subject = F.col(f"{field}_key")
 
+    def hashed(gram: Column) -> Column:
+        return F.xxhash64(F.lit(field), F.lit(size), gram)
 
-def _anchors(field: str, size: int) -> Column:
-    return F.transform(_grams(F.col(f"{field}_key"), size), lambda g: F.xxhash64(F.lit(field), F.lit(size), g))
+    def inside(piece: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(piece) - size + 1), lambda i: hashed(F.substring(piece, i, F.lit(size))))
+        return F.when(F.length(piece) >= size, every).otherwise(F.array().cast("array<bigint>"))
+
+    if size == 0:
+        return F.array(hashed(subject))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(subject)), F.lit(PIECE)), lambda s: F.substring(subject, s, F.lit(PIECE + size - 1)))
+    return F.array_distinct(F.flatten(F.transform(pieces, inside)))
 
 
 def rule_types(rows: DataFrame, rules: DataFrame, tenant: str = "group_id") -> DataFrame:
