@@ -145,13 +145,72 @@ def test_reliabilities_are_recovered():
         counts["card", votes] = counts.get(("card", votes), 0) + 1
         truth.setdefault(votes, []).append(true)
     chance, sure = pii_votes.maximise([(k, v, n) for (k, v), n in sorted(counts.items())])
-    for (h, f), (a, b) in zip(zip(hit, false), sure.values()):
+    for h, f, voter in zip(hit, false, pii_votes.VOTERS):
+        a, b = sure["card", voter]
         assert abs(h - a) < 0.06 and abs(f - b) < 0.06
     right = sum(sum(t == (chance["card", v] > 0.5) for t in own) for v, own in truth.items())
     assert right / 6000 > 0.93
     assert pii_votes.maximise([]) == ({}, {})
 
 
+def test_a_small_kind_takes_the_common_reliabilities():
+    """A thousand spans of one kind show a labeler to be good; three of another kind barely move it."""
+    counts = [("card", "111121", 500), ("card", "000020", 500), ("ssn", "012121", 3)]
+    _, sure = pii_votes.maximise(counts)
+    assert sure["card", "shape"][0] > 0.95 and sure["card", "shape"][1] < 0.05
+    assert sure["ssn", "shape"][0] < sure["card", "shape"][0]
+    assert abs(sure["ssn", "shape"][0] - sure["card", "shape"][0]) < 0.15
+
+
+def account(country, length, draw):
+    """A bank account number with right check digits."""
+    own = "".join(draw.choice(string.digits) for _ in range(length - 4))
+    rest = int("".join(str(int(c, 36)) for c in own + country + "00")) % 97
+    return f"{country}{98 - rest:02d}{own}"
+
+
+def test_remainder_97(spark):
+    draw = random.Random(4)
+    good = [account(a[:2], int(a[2:]), draw) for a in pii_votes.ACCOUNTS] + ["GB82WEST12345698765432", "MT84MALT011000012345MTLCAST001S"]
+    bad = [g[:-1] + ("1" if g[-1] != "1" else "2") for g in good]
+    rows = spark.createDataFrame([(g,) for g in good + bad], "v string")
+    plain = [int("".join(str(int(c, 36)) for c in g[4:] + g[:4])) % 97 for g in good + bad]
+    assert [r.r for r in rows.coalesce(1).select(pii_votes.remainder_97(rows.v).alias("r")).collect()] == plain
+    assert set(plain[:len(good)]) == {1} and 1 not in plain[len(good):]
+
+
+def test_added_spans_are_found(spark):
+    """Planted data that no base pattern finds: recall of each kind, and strings of the same form that are none."""
+    draw, digits = random.Random(6), lambda n: "".join(draw.choice(string.digits) for _ in range(n))
+    rows, want, never = [], {}, {}
+    for i in range(60):
+        own = draw.choice(pii_votes.ACCOUNTS)
+        good = account(own[:2], int(own[2:]), draw)
+        planted = [("iban", "please pay to iban ", good), ("ssn", "her social security number ssn ", f"{draw.randint(1, 665):03d}-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}"),
+                   ("tel", "call ", f"{draw.choice('23456789')}{draw.choice('0235678')}{draw.choice('023')}-{draw.randint(220, 910)}-{digits(4)}")]
+        wrong = [("iban", "serial ", "QX" + digits(22)), ("ssn", "order ", f"9{digits(2)}-00-{digits(4)}")]
+        text = ""
+        for told, to in ((planted, want), (wrong, never)):
+            for kind, ahead, value in told:
+                text += " and then " + ahead
+                to[i, kind, len(text), len(text) + len(value)] = value
+                text += value + " ."
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, *s) for r in pii_votes.scan_pii(docs).collect() for s in spans_of(r.spans)}
+    for kind in ("iban", "ssn", "tel"):
+        own = {k for k in want if k[1] == kind}
+        assert len(own & got) >= 0.95 * len(own), kind
+    assert len(got & set(never)) <= 0.05 * len(never), sorted(got & set(never))[:5]
+
+
+def test_another_gazetteer(spark):
+    spans = spark.createDataFrame([("email", "a@b.zz", ""), ("email", "a@b.com", ""), ("iban", "DE89370400440532013000", "")], "kind string, found string, before string")
+    own = spark.createDataFrame([("email", "zz", 1), ("email", "zz", 2), ("iban", None, 3)], "kind string, entry string, found int")
+    assert {r.found: r.gazetteer for r in pii_votes.with_votes(spans, own).collect()} == {"a@b.zz": 1, "a@b.com": 0, "DE89370400440532013000": 0}
+    assert {r.found: r.gazetteer for r in pii_votes.with_votes(spans).collect()} == {"a@b.zz": 0, "a@b.com": 1, "DE89370400440532013000": 1}
+
+
 @pytest.mark.parametrize("text", ["", "  ", "a", " A b", "É é! x9", "mit-license ", "\x7f{}"])
 def test_words(spark, text):
     row = native_text.with_words(native_text.keyed_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
