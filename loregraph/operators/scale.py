@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-SLICES = 32
+FAN_IN = 64   # input partitions of a slice
 TINY_BYTES = 256 << 10
 MANY_GROUPS = 1000
 
@@ -45,14 +45,16 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: st
     """First ``n`` rows of every group with their 1-based ``rank``; ``order`` must be total.
 
     Every task cuts its rows to ``n`` per group before the shuffle. What is left of a group
-    is then ranked in slices, by many tasks even if it holds a third of all rows, and only
-    ``n`` rows per slice meet in the end. A slice is made of whole input partitions, so
-    slicing costs the first cut nothing; the result does not depend on the slices.
+    is then ranked in slices of ``FAN_IN`` neighbouring input partitions, and only ``n`` rows per
+    slice meet in the end. So a slice never ranks more than ``FAN_IN * n`` rows of a group,
+    however large the input; there are as many slices as it has partitions by ``FAN_IN``. A
+    slice is made of whole partitions, so slicing costs the first cut nothing; the result does
+    not depend on the slices.
     """
     sliced = Window.partitionBy(*group, "_slice").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
     return (
-        df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+        df.withColumn("_slice", F.floor(F.spark_partition_id() / F.lit(FAN_IN)))
         .withColumn(rank, F.row_number().over(sliced)).filter(F.col(rank) <= n)
         .withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n)
         .drop("_slice")
