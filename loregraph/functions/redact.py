@@ -38,9 +38,24 @@ def redact_client(text: Column | str, client: Column | str, placeholder: str = C
 
 
 def redact_names(text: Column | str, names: Column | str) -> Column:
-    """Apply the names of an array column in order, each on the result of the one before."""
+    """Apply the names of an array column in order, each on the result of the one before.
+
+    A pattern is compiled and run only for a name that may occur in the text as it then stands. The
+    text is carried along in lower case for a plain search, which decides if text and name are
+    ASCII; other texts and names, where letters may match more than their lower case, take the pattern.
+    """
     listed = F.coalesce(_col(names), F.array().cast("array<string>"))
-    return F.aggregate(listed, _col(text), lambda acc, name: redact_name(acc, name, NAME_PLACEHOLDER))
+
+    def state(value: Column) -> Column:
+        plain = F.octet_length(value) == F.length(value)
+        return F.struct(value.alias("value"), F.lower(value).alias("low"), plain.alias("plain"))
+
+    def step(acc: Column, name: Column) -> Column:
+        searched = acc["plain"] & (F.octet_length(name) == F.length(name))
+        absent = name.isNull() | (searched & ~F.contains(acc["low"], F.lower(name)))
+        return F.when(F.coalesce(absent, F.lit(False)), acc).otherwise(state(redact_name(acc["value"], name, NAME_PLACEHOLDER)))
+
+    return F.aggregate(listed, state(_col(text)), step, lambda acc: acc["value"])
 
 
 def redact_pattern(text: Column | str, kind: str) -> Column:
