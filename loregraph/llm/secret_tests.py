@@ -5,9 +5,9 @@ holds it, and three tests against symbols drawn at random from that alphabet: ch
 uniformity, runs above and below the middle of the alphabet, and serial correlation of neighbours.
 The smallest of the three p-values, times three, is the candidate's randomness.
 
-What ordinary text looks like to these tests at a given length is measured, not assumed: from each
-document a stretch of its letters and digits, without what is between them, is cut into decoys of
-the least length of each length class. The share of a class's decoys that have an encoding and at
+What ordinary text looks like to these tests at a given length is measured, not assumed: all letters
+and digits of every document, without what is between them, are cut into decoys of the least lengths
+of the length classes in turn, so that each is part of one decoy. The share of a class's decoys that have an encoding and at
 least some randomness is the p-value of a token under the hypothesis that it is ordinary. A step-up
 rule then controls false discoveries: a class's threshold for an encoding is the lowest randomness
 at which the ordinary tokens to be expected, that share of the class's different tokens, are at most
@@ -54,7 +54,6 @@ RANDOM = 0.001     # randomness below which a token is not random at any length
 RATE = 0.05
 BINS = 80
 CLASSES = (20, 23, 32, 46, 64)     # least lengths of the length classes
-WINDOW = 400                       # characters of a document that its decoys are cut from
 MASK = "[secret]"
 
 
@@ -88,7 +87,9 @@ def with_randomness(rows: DataFrame, token: str = "found") -> DataFrame:
     def p_of(z: Column, sides: int) -> Column:
         return F.coalesce(F.least(F.lit(1.0), F.lit(float(sides)) * _tail(z)), zero)
 
-    squares = total(F.transform(F.array_distinct("_v"), lambda s: F.pow(F.size(F.filter("_v", lambda x: x == s)).cast("double"), F.lit(2.0))))
+    # a symbol is counted by the length that its removal takes off: a step per symbol, not per pair of characters
+    often = F.transform(F.array_distinct(chars), lambda c: F.length(token) - F.length(F.replace(F.col(token), c, F.lit(""))))
+    squares = total(F.transform(often, lambda x: F.pow(x.cast("double"), F.lit(2.0))))
     df = a - 1
     chi = F.greatest(zero, a / n * squares - n)
     wide = F.lit(2.0) / (F.lit(9.0) * df)
@@ -121,13 +122,12 @@ def _graded(rows: DataFrame) -> DataFrame:
 
 
 def decoys(texts: DataFrame) -> DataFrame:
-    """``found``: ordinary text in the shape of tokens, up to one per length class from each text of
-    ``texts`` (``text, h``), from a place that its hash chooses; in every other one words begin with a
-    capital, as in identifiers."""
-    at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int")
-    stretch = F.substring("text", at + 1, F.lit(WINDOW))
-    stretch = F.when(F.pmod(F.shiftright("h", 32), F.lit(2)) == 0, F.initcap(stretch)).otherwise(stretch)
-    rows = texts.select(F.regexp_replace(stretch, "[^A-Za-z0-9]+", "").alias("piece"))
+    """``found``: the whole of every text of ``texts`` (``text, h``) in the shape of tokens, a token per length
+    class in turn; only what is left at its end, too short for the next, is in none. In every other text,
+    by its hash, words begin with a capital, as in identifiers."""
+    shaped = F.when(F.pmod(F.shiftright("h", 32), F.lit(2)) == 0, F.initcap("text")).otherwise(F.col("text"))
+    squeezed = F.regexp_replace(shaped, "[^A-Za-z0-9]+", "")
+    rows = texts.select(F.explode(F.regexp_extract_all(squeezed, F.lit(f".{{1,{sum(CLASSES)}}}"), F.lit(0))).alias("piece"))
     cuts = [F.substring("piece", sum(CLASSES[:k]) + 1, n) for k, n in enumerate(CLASSES)]
     whole = [F.when(F.length(c) == n, c) for c, n in zip(cuts, CLASSES)]
     return rows.select(F.explode(F.array_compact(F.array(*whole))).alias("found"))

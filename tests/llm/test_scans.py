@@ -109,6 +109,19 @@ def test_decoys_set_the_threshold(spark):
     assert sorted(map(tuple, rows)) == [(5, "a", 4), (6, "a", 7)]
 
 
+def test_decoys_are_cut_from_whole_texts(spark):
+    """Every letter and digit of a text is in one decoy, but for the rest that is too short for the next one."""
+    draw, sizes = random.Random(8), secret_tests.CLASSES
+    texts = [" ".join("".join(draw.choice("abc019") for _ in range(draw.randint(1, 9))) for _ in range(n)) for n in (0, 3, 5, 40, 400, 4000)]
+    for text in [*texts, None]:
+        rows = spark.createDataFrame([(text, 1 << 32)], "text string, h long")      # not capitalised by this hash
+        left, own, turn = (text or "").replace(" ", ""), [], 0
+        while len(left) >= sizes[turn % len(sizes)]:
+            n = sizes[turn % len(sizes)]
+            own, left, turn = [*own, left[:n]], left[n:], turn + 1
+        assert [r.found for r in secret_tests.decoys(rows).collect()] == own
+
+
 LONG_WORDS = ["counterrevolutionaries", "internationalizations", "deinstitutionalization", "electroencephalographs", "incomprehensibilities", "uncharacteristically",
               "Wiedergutmachungspolitik", "Rechtsschutzversicherungen", "anticonstitutionnellement", "getElementByIdentifierName", "ThisIsALongHeadingOfText",
               "chapter-twelve-of-the-second-book", "and/or/with/without/them", "TOTALLY_UNREASONABLE_NAME", "2024-01-01_to_2024-12-31"]
