@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions import text
-from loregraph.operators.scale import is_small, of_groups, spread, top_n
+from loregraph.operators.scale import hint_if_small, is_small, of_groups, spread, top_n
 from loregraph.session import materialize
 
 K1, B = 1.2, 0.75
@@ -26,6 +26,7 @@ SCORE_DIGITS = 6   # scores are ranked rounded, so that float noise cannot reord
 BLOCK_DOCS = 16
 TRIED = 5          # documents that are scored for the threshold, per document asked for
 LEAD = 20          # postings of the rarest terms that are read for the threshold, per document asked for
+PAIRS = 1 << 20    # postings times queries that ask for them, per task that scores
 MARGIN = 1e-5      # thresholds are lowered by more than rounding and float noise can make
 
 DOC = ["group_id", "doc_id"]
@@ -99,10 +100,19 @@ class Index:
     blocks: DataFrame
     terms: DataFrame
 
+    def asked_for(self, terms: DataFrame) -> DataFrame:
+        """``postings`` with the queries whose ``terms`` (``WEIGHT``, df, and what else they carry) they hold.
+
+        The postings are dealt by document over as many tasks as the pairs to be made need, which the
+        terms tell, so a task makes a bounded number of them. As terms shown to be few are broadcast, all
+        pairs of a document are made in one task, and scores by document need no further shuffle."""
+        pairs = terms.agg(F.sum("df").alias("n")).first().n or 0
+        tasks = max(self.postings.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
+        return self.postings.repartition(tasks, *DOC).join(hint_if_small(terms.drop("df")), ["group_id", "term"])
+
     def scores(self, terms: DataFrame | None = None) -> DataFrame:
         """Score of every document with a term of a query (of ``terms``, if given)."""
-        terms = self.terms if terms is None else terms
-        found = self.postings.join(terms.select(*WEIGHT), ["group_id", "term"])
+        found = self.asked_for((self.terms if terms is None else terms).select(*WEIGHT, "df"))
         return found.groupBy(*HIT).agg(F.sum(part()).alias("score"))
 
     def complete(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -129,7 +139,7 @@ class Index:
             F.sum(bound).alias("bound"), F.sum(F.when(F.col("late"), bound).otherwise(0.0)).alias("rest"),
             F.max(~F.col("late")).alias("early"), F.max("least").alias("least"))
         met = met.filter("early AND bound >= least").select(*ASKED, "block", "rest", "least")
-        early = self.postings.join(terms.filter("NOT late").select(*WEIGHT), ["group_id", "term"]).withColumn("block", block_of(F.col("n_blocks")))
+        early = self.asked_for(terms.filter("NOT late").select(*WEIGHT, "df")).withColumn("block", block_of(F.col("n_blocks")))
         some = early.join(met, [*ASKED, "block"]).groupBy(*HIT).agg(
             F.sum(part()).alias("score"), F.max("rest").alias("rest"), F.max("least").alias("least"))
         some = materialize(some.filter("score + rest >= least").select(*HIT, "score"))

@@ -77,6 +77,19 @@ def test_frequent_words_do_not_score_every_document(spark):
     assert index.candidates(10).count() * 10 < 6 * 800
 
 
+def test_a_task_scores_a_bounded_number_of_pairs(spark, monkeypatch):
+    """With more pairs there are more tasks, and scores are summed where the postings were dealt to."""
+    monkeypatch.setattr(lexical, "PAIRS", 10)
+    docs, queries = corpus(4, size=60)
+    index = lexical.index(spark.createDataFrame(docs, DOC_SCHEMA), spark.createDataFrame(queries, QUERY_SCHEMA))
+    pairs = index.terms.agg(F.sum("df")).first()[0]
+    assert pairs > 100 and index.asked_for(index.terms).rdd.getNumPartitions() == -(-pairs // 10)
+    plan = index.scores()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(group_id") == 1
+    got = rank.bm25(spark.createDataFrame(docs, DOC_SCHEMA), spark.createDataFrame(queries, QUERY_SCHEMA), 5)
+    assert {(r.query_id, r.group_id, r.doc_id, r.rank) for r in got.collect()} == brute_bm25(docs, queries, 5)
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_cosine(spark, monkeypatch, block):
     rng = random.Random(3)
