@@ -106,9 +106,12 @@ class Index:
         The postings are dealt by document over as many tasks as the pairs to be made need, which the
         terms tell, so a task makes a bounded number of them. As terms shown to be few are broadcast, all
         pairs of a document are made in one task, and scores by document need no further shuffle."""
+        return self.dealt(self.postings, terms).join(hint_if_small(terms.drop("df")), ["group_id", "term"])
+
+    def dealt(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
+        """``rows`` by document, in tasks of ``PAIRS`` postings that ``terms`` ask for, or fewer."""
         pairs = terms.agg(F.sum("df").alias("n")).first().n or 0
-        tasks = max(self.postings.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
-        return self.postings.repartition(tasks, *DOC).join(hint_if_small(terms.drop("df")), ["group_id", "term"])
+        return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS)), *DOC)
 
     def scores(self, terms: DataFrame | None = None) -> DataFrame:
         """Score of every document with a term of a query (of ``terms``, if given)."""
@@ -116,9 +119,12 @@ class Index:
         return found.groupBy(*HIT).agg(F.sum(part()).alias("score"))
 
     def complete(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
-        """What ``terms`` add to the score of ``pairs`` (query_id, group_id, doc_id): (.., score), where there is any."""
-        sought = pairs.select(*HIT).join(terms.select(*WEIGHT), ASKED)
-        return sought.join(self.postings, ["group_id", "doc_id", "term"]).groupBy(*HIT).agg(F.sum(part()).alias("score"))
+        """What ``terms`` add to the score of ``pairs`` (query_id, group_id, doc_id): (.., score), where there is any.
+
+        Only pairs and postings are shuffled, by document, not the terms of each pair."""
+        held = self.dealt(self.postings, terms).join(self.dealt(pairs.select(*HIT), terms), DOC)
+        sought = hint_if_small(terms.select(*WEIGHT))
+        return held.join(sought, [*ASKED, "term"]).groupBy(*HIT).agg(F.sum(part()).alias("score"))
 
     def thresholds(self, k: int) -> DataFrame:
         """(query_id, group_id, least): what the k-th best score at least is, where there are k: that of the
