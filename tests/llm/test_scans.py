@@ -1,6 +1,7 @@
 import random
 import re
 import string
+from collections import Counter
 
 import pytest
 from plain import PII, SECRETS, licenses, scan, words
@@ -228,3 +229,24 @@ def test_another_gazetteer(spark):
 def test_words(spark, text):
     row = native_text.with_words(native_text.keyed_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     assert row.pieces[row.skip:row.skip + row.n_words] == words(text)
+
+
+def test_decoys_beyond_every_threshold_are_not_tested_further(spark):
+    """Their bins aren't told apart; all others, and the thresholds, are those of the whole battery."""
+    own = random.Random(12)
+    words = ["".join(own.choices("etaoinshrdlu", k=own.randint(2, 9))) for _ in range(60)]
+    texts = [" ".join(own.choices(words, k=150)) for _ in range(12)] + noise(string.ascii_letters + string.digits, 300, 6) + ["-" * 400, ""]
+    made = secret_tests.decoys(spark.createDataFrame([(t, i << 32) for i, t in enumerate(texts)], "text string, h long"))
+    full = secret_tests._graded(made).persist()
+    rough = secret_tests._graded(made, rough=True).persist()
+    most = max(b for b in range(secret_tests.BINS) if 10 ** (-b / 4) >= secret_tests.RANDOM)
+
+    def counts(rows):
+        return Counter((r.found, r.length_class, r.encoding, min(r.bin, most + 1)) for r in rows.collect())
+
+    assert counts(full) == counts(rough) and full.count() > 100
+    left_out = "p_runs < 1e-20 AND p_serial < 1e-20"
+    assert full.filter(left_out).count() < rough.filter(left_out).count() < rough.count()
+    tokens = spark.createDataFrame([(t,) for t in noise(string.ascii_letters + string.digits, 40, 30)], "found string")
+    limits = [set(map(tuple, secret_tests.thresholds(secret_tests._graded(tokens), d).collect())) for d in (full, rough)]
+    assert limits[0] == limits[1] != set()
