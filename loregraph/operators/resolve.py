@@ -93,13 +93,22 @@ def resolve_occurrences(occurrences: DataFrame, names: DataFrame) -> DataFrame:
     return occurrences.join(names, KEY).select(*occurrences.columns, "entity_uuid", created.alias("created"))
 
 
-def resolve_relations(relations: DataFrame, names: DataFrame) -> DataFrame:
-    """Relationships with the uuids their endpoints had by then, NULL where unknown."""
+def fresh_mentions(occurrences: DataFrame) -> DataFrame:
+    """Mentions where nothing was stored before: ids follow from the names, so nothing is joined."""
+    known = occurrences.filter("group_id IS NOT NULL AND name_lower IS NOT NULL")
+    return new_mentions(known.withColumn("entity_uuid", keys.entity_id(*KEY)))
+
+
+def resolve_relations(relations: DataFrame, names: DataFrame, fresh: bool = False) -> DataFrame:
+    """Relationships with the uuids their endpoints had by then, NULL where unknown.
+
+    With ``fresh`` names, none of which was stored before, the joins only tell which ends are known, and
+    the ids are made after them instead of being shuffled."""
     joined = relations
     for end in ("source", "target"):
+        found = F.col("first_seq" if fresh else "entity_uuid").alias(f"{end}_uuid")
         side = names.select(
-            F.col("group_id").alias("_group"), F.col("name_lower").alias("_name"),
-            F.col("first_seq").alias("_first"), F.col("entity_uuid").alias(f"{end}_uuid"),
+            F.col("group_id").alias("_group"), F.col("name_lower").alias("_name"), F.col("first_seq").alias("_first"), found,
         )
         known = (
             (F.col("group_id") == F.col("_group")) & (F.col(f"{end}_key") == F.col("_name"))
@@ -109,6 +118,12 @@ def resolve_relations(relations: DataFrame, names: DataFrame) -> DataFrame:
     return joined
 
 
+def linked_ids(linked: DataFrame) -> DataFrame:
+    """``linked`` of fresh names with ids as uuids."""
+    ends = {f"{end}_uuid": F.when(F.col(f"{end}_uuid").isNotNull(), keys.entity_id("group_id", f"{end}_key")) for end in ("source", "target")}
+    return linked.withColumns(ends)
+
+
 def new_entities(resolved: DataFrame) -> DataFrame:
     return resolved.filter("created").select(
         "group_id", F.col("entity_uuid").alias("uuid"), "name", "name_lower", "summary",
@@ -123,13 +138,17 @@ def new_mentions(resolved: DataFrame) -> DataFrame:
 def new_facts(linked: DataFrame) -> DataFrame:
     """Facts are never merged; structured facts carry no validity."""
     none = F.lit(None).cast("timestamp")
-    return linked.filter("source_uuid IS NOT NULL AND target_uuid IS NOT NULL").select(
+    return made_relations(linked).select(
         "group_id", keys.fact_id("episode_uuid", "pos").alias("uuid"), "source_uuid", "target_uuid",
         F.lit("RELATES_TO").alias("rel_type"), "name", "fact", F.array("episode_uuid").alias("episodes"),
         none.alias("valid_at"), none.alias("invalid_at"), none.alias("expired_at"),
     )
 
 
+def made_relations(linked: DataFrame) -> DataFrame:
+    return linked.filter("source_uuid IS NOT NULL AND target_uuid IS NOT NULL")
+
+
 def skipped_relations(linked: DataFrame) -> DataFrame:
     return linked.filter("source_uuid IS NULL OR target_uuid IS NULL")
 
@@ -163,13 +182,15 @@ def resolve(
     names = dictionary(occurrences, relations, stored, staged)
     if staged:
         names = hint_if_small(materialize(names))
+    fresh = stored is None
     resolved = resolve_occurrences(occurrences, names)
-    linked = resolve_relations(relations, names)
+    linked = resolve_relations(relations, names, fresh)
+    made, skipped = made_relations(linked), skipped_relations(linked)
     return Resolution(
         episodes=episodes,
         entities=new_entities(resolved),
-        mentions=new_mentions(resolved),
-        facts=new_facts(linked),
-        skipped=skipped_relations(linked),
+        mentions=fresh_mentions(occurrences) if fresh else new_mentions(resolved),
+        facts=new_facts(linked_ids(made) if fresh else made),
+        skipped=linked_ids(skipped) if fresh else skipped,
         counters=ingest_counters(episodes, resolved, linked),
     )

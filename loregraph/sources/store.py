@@ -25,8 +25,10 @@ from loregraph import schemas
 from loregraph.functions import domains, keys
 from loregraph.operators.resolve import Resolution
 from loregraph.operators.scale import of_groups
+from loregraph.session import materialize
 
 DELETES = 16  # folders deleted side by side
+FEW_GRAPHS = 16  # a batch of so few graphs isn't shuffled by graph: each task writes a file per graph
 LISTS = "compactions"
 LIST = "batch_id string, replaced boolean"
 
@@ -99,7 +101,9 @@ class GraphStore:
         """
         batch_id = batch_id or f"b{uuid.uuid4().hex}"
         now = one_time() if now is None else now
-        self.register(result.episodes.select("group_id"), now)
+        groups = materialize(result.episodes.select("group_id").distinct())
+        self.register(groups, now)
+        gather = groups.limit(FEW_GRAPHS + 1).count() > FEW_GRAPHS
         none = F.lit(None).cast(schemas.PROPERTIES)
         episodes = result.episodes.withColumn("source", F.lit("text")).withColumnsRenamed(
             {"episode_uuid": "uuid", "seq": "ingest_seq"}
@@ -109,20 +113,19 @@ class GraphStore:
             "episodes": episodes,
         }
         with ThreadPoolExecutor(len(sinks)) as pool:
-            jobs = [pool.submit(self._write, table, rows, batch_id, now) for table, rows in sinks.items()]
+            jobs = [pool.submit(self._write, table, rows, batch_id, now, gather) for table, rows in sinks.items()]
             for job in jobs:
                 job.result()
         done = self.spark.range(1).select(now.alias("committed_at"))
         done.write.mode("overwrite").parquet(f"{self.root}/batches/batch_id={batch_id}")
         return batch_id
 
-    def _write(self, table: str, rows: DataFrame, batch_id: str, now: Column) -> None:
+    def _write(self, table: str, rows: DataFrame, batch_id: str, now: Column, gather: bool = True) -> None:
+        """With ``gather`` one graph goes to few files; AQE splits a graph too large for one task."""
         stamped = rows if "created_at" in rows.columns else rows.withColumn("created_at", now)
-        stamped = stamped.withColumn("batch_id", F.lit(batch_id))
+        stamped = stamped.withColumn("batch_id", F.lit(batch_id)).select(*schemas.TABLES[table].fieldNames())
         (
-            stamped.select(*schemas.TABLES[table].fieldNames())
-            # One graph goes to few files; AQE splits a graph too large for one task.
-            .hint("rebalance", "group_id")
+            (stamped.hint("rebalance", "group_id") if gather else stamped)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("group_id", "batch_id").parquet(f"{self.root}/{table}")
         )

@@ -221,3 +221,28 @@ def test_taxonomy(spark, tmp_path):
     assert sources.entity_types(spark, str(tmp_path / "absent")).count() == 0
     (tmp_path / "types.json").write_text('{"name":"Role","description":"d"}\n')
     assert [tuple(r) for r in sources.entity_types(spark, str(tmp_path / "types.json")).collect()] == [("Role", "d")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_few_graphs_is_not_shuffled_by_graph(spark, store, monkeypatch):
+    asked = []
+    write = GraphStore._write
+    monkeypatch.setattr(GraphStore, "_write", lambda self, *args: (asked.append(args[-1]), write(self, *args)))
+    ingest_batch(store, structured(spark, ROWS), "few")
+    monkeypatch.setattr("loregraph.sources.store.FEW_GRAPHS", 0)
+    many = GraphStore(spark, new_folder(spark, "test"))
+    ingest_batch(many, structured(spark, ROWS), "few")
+    assert asked == [False] * 4 + [True] * 4 and content(many) == content(store)
+
+
+def test_mentions_of_a_first_ingest_join_nothing(spark, store):
+    requests = structured(spark, ROWS)
+    first, later = ingest.ingest_structured(requests, None), ingest.ingest_structured(requests, store.table("entities"))
+    assert "Join" not in plan_of(first.mentions)
+    for name in ("mentions", "facts", "skipped", "counters"):
+        one, other = getattr(first, name), getattr(later, name)
+        assert one.dtypes == other.dtypes
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
