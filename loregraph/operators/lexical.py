@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions import text
-from loregraph.operators.scale import hint_if_small, is_small, of_groups, spread, top_n
+from loregraph.operators.scale import by_bytes, hint_if_small, is_small, of_groups, spread, top_n
 from loregraph.session import materialize
 
 K1, B = 1.2, 0.75
@@ -27,6 +27,7 @@ BLOCK_DOCS = 16
 TRIED = 5          # documents that are scored for the threshold, per document asked for
 LEAD = 20          # postings of the rarest terms that are read for the threshold, per document asked for
 PAIRS = 1 << 20    # postings times queries that ask for them, per task that scores
+READ = 4 << 20     # bytes of files with the documents, per task that counts terms
 MARGIN = 1e-5      # thresholds are lowered by more than rounding and float noise can make
 
 DOC = ["group_id", "doc_id"]
@@ -58,7 +59,8 @@ def matched_terms(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     cut = spread(docs.select(*DOC, "text"), "doc_id").select(*DOC, F.xxhash64("text").alias("h"), text.tokens("text").alias("tokens"))
     own = F.concat(F.lit(MARK), F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("string"))
     each = cut.select(*DOC, "h", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(own), F.col("tokens"))).alias("term"))
-    return each.join(F.broadcast(wanted) if small else wanted, ["group_id", "term"], "left_semi").repartition(*DOC)
+    found = each.join(F.broadcast(wanted) if small else wanted, ["group_id", "term"], "left_semi")
+    return by_bytes(found, docs, READ, *DOC)
 
 
 def postings(docs: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:

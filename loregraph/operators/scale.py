@@ -10,6 +10,7 @@ BROADCAST_BYTES = 64 << 20
 FAN_IN = 64   # input partitions of a slice
 TINY_BYTES = 256 << 10
 MANY_GROUPS = 1000
+UNKNOWN_BYTES = 1 << 60  # Spark's estimate of what it knows nothing of is larger
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -84,3 +85,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files ``df`` reads, as far as Spark knows them; no job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)
+
+
+def by_bytes(df: DataFrame, of: DataFrame, max_bytes: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys``, in as many partitions as what ``of`` reads has ``max_bytes``: the default number
+    doesn't grow with the input, and adaptive execution only merges partitions."""
+    parts = -(-input_bytes(of) // max_bytes)
+    if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(*keys)
+    return df.repartition(parts, *keys)

@@ -238,3 +238,18 @@ def test_broadcast_is_size_checked(spark):
     assert scale.is_small(df, max_rows=100) and not scale.is_small(df, max_rows=99)
     wide = df.select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert not scale.is_small(wide, max_bytes=50_000)
+
+
+def test_terms_are_counted_by_tasks_of_bounded_input(spark, monkeypatch, tmp_path):
+    docs, queries = corpus(6)
+    spark.createDataFrame(docs, DOC_SCHEMA).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    asked = spark.createDataFrame(queries, QUERY_SCHEMA)
+    plain = lexical.matched_terms(stored, lexical.query_terms(asked), True)
+    monkeypatch.setattr(lexical, "READ", 256)
+    parts = -(-scale.input_bytes(stored) // 256)
+    assert parts > 4
+    many = lexical.matched_terms(stored, lexical.query_terms(asked), True)
+    assert many.rdd.getNumPartitions() == parts and plain.rdd.getNumPartitions() <= 4
+    got = lexical.bm25(stored, asked, 5).select("query_id", "group_id", "doc_id", "rank").collect()
+    assert {tuple(r) for r in got} == brute_bm25(docs, queries, 5)
