@@ -71,8 +71,9 @@ def postings(docs: DataFrame, terms: DataFrame, small: bool | None = None) -> Da
     found = matched_terms(docs, terms, is_small(terms) if small is None else small)
     counts = found.groupBy(*DOC, "h", "dl", "term").agg(F.count("*").alias("n"))
     one = counts.filter(is_mark()).groupBy(*DOC).agg(F.min(F.struct("h", "n")).alias("one"))
-    own = counts.join(one, DOC).filter(F.col("h") == F.col("one.h"))
-    return own.select(*DOC, "dl", "term", (F.col("n") / F.col("one.n")).cast("long").alias("tf"))
+    # As a filter, the equality would become a key of the join, and all counts would be shuffled again by it.
+    own = counts.join(one, DOC).withColumn("tf", F.when(F.col("h") == F.col("one.h"), (F.col("n") / F.col("one.n")).cast("long")))
+    return own.filter("tf IS NOT NULL").select(*DOC, "dl", "term", "tf")
 
 
 def part() -> Column:
@@ -89,6 +90,11 @@ def block_of(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("doc_id"), blocks).cast("long")
 
 
+def in_tasks(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows`` by ``keys``, in a task for every ``PAIRS`` of ``n``, and no fewer than there are cores."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PAIRS)), *keys)
+
+
 WEIGHT = ["query_id", "group_id", "term", "idf", "average", "n_blocks"]
 
 
@@ -96,11 +102,13 @@ WEIGHT = ["query_id", "group_id", "term", "idf", "average", "n_blocks"]
 class Index:
     """What the queries need of the documents, staged, so that Spark knows the sizes and broadcasts what
     is small. ``postings``: group_id, doc_id, dl, term, tf; ``blocks``: group_id, term, block, top (largest
-    contribution without its weight), n; ``terms``: ``WEIGHT``, df, most (largest contribution)."""
+    contribution without its weight), n; ``terms``: ``WEIGHT``, df, most (largest contribution); ``n``: number of
+    postings, with marks."""
 
     postings: DataFrame
     blocks: DataFrame
     terms: DataFrame
+    n: int
 
     def asked_for(self, terms: DataFrame) -> DataFrame:
         """``postings`` with the queries whose ``terms`` (``WEIGHT``, df, and what else they carry) they hold.
@@ -110,10 +118,11 @@ class Index:
         pairs of a document are made in one task, and scores by document need no further shuffle."""
         return self.dealt(self.postings, terms).join(hint_if_small(terms.drop("df")), ["group_id", "term"])
 
-    def dealt(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
-        """``rows`` by document, in tasks of ``PAIRS`` postings that ``terms`` ask for, or fewer."""
+    def dealt(self, rows: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
+        """``rows`` by ``keys`` (by document, if none), in tasks of ``PAIRS`` postings that ``terms`` ask for, or fewer.
+        Few terms, too, read all postings: a task reads no more than ``PAIRS`` of them."""
         pairs = terms.agg(F.sum("df").alias("n")).first().n or 0
-        return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS)), *DOC)
+        return in_tasks(rows, max(pairs, self.n), *(keys or DOC))
 
     def scores(self, terms: DataFrame | None = None) -> DataFrame:
         """Score of every document with a term of a query (of ``terms``, if given)."""
@@ -143,32 +152,47 @@ class Index:
         upto = Window.partitionBy(*ASKED).orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         terms = materialize(terms.withColumn("late", F.sum("most").over(upto) < F.col("least")))
         bound = F.col("idf") * F.col("top")
-        met = self.blocks.join(terms, ["group_id", "term"]).groupBy(*ASKED, "block").agg(
+        # By block: a task holds few blocks for every query, instead of all blocks of the queries that share a term.
+        held = self.dealt(self.blocks, terms, "group_id", "block").join(hint_if_small(terms), ["group_id", "term"])
+        met = held.groupBy(*ASKED, "block").agg(
             F.sum(bound).alias("bound"), F.sum(F.when(F.col("late"), bound).otherwise(0.0)).alias("rest"),
             F.max(~F.col("late")).alias("early"), F.max("least").alias("least"))
         met = met.filter("early AND bound >= least").select(*ASKED, "block", "rest", "least")
-        early = self.asked_for(terms.filter("NOT late").select(*WEIGHT, "df")).withColumn("block", block_of(F.col("n_blocks")))
-        some = early.join(met, [*ASKED, "block"]).groupBy(*HIT).agg(
+        first = terms.filter("NOT late").select(*WEIGHT, "df")
+        early = self.asked_for(first).withColumn("block", block_of(F.col("n_blocks")))
+        early = self.dealt(early, first, *ASKED, "block")
+        some = early.join(met, [*ASKED, "block"]).groupBy(*HIT, "block").agg(   # a document is in one block
             F.sum(part()).alias("score"), F.max("rest").alias("rest"), F.max("least").alias("least"))
         some = materialize(some.filter("score + rest >= least").select(*HIT, "score"))
         more = self.complete(some, terms.filter("late")).withColumnRenamed("score", "more")
         return some.join(more, HIT, "left").select(*HIT, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
+def block_tops(own: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+    """``Index.blocks`` of at most ``n`` postings, made by block in tasks of ``PAIRS`` of them, or fewer.
+
+    A shuffled join with ``stats`` would leave the postings dealt by group, which the grouping then keeps: one
+    task for a large group. So they are dealt by block whichever join is made."""
+    placed = own.join(hint_if_small(stats), "group_id").select(
+        "group_id", "term", block_of(F.col("n_blocks")).alias("block"), unit(F.col("average")).alias("top"))
+    tops = in_tasks(placed, n, "group_id", "block").groupBy("group_id", "term", "block")
+    return tops.agg(F.max("top").alias("top"), F.count("*").alias("n"))
+
+
 def index(docs: DataFrame, queries: DataFrame) -> Index:
     """Read the documents of the queries' groups once. ``docs`` has (group_id, doc_id, text), ``queries``
     (query_id, group_id, text); a query may ask several groups. Statistics are those of the group."""
     terms = query_terms(queries)
     tf = materialize(postings(of_groups(docs, queries), terms))
-    stats = tf.filter(is_mark()).groupBy("group_id").agg(
-        F.count("*").alias("n"), F.avg("dl").alias("average"), F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).alias("n_blocks"))
+    stats = materialize(tf.filter(is_mark()).groupBy("group_id").agg(
+        F.count("*").alias("n"), F.avg("dl").alias("average"), F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).alias("n_blocks")))
     own = tf.filter(~is_mark())
-    blocks = own.join(stats, "group_id").groupBy("group_id", "term", block_of(F.col("n_blocks")).alias("block"))
-    blocks = materialize(blocks.agg(F.max(unit(F.col("average"))).alias("top"), F.count("*").alias("n")))
+    n = tf.count()
+    blocks = materialize(block_tops(own, stats, n))
     by_term = blocks.groupBy("group_id", "term").agg(F.max("top").alias("top"), F.sum("n").alias("df"))
     weights = by_term.join(stats, "group_id").join(terms, ["group_id", "term"])
     weights = weights.withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    return Index(own, blocks, materialize(weights.select(*WEIGHT, "df", (F.col("idf") * F.col("top")).alias("most"))))
+    return Index(own, blocks, materialize(weights.select(*WEIGHT, "df", (F.col("idf") * F.col("top")).alias("most"))), n)
 
 
 def ranked(scores: DataFrame, k: int, decimals: int = SCORE_DIGITS) -> DataFrame:

@@ -253,3 +253,29 @@ def test_terms_are_counted_by_tasks_of_bounded_input(spark, monkeypatch, tmp_pat
     assert many.rdd.getNumPartitions() == parts and plain.rdd.getNumPartitions() <= 4
     got = lexical.bm25(stored, asked, 5).select("query_id", "group_id", "doc_id", "rank").collect()
     assert {tuple(r) for r in got} == brute_bm25(docs, queries, 5)
+
+
+def test_steps_over_one_group_are_dealt_over_tasks_whatever_joins_are_made(spark, monkeypatch):
+    """A shuffled join by group or by term left one task with all postings of a large group."""
+    docs, queries = corpus(5, groups=1, size=60)
+    monkeypatch.setattr(lexical, "PAIRS", 20)
+    for name in ("hint_if_small", "is_small"):
+        monkeypatch.setattr(lexical, name, {"hint_if_small": lambda df: df, "is_small": lambda df: False}[name])
+    with_settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in with_settings}
+    for key, value in with_settings.items():
+        spark.conf.set(key, value)
+    try:
+        given, asked = spark.createDataFrame(docs, DOC_SCHEMA), spark.createDataFrame(queries, QUERY_SCHEMA)
+        own = lexical.index(given, asked)
+        files = own.blocks.select(F.input_file_name().alias("f"), "block").distinct().collect()
+        assert len({r.f for r in files}) > 1 and len(files) == len({r.block for r in files})
+        few = own.terms.limit(1)
+        assert own.dealt(own.postings, few).rdd.getNumPartitions() >= own.postings.count() // 20
+        plan = lexical.postings(given, lexical.query_terms(asked))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(h#" not in plan
+        rows = lexical.bm25(given, asked, 5).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {(r.query_id, r.group_id, r.doc_id, r.rank) for r in rows} == brute_bm25(docs, queries, 5)
