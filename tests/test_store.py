@@ -12,6 +12,7 @@ from loregraph.session import new_folder
 from loregraph.sources import requests as sources
 from loregraph.sources.store import CompactionConflict, GraphStore
 from loregraph.streaming.ingest import ingest_batch, stream_structured
+from workload import inputs, stores
 
 
 def structured(spark, rows):
@@ -246,3 +247,22 @@ def test_mentions_of_a_first_ingest_join_nothing(spark, store):
         one, other = getattr(first, name), getattr(later, name)
         assert one.dtypes == other.dtypes
         assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_order_stores_join_orders_and_customers_once(spark, sf_dir, monkeypatch):
+    """Every frame of an ingest reads its requests, so a join behind them was made once per frame."""
+    given = []
+
+    def seen(requests, *rest):
+        given.append(requests)
+        return ingest.ingest_structured(requests, *rest)
+
+    monkeypatch.setattr(stores, "ingest_structured", seen)
+    monkeypatch.setattr(stores, "_BUILT", {})
+    stores.order_store(spark, sf_dir)
+    stores.administered_store(spark, sf_dir)
+    assert len(given) == 2
+    for requests in given:
+        assert "Join" not in requests._jdf.queryExecution().optimizedPlan().toString()
+    wanted = inputs.order_requests(spark, sf_dir)
+    assert requests.exceptAll(wanted).count() == 0 and requests.count() == wanted.count()

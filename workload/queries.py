@@ -86,7 +86,7 @@ def _(spark, d):
 def _(spark, d):
     """All requests sent twice, in two batches: a search still returns as many facts as asked, all different."""
     store = stores_api.GraphStore(spark, new_folder(spark, "twice"))
-    sent = inputs.order_requests(spark, d)
+    sent = stores.staged_requests(spark, d)
     for batch in ("first", "again"):
         stored = store.entities_for(sent.select(keys.client_graph("client_slug").alias("group_id")), batch)
         store.append(ingest.ingest_structured(sent, stored, fixed_now()), batch, fixed_now())
