@@ -103,7 +103,7 @@ class Index:
     """What the queries need of the documents, staged, so that Spark knows the sizes and broadcasts what
     is small. ``postings``: group_id, doc_id, dl, term, tf; ``blocks``: group_id, term, block, top (largest
     contribution without its weight), n; ``terms``: ``WEIGHT``, df, most (largest contribution); ``n``: number of
-    postings, with marks."""
+    postings."""
 
     postings: DataFrame
     blocks: DataFrame
@@ -187,7 +187,7 @@ def index(docs: DataFrame, queries: DataFrame) -> Index:
     stats = materialize(tf.filter(is_mark()).groupBy("group_id").agg(
         F.count("*").alias("n"), F.avg("dl").alias("average"), F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).alias("n_blocks")))
     own = tf.filter(~is_mark())
-    n = tf.count()
+    n = own.count()
     blocks = materialize(block_tops(own, stats, n))
     by_term = blocks.groupBy("group_id", "term").agg(F.max("top").alias("top"), F.sum("n").alias("df"))
     weights = by_term.join(stats, "group_id").join(terms, ["group_id", "term"])
