@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+LOOKUP_ROWS = 1_000_000  # of a number and a name
+SLICE_BYTES = 1 << 30    # of input whose shuffles are on disk at a time
 FAN_IN = 64   # input partitions of a slice
 TINY_BYTES = 256 << 10
 MANY_GROUPS = 1000
@@ -101,3 +103,12 @@ def by_bytes(df: DataFrame, of: DataFrame, max_bytes: int, *keys: str) -> DataFr
     if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return df.repartition(*keys)
     return df.repartition(parts, *keys)
+
+
+def in_slices(df: DataFrame, *keys: str) -> list[DataFrame]:
+    """``df`` in slices by ``keys``, one for every ``SLICE_BYTES`` of what it reads. Staged one after another
+    (``materialize(*slices)``) the disk holds what one of them shuffles, and each reads the input again."""
+    slices = -(-input_bytes(df) // SLICE_BYTES)
+    if slices <= 1:
+        return [df]
+    return [df.filter(F.pmod(F.xxhash64(*keys), F.lit(slices)) == i) for i in range(slices)]

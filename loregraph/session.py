@@ -21,6 +21,9 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
+# Spark removes the shuffle files of a query that ends while this is set.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session made elsewhere."""
@@ -86,14 +89,26 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, *more: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``more`` frames of the same columns go to the same folder.
 
     Several sinks then reuse it, a lost executor does not redo its lineage, and being
     Parquet it still prunes columns and has a known size, by which Spark picks joins.
+    What a write shuffled is of no use to another job, so its files go with its end: frames
+    that are slices of a whole, written one after another, hold the shuffles of one slice at a time.
     """
-    path = new_folder(df.sparkSession, "staged")
+    spark = df.sparkSession
+    path = new_folder(spark, "staged")
     if _SCRATCH:
         _SCRATCH[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        for part in (df, *more):
+            part.write.mode("append").parquet(path)
+    finally:
+        if kept is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, kept)
+    return spark.read.schema(df.schema).parquet(path)

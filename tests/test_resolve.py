@@ -1,12 +1,15 @@
 """Batch resolution against a one-at-a-time model, on random episode sequences."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loregraph import schemas
+from loregraph import schemas, session
+from loregraph.operators import scale
 from loregraph.plans import ingest
+from workload import inputs
 
 GROUP = "client_t"
 NOW = "2024-01-01 00:00:00"
@@ -108,3 +111,36 @@ def test_hot_name_in_most_rows(spark):
     got = ingest.ingest_rows(episodes, rows, relations)
     totals = got.counters.agg(*[F.sum(c) for c in got.counters.columns[2:]]).first()
     assert tuple(totals) == (11, 19_989, 19_999, 1)
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """What a staged write shuffles goes with its end, and the setting for it is as before."""
+    before, kept = shuffle_files(spark), spark.conf.get(session.SHUFFLES_GO)
+    staged = session.materialize(spark.range(1000).repartition(5, "id"), spark.range(1000, 1010).repartition(2, "id"))
+    for _ in range(50):  # they are removed by another thread
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(session.SHUFFLES_GO) == kept
+    assert staged.count() == 1010
+
+
+def test_lines_are_joined_once_and_in_slices(spark, sf_dir, monkeypatch):
+    """The frames of the lines read what was joined before, and neither slices nor a large supplier table change a row."""
+    def texts(rows):
+        return [sorted(map(str, df.collect())) for df in rows]
+
+    wanted = texts(inputs.line_rows(spark, sf_dir, staged=False))
+    rows = inputs.line_rows(spark, sf_dir)
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in rows[1:])
+    assert texts(rows) == wanted
+    monkeypatch.setattr(scale, "SLICE_BYTES", 40_000)
+    monkeypatch.setattr(inputs, "is_small", lambda *_: False)
+    written = []
+    monkeypatch.setattr(inputs, "materialize", lambda *slices: (written.append(len(slices)), session.materialize(*slices))[1])
+    assert texts(inputs.line_rows(spark, sf_dir)) == wanted and written[0] > 1

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loregraph import schemas
 from loregraph.functions import keys
-from loregraph.operators.scale import spread
-
+from loregraph.operators.scale import LOOKUP_ROWS, in_slices, is_small, spread
+from loregraph.session import materialize
 
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 
@@ -91,24 +91,40 @@ def stored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.union(older)
 
 
-def line_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Flat rows of one episode per order: its lines name a part and a supplier and link them."""
+def line_rows(spark: SparkSession, sf_dir: str, staged: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flat rows of one episode per order: its lines name a part and a supplier and link them.
+
+    ``staged`` writes the joined lines once for all frames that read them, a slice of the orders at a time, so
+    the disk holds what the joins of one slice shuffle."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     named = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        keys.client_graph("c_mktsegment").alias("group_id"), F.col("o_orderkey").alias("seq"),
-        F.concat(F.lit("order: "), F.col("o_orderkey").cast("string")).alias("name"), "o_orderdate",
-    ).withColumn("episode_uuid", keys.episode_id("group_id", "seq", "name"))
+        keys.client_graph("c_mktsegment").alias("group_id"), F.col("o_orderkey").alias("seq"), "o_orderdate",
+    )
+    name = F.concat(F.lit("order: "), F.col("seq").cast("string"))
+    episode = keys.episode_id("group_id", "seq", name).alias("episode_uuid")
     episodes = named.select(
-        "group_id", "episode_uuid", "seq", "name", F.lit("").alias("content"),
+        "group_id", episode, "seq", name.alias("name"), F.lit("").alias("content"),
         F.lit("lines").alias("source_description"), F.col("o_orderdate").alias("valid_at"),
         F.col("o_orderdate").alias("created_at"),
     )
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(named, F.col("l_orderkey") == F.col("seq"))
-    )
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    small = is_small(supplier, LOOKUP_ROWS)
+
+    def joined(lines: DataFrame) -> DataFrame:
+        # Of the joins that shuffle the one with orders comes last: the lines of an order lie together, and what
+        # is counted by order shrinks before it is shuffled.
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        if not small:
+            lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines = lines.join(named.select("group_id", "seq"), F.col("l_orderkey") == F.col("seq"))
+        if small:
+            lines = lines.join(F.broadcast(supplier), F.col("l_suppkey") == F.col("s_suppkey"))
+        return lines.select("group_id", "seq", "l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_type", "p_brand", "s_name")
+
+    lines = materialize(*map(joined, in_slices(lineitem, "l_orderkey"))) if staged else joined(lineitem)
+    lines = lines.withColumn("episode_uuid", episode)
     at = (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")) * 10_000_000 + F.col("l_suppkey")
     head = ["group_id", "episode_uuid", "seq"]
     # One pass over the joined lines gives both entity rows.

@@ -618,7 +618,7 @@ def _(spark, d):
 # --- first-wins and ranks ---------------------------------------------------------------
 @query("W1_first_occurrence", f"""{sql.LINES} SELECT g AS group_id, k AS name_lower, seq AS first_seq FROM occ WHERE rn = 1""")
 def _(spark, d):
-    _, entities, _ = inputs.line_rows(spark, d)
+    _, entities, _ = inputs.line_rows(spark, d, staged=False)
     return resolve.first_places(requests.occurrences(entities)).select("group_id", "name_lower", "first_seq")
 
 
