@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions import keys
-from loregraph.operators.scale import hint_if_small
+from loregraph.operators.scale import hint_if_small, in_slices, is_small
 from loregraph.session import materialize
 
 KEY = ["group_id", "name_lower"]
@@ -118,6 +118,36 @@ def resolve_relations(relations: DataFrame, names: DataFrame, fresh: bool = Fals
     return joined
 
 
+def first_occurrences(occurrences: DataFrame) -> DataFrame:
+    """Occurrences that create their entity where nothing was stored before: those at the first place of their name.
+
+    Every task keeps only its first ones of each name for the shuffle, which so follows the names."""
+    placed = occurrences.filter(" AND ".join(f"{c} IS NOT NULL" for c in (*KEY, "seq", "pos")))
+    first = F.rank().over(Window.partitionBy(*KEY).orderBy("seq", "pos")).alias("_rank")
+    return placed.select("*", first).filter("_rank = 1").drop("_rank").withColumns(
+        {"entity_uuid": keys.entity_id(*KEY), "created": F.lit(True)})
+
+
+def late_names(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """Names that some relationship refers to before their first episode, or that have none. Any other is known to all."""
+    ends = F.explode(F.array("source_key", "target_key")).alias("name_lower")
+    asked = relations.select("group_id", "seq", ends).groupBy(*KEY).agg(F.min("seq").alias("_asked"))
+    late = asked.join(names.select(*KEY, "first_seq"), KEY, "left").filter("first_seq IS NULL OR _asked < first_seq")
+    return late.drop("_asked")
+
+
+def resolve_late(relations: DataFrame, late: DataFrame) -> DataFrame:
+    """What ``resolve_relations`` gives for fresh names, from the ``late`` ones alone; ends only tell if they are known."""
+    joined = relations
+    for end in ("source", "target"):
+        side = late.select(F.col("group_id").alias("_group"), F.col("name_lower").alias("_name"), F.col("first_seq").alias("_first"), F.lit(True).alias("_late"))
+        joined = joined.join(side, (F.col("group_id") == F.col("_group")) & (F.col(f"{end}_key") == F.col("_name")), "left")
+        named = F.col("group_id").isNotNull() & F.col(f"{end}_key").isNotNull()
+        known = named & (F.col("_late").isNull() | (F.col("_first") <= F.col("seq")))
+        joined = joined.withColumn(f"{end}_uuid", F.when(known, F.col("seq"))).drop("_group", "_name", "_first", "_late")
+    return joined
+
+
 def linked_ids(linked: DataFrame) -> DataFrame:
     """``linked`` of fresh names with ids as uuids."""
     ends = {f"{end}_uuid": F.when(F.col(f"{end}_uuid").isNotNull(), keys.entity_id("group_id", f"{end}_key")) for end in ("source", "target")}
@@ -155,18 +185,32 @@ def skipped_relations(linked: DataFrame) -> DataFrame:
 
 def ingest_counters(episodes: DataFrame, resolved: DataFrame, linked: DataFrame) -> DataFrame:
     """Counts per episode from one union of thin rows: one shuffle, zeroes for empty episodes."""
+    created = F.col("created").cast("long")
+    return _counted(episodes, linked, resolved.select("group_id", "episode_uuid", created.alias("made"), (1 - created).alias("merged")))
+
+
+def first_counters(episodes: DataFrame, occurrences: DataFrame, first: DataFrame, linked: DataFrame) -> DataFrame:
+    """The same from the ``first`` occurrences alone: every other one merges."""
+    named = occurrences.filter(" AND ".join(f"{c} IS NOT NULL" for c in KEY))
+    one = F.when(F.col("seq").isNotNull() & F.col("pos").isNotNull(), F.lit(1))
+    return _counted(
+        episodes, linked,
+        named.select("group_id", "episode_uuid", (one * 0).alias("made"), one.alias("merged")),
+        first.select("group_id", "episode_uuid", F.lit(1).alias("made"), F.lit(-1).alias("merged")),
+    )
+
+
+def _counted(episodes: DataFrame, linked: DataFrame, *entities: DataFrame) -> DataFrame:
     key = ["group_id", "episode_uuid"]
     made = F.col("source_uuid").isNotNull() & F.col("target_uuid").isNotNull()
     flags = ["entities_created", "entities_merged", "relationships_created", "relationships_skipped"]
 
     def row(df: DataFrame, **on: Column) -> DataFrame:
-        return df.select(*key, *[on.get(f, F.lit(False)).cast("long").alias(f) for f in flags])
+        return df.select(*key, *[on.get(f, F.lit(0)).cast("long").alias(f) for f in flags])
 
-    rows = (
-        row(episodes)
-        .union(row(resolved, entities_created=F.col("created"), entities_merged=~F.col("created")))
-        .union(row(linked, relationships_created=made, relationships_skipped=~made))
-    )
+    rows = row(episodes).union(row(linked, relationships_created=made, relationships_skipped=~made))
+    for each in entities:
+        rows = rows.union(row(each, entities_created=F.col("made"), entities_merged=F.col("merged")))
     return rows.groupBy(*key).agg(*[F.sum(f).alias(f) for f in flags])
 
 
@@ -178,13 +222,27 @@ def resolve(
     staged: bool = False,
 ) -> Resolution:
     """All frames of an ingest. ``staged`` writes the dictionary once for all of them; its
-    size is then known, and it is broadcast only if it is small."""
+    size is then known, and it is broadcast only if it is small. If it is not and nothing was stored
+    before, neither occurrences nor relationships are shuffled to meet it: who created an entity shows
+    without it, and of the names only the late ones are looked up."""
     names = dictionary(occurrences, relations, stored, staged)
-    if staged:
-        names = hint_if_small(materialize(names))
     fresh = stored is None
+    if staged:
+        names = materialize(names)
+        small = is_small(names)
+        if fresh and not small:
+            first = materialize(*map(first_occurrences, in_slices(occurrences, *KEY)))
+            linked = resolve_late(relations, hint_if_small(materialize(late_names(relations, names))))
+            return _resolution(episodes, occurrences, first, linked, fresh, first_counters(episodes, occurrences, first, linked))
+        names = F.broadcast(names) if small else names
     resolved = resolve_occurrences(occurrences, names)
     linked = resolve_relations(relations, names, fresh)
+    return _resolution(episodes, occurrences, resolved, linked, fresh, ingest_counters(episodes, resolved, linked))
+
+
+def _resolution(
+    episodes: DataFrame, occurrences: DataFrame, resolved: DataFrame, linked: DataFrame, fresh: bool, counters: DataFrame
+) -> Resolution:
     made, skipped = made_relations(linked), skipped_relations(linked)
     return Resolution(
         episodes=episodes,
@@ -192,5 +250,5 @@ def resolve(
         mentions=fresh_mentions(occurrences) if fresh else new_mentions(resolved),
         facts=new_facts(linked_ids(made) if fresh else made),
         skipped=linked_ids(skipped) if fresh else skipped,
-        counters=ingest_counters(episodes, resolved, linked),
+        counters=counters,
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loregraph import schemas, session
-from loregraph.operators import scale
+from loregraph.operators import requests, resolve, scale
 from loregraph.plans import ingest
 from workload import inputs
 
@@ -113,6 +113,55 @@ def test_hot_name_in_most_rows(spark):
     assert tuple(totals) == (11, 19_989, 19_999, 1)
 
 
+def flat_rows(spark, seed):
+    """Entity and relationship rows with nulls, copies and names that come late or never."""
+    rng = random.Random(seed)
+    names = ["Ann", "ann ", "Bob", "Cé", "", " ", "Dee", "Eve", None]
+
+    def head():
+        seq = rng.choice([0, 1, 2, 3, 4, 5, None])
+        group = rng.choice(["g", "g", "h", None])
+        return group, f"{group}{seq}", seq, rng.choice([0, 1, 2, 3, None])
+
+    entities = [(*head(), rng.choice(names[:5] + [None]), rng.choice(["", "Role"]), "d") for _ in range(60)]
+    relations = [(*head(), rng.choice(names), rng.choice(names), "r", "") for _ in range(60)]
+    episodes = sorted({r[:3] for r in entities + relations}, key=str)
+    head = "group_id string, episode_uuid string, seq long"
+    return (spark.createDataFrame(episodes, head),
+            spark.createDataFrame(entities + entities[:10], head + ", pos long, name string, type string, description string").repartition(3),
+            spark.createDataFrame(relations + relations[:10], head + ", pos long, source string, target string, relation string, fact string").repartition(3))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_names_resolve_like_few(spark, monkeypatch, seed):
+    """A dictionary too large for a broadcast gives the same frames, and in slices too."""
+    rows = flat_rows(spark, seed)
+
+    def frames():
+        got = ingest.ingest_rows(*rows)
+        return {f: sorted(map(str, getattr(got, f).collect())) for f in ("entities", "mentions", "facts", "skipped", "counters")}
+
+    few = frames()
+    monkeypatch.setattr(resolve, "is_small", lambda df: False)
+    assert frames() == few
+    monkeypatch.setattr(resolve, "in_slices", lambda df, *keys: [df.filter(F.pmod(F.xxhash64(*keys), F.lit(3)) == i) for i in range(3)])
+    assert frames() == few
+
+
+def test_many_names_are_cut_before_their_shuffle(spark, monkeypatch):
+    """With a large dictionary occurrences reach a shuffle as the first of each name, relationships not at all."""
+    monkeypatch.setattr(resolve, "is_small", lambda df: False)
+    entities = spark.range(5000).select(
+        F.lit("g").alias("group_id"), F.col("id").cast("string").alias("episode_uuid"), F.col("id").alias("seq"), F.lit(0).cast("long").alias("pos"),
+        (F.col("id") % 50).cast("string").alias("name"), F.lit("").alias("type"), F.lit("").alias("description"))
+    relations = entities.select("group_id", "episode_uuid", "seq", "pos", F.col("name").alias("source"), F.col("name").alias("target"),
+                                F.lit("r").alias("relation"), F.lit("").alias("fact"))
+    got = ingest.ingest_rows(entities.select("group_id", "episode_uuid", "seq"), entities, relations)
+    assert got.facts.count() == 5000 and got.skipped.count() == 0 and got.entities.count() == 50
+    assert "WindowGroupLimit" in resolve.first_occurrences(requests.occurrences(entities))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in got.facts._jdf.queryExecution().executedPlan().toString()
+
+
 def shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
