@@ -9,7 +9,7 @@ from loregraph.operators.scale import hint_if_small
 from loregraph.session import materialize
 
 GRAM = 4
-PIECE = 128
+FEW_GRAMS = 10_000
 FIELDS = ("name", "summary")
 OPS = ("equals", "contains", "startswith")
 NONE = "entity"
@@ -33,25 +33,40 @@ def anchored(rules: DataFrame) -> DataFrame:
     kept = kept.select(*(F.lower(c).alias(c) if c == "term" else c for c in RULE_COLUMNS))
     size = F.when(F.col("op") == "equals", F.lit(0)).otherwise(F.least(F.lit(GRAM), F.length("term")))
     gram = F.when(F.col("op") == "equals", F.col("term")).otherwise(F.left("term", F.lit(GRAM)))
-    return kept.withColumn("size", size).withColumn("gram", gram).withColumn("anchor", F.xxhash64("field", "size", "gram")).drop("gram")
+    return kept.withColumn("size", size).withColumn("gram", gram).withColumn("anchor", F.xxhash64("field", "op", "size", "gram"))
 
 
-def _anchors(field: str, size: int) -> Column:
-    """Hashes of the substrings of ``size`` characters (0: the whole). Taking a substring walks the string from its
-    begin, so a subject is cut into pieces first: the work stays close to linear in it."""
-    subject = F.col(f"{field}_key")
+def longest_of(grams: list[str]) -> str:
+    """A pattern of the longest of ``grams`` at a place, as a tree of their characters: a text is compared with the
+    characters that may follow, however many grams there are."""
+    tree: dict = {}
+    for gram in grams:
+        at = tree
+        for c in gram:
+            at = at.setdefault(c, {})
+        at[""] = {}  # a gram ends here
+
+    def below(at: dict) -> str:
+        each = [(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}") + below(at[c]) for c in sorted(at) if c]
+        return "" if not each else f"(?:{'|'.join(each)}){'?' if '' in at else ''}"
+
+    return below(tree)
 
-    def hashed(gram: Column) -> Column:
-        return F.xxhash64(F.lit(field), F.lit(size), gram)
 
-    def inside(piece: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(piece) - size + 1), lambda i: hashed(F.substring(piece, i, F.lit(size))))
-        return F.when(F.length(piece) >= size, every).otherwise(F.array().cast("array<bigint>"))
+def _anchors(field: str, op: str, sizes: list[int], grams: list[str] | None) -> Column:
+    """Hashes of what a term can be found by: the whole subject, its begin, or all its substrings of ``sizes``
+    characters; if ``grams`` are given, of those that hold one of them at their begin. One pass over the
+    subject finds the longest for each place."""
+    subject = F.col(f"{field}_key")
+
+    def hashed(size: int, of: Column) -> Column:
+        return F.xxhash64(F.lit(field), F.lit(op), F.lit(size), of if op == "equals" else F.left(of, F.lit(size)))
 
-    if size == 0:
-        return F.array(hashed(subject))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(subject)), F.lit(PIECE)), lambda s: F.substring(subject, s, F.lit(PIECE + size - 1)))
-    return F.array_distinct(F.flatten(F.transform(pieces, inside)))
+    if op != "contains":
+        return F.array(*(hashed(size, subject) for size in sizes))
+    longest = f".{{{min(sizes)},{max(sizes)}}}" if grams is None else longest_of(grams)
+    found = F.array_distinct(F.regexp_extract_all(subject, F.lit(f"(?s)(?=({longest}))"), F.lit(1)))
+    return F.flatten(F.transform(found, lambda gram: F.array(*(hashed(size, gram) for size in sizes))))
 
 
 def rule_types(rows: DataFrame, rules: DataFrame, tenant: str = "group_id") -> DataFrame:
@@ -60,16 +75,20 @@ def rule_types(rows: DataFrame, rules: DataFrame, tenant: str = "group_id") -> D
 
     ``rules``: rule_set (a tenant, or null for all), priority, field, op, term, result. Terms match as
     substrings, without word boundaries. Every subject is cut into the anchors that occur among the
-    rules' lengths; they meet the rules' anchors in a hash join, and only then are strings compared. So
-    the work grows with the text and the matches, not with rows times rules. Rules shown to be small
-    are broadcast; else only the hashes of anchors are shuffled, and rows that have one join later.
-    Rows with the same subjects are typed once."""
+    rules' lengths, and if the rules have few, into those among them alone; they meet the rules' anchors
+    in a hash join, and only then are strings compared. So the work grows with the text and the matches,
+    not with rows times rules. Rules shown to be small are broadcast; else only the hashes of anchors are
+    shuffled, and rows that have one join later. Rows with the same subjects are typed once."""
     index = materialize(anchored(rules))
-    kinds = sorted(tuple(r) for r in index.select("field", "size").distinct().collect())
+    kinds = index.groupBy("field", "op").agg(F.sort_array(F.collect_set("size")).alias("sizes")).orderBy("field", "op").collect()
+    inside = index.filter("op = 'contains'").select("field", "gram").distinct().limit(FEW_GRAMS + 1).collect()
+    few = len(inside) <= FEW_GRAMS
     keyed = rows.withColumn("_tenant", F.col(tenant).cast("string")).withColumn("_h", F.xxhash64("_tenant", "name_key", "summary_key"))
     each = keyed.select("_tenant", "_h", "name_key", "summary_key").dropDuplicates(["_tenant", "_h"])
     each = materialize(each.withColumn("name_key", F.coalesce("name_key", F.lit(""))).withColumn("summary_key", F.coalesce("summary_key", F.lit(""))))
-    anchors = [F.array().cast("array<bigint>"), *(_anchors(field, size) for field, size in kinds)]
+    anchors = [F.array().cast("array<bigint>")]
+    for field, op, sizes in kinds:
+        anchors.append(_anchors(field, op, sizes, [r.gram for r in inside if r.field == field] if few else None))
     thin = each.select("_tenant", "_h", "name_key", "summary_key", F.explode(F.array_distinct(F.concat(*anchors))).alias("anchor"))
     asked = hint_if_small(index)
     if asked is index:
